@@ -225,6 +225,14 @@ def _(spark, sf):
     return profile_bins(create_profile(reference_side(lineitem(spark, sf)), FEATURES))
 
 
+def _stored_profile(spark, sf, features):
+    """Profile of the first period, saved and read back as a drift check would find it."""
+    store = ReferenceStore(spark, shared_dir(spark))
+    frame = reference_side(lineitem(spark, sf))
+    store.save("baseline", create_profile(frame, features), features)
+    return store.load("baseline")
+
+
 _MASS = """(SELECT sum(cnt * least(greatest(({x} - h.bin_lo) / (h.bin_hi - h.bin_lo), 0.0), 1.0))
     / sum(cnt) FROM prof_hist h WHERE h.feature = lim.feature)"""
 
@@ -241,8 +249,8 @@ lim AS (
 grid AS (SELECT lim.*, unnest(generate_series(0, 9)) AS bin FROM lim),
 spread AS (
   SELECT feature, bin, cur_n,
-   (CASE WHEN bin = 9 THEN 1.0 ELSE {_MASS.format(x="(lo + (bin + 1) * ((hi - lo) / 10.0))")} END)
-   - (CASE WHEN bin = 0 THEN 0.0 ELSE {_MASS.format(x="(lo + bin * ((hi - lo) / 10.0))")} END) AS p
+   (CASE WHEN bin = 9 THEN 1.0 ELSE {_MASS.format(x="(lim.lo + (lim.bin + 1) * ((lim.hi - lim.lo) / 10.0))")} END)
+   - (CASE WHEN bin = 0 THEN 0.0 ELSE {_MASS.format(x="(lim.lo + lim.bin * ((lim.hi - lim.lo) / 10.0))")} END) AS p
   FROM grid AS lim),
 have AS (
   SELECT feature, {bin_sql()} AS bin, count(*) AS n FROM cur JOIN lim USING (feature)
@@ -255,7 +263,7 @@ FROM shares GROUP BY feature""",
 )
 def _(spark, sf):
     names = ["l_quantity", "l_extendedprice"]
-    profile = create_profile(reference_side(lineitem(spark, sf)), names)
+    profile = _stored_profile(spark, sf, names)
     return profile_only_tests(profile, to_long(current_side(li_shift(spark, sf)), names))
 
 
@@ -689,7 +697,7 @@ HISTORY_FEATURES = ["l_quantity", "l_extendedprice"]
 def _monthly_psi(spark, sf):
     """PSI of every shipping month against the stored bins of the first period: one grouped pass."""
     frame = lineitem(spark, sf)
-    profile = create_profile(reference_side(frame), HISTORY_FEATURES)
+    profile = _stored_profile(spark, sf, HISTORY_FEATURES)
     month = F.date_trunc("month", "l_shipdate").cast("timestamp_ntz")
     current = current_side(frame).withColumn("window", month)
     long = to_long(current, HISTORY_FEATURES, None, ["window"])

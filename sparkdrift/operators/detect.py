@@ -18,7 +18,7 @@ from sparkdrift.operators.distribution import (
     value_counts,
 )
 from sparkdrift.operators.drift import cdf_tests, histogram_tests, js_term, psi_term
-from sparkdrift.operators.frames import null_safe_join
+from sparkdrift.operators.frames import null_safe_join, one_row
 from sparkdrift.operators.reference import profile_only_tests
 
 
@@ -95,16 +95,13 @@ def feature_drift(
     current_long = to_long(current, features, None, keys)
     if values is None:
         tests = profile_only_tests(profile, current_long, keys=keys)
-        sizes = value_counts(current_long, keys).groupBy(*group).agg(F.sum("n_cur").alias("cur_n"))
         p = ks_p_value(F.col("ks_statistic"), F.col("cur_n"), F.col("cur_n"), p_mode)
-        tests = null_safe_join(tests, sizes, group).withColumn("ks_p_value", p).drop("cur_n")
+        tests = tests.withColumn("ks_p_value", p).drop("cur_n")
     else:
         counts = combined_counts(values.where(F.col("feature").isin(*features)), current_long, keys)
         limits = bounds(counts, keys).where((F.col("ref_n") > 0) & (F.col("cur_n") > 0))
         tests = null_safe_join(
-            histogram_tests(counts, limits, keys=keys),
-            cdf_tests(counts, limits, keys, p_mode),
-            group,
+            histogram_tests(counts, limits, keys=keys), cdf_tests(counts, keys, p_mode), group
         )
     joined = null_safe_join(
         null_safe_join(tests, current_stats(current_long, keys), group),
@@ -195,6 +192,7 @@ def summarise(
             lambda s: s["feature_name"],
         ).alias("severe_features"),
         F.max("reference_samples").alias("reference_samples"),
+        F.collect_set("feature_name").alias("analyzed_features"),
     )
     ratio = F.try_divide(F.col("n_features_drifted"), F.col("n_features_total"))
     level = F.col("overall_severity")
@@ -243,10 +241,8 @@ def drift_report(
         window[1].alias("w_end"),
     )
     back = F.expr(f"INTERVAL {config.window_hours} HOURS")
-    found = results.agg(F.collect_set("feature_name").alias("found"))
-    head = F.struct(*sample.columns)
-    seen = sample.select(head).scalar()
-    lost = F.array_except(F.array(*[F.lit(f) for f in features]), found.scalar())
+    seen = one_row(sample)
+    lost = F.array_except(F.array(*[F.lit(f) for f in features]), F.col("analyzed_features"))
     late = F.transform(
         lost, lambda f: F.concat(F.lit("Feature '"), f, F.lit("' has no valid values"))
     )
@@ -338,7 +334,7 @@ def summary_lines(report: DataFrame, results: DataFrame) -> DataFrame:
         F.size("warnings") > 0,
         F.array(F.concat(F.lit("Warnings: "), F.array_join("warnings", "; "))),
     ).otherwise(F.array().cast("array<string>"))
-    return report.select(
+    return report.withColumn("feature_lines", per_feature).select(
         "report_id",
         F.array_join(
             F.concat(
@@ -368,7 +364,7 @@ def summary_lines(report: DataFrame, results: DataFrame) -> DataFrame:
                 ),
                 warned,
                 F.array(F.lit(thin)),
-                per_feature,
+                F.col("feature_lines"),
                 F.array(F.lit(thin)),
                 advice,
                 F.array(F.lit(rule)),

@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from sparkdrift.functions.numeric import bin_edge, bin_index, clean_double, value_cell
 from sparkdrift.operators.frames import null_safe_join, require_columns
 
-CELL = ("cell_lin", "cell_log")
+SIZES = ("ref_n", "cur_n")
+LIMITS = ("lo", "hi", "ref_lo", "ref_hi", "cur_lo", "cur_hi")
 
 
 def to_long(
@@ -86,7 +87,9 @@ def sample_stats(long: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def bounds(counts: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+def bounds(
+    counts: DataFrame, keys: Sequence[str] = (), extra: Sequence[Column] = ()
+) -> DataFrame:
     """Range and sizes only; works on raw and folded long frames."""
     ref, cur = F.col("n_ref") > 0, F.col("n_cur") > 0
     v = F.col("value")
@@ -99,6 +102,7 @@ def bounds(counts: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
         F.max(F.when(ref, v)).alias("ref_hi"),
         F.min(F.when(cur, v)).alias("cur_lo"),
         F.max(F.when(cur, v)).alias("cur_hi"),
+        *extra,
     )
 
 
@@ -118,14 +122,21 @@ def attach_groups(
 
 
 def binned_counts(
-    counts: DataFrame, limits: DataFrame, bins: int = 10, keys: Sequence[str] = ()
+    counts: DataFrame,
+    limits: DataFrame,
+    bins: int = 10,
+    keys: Sequence[str] = (),
+    carry: Sequence[str] = (),
 ) -> DataFrame:
-    """Weights per non-empty equal-width bin over the combined range of both sides."""
-    narrow = limits.select(*group_keys(keys), "lo", "hi")
+    """Weights per non-empty equal-width bin over the combined range of both sides.
+
+    ``carry`` names per-group columns of ``limits`` to keep, which saves joining them a second time.
+    """
+    kept = dict.fromkeys(["lo", "hi", *carry])
     return (
-        attach_groups(counts, narrow, keys)
+        attach_groups(counts, limits.select(*group_keys(keys), *kept), keys)
         .withColumn("bin", bin_index(F.col("value"), F.col("lo"), F.col("hi"), bins))
-        .groupBy(*group_keys(keys), "bin")
+        .groupBy(*group_keys(keys), *carry, "bin")
         .agg(F.sum("n_ref").alias("n_ref"), F.sum("n_cur").alias("n_cur"))
     )
 
@@ -155,52 +166,51 @@ def aligned_histogram(
     )
 
 
-def running_counts(
-    counts: DataFrame, limits: DataFrame, keys: Sequence[str] = ()
-) -> DataFrame:
-    """Empirical CDF counts per distinct value, plus the next larger value of the group.
+def running_counts(counts: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Empirical CDF counts per distinct value, the next larger value, and the group's sizes and limits.
 
-    A two-level prefix sum: windows run inside (group, cell); totals per cell, a few thousand rows per
-    group, are accumulated separately and added as offsets. No window spans a whole feature.
+    A two-level prefix sum: windows run inside (group, cell); the much smaller table of cells is
+    accumulated separately and added as offsets. No window spans the values of a whole feature.
     """
     group = group_keys(keys)
-    celled = attach_groups(counts, limits.select(*group, "lo", "hi"), keys).select(
-        *group,
-        "value",
-        "n_ref",
-        "n_cur",
-        value_cell(F.col("value"), F.col("lo"), F.col("hi")).alias("cell"),
-    )
-    celled = celled.select(
-        *group,
-        F.col("cell.lin").alias("cell_lin"),
-        F.col("cell.log").alias("cell_log"),
-        "value",
-        "n_ref",
-        "n_cur",
+    celled = counts.select(
+        *group, value_cell(F.col("value")).alias("cell"), "value", "n_ref", "n_cur"
     )
-    in_order = W.partitionBy(*group).orderBy(*CELL)
+    ref, cur, v = F.col("n_ref") > 0, F.col("n_cur") > 0, F.col("value")
+    whole = W.partitionBy(*group)
+    in_order = whole.orderBy("cell")
     earlier = in_order.rowsBetween(W.unboundedPreceding, -1)
     offsets = (
-        celled.groupBy(*group, *CELL)
+        celled.groupBy(*group, "cell")
         .agg(
             F.sum("n_ref").alias("c_ref"),
             F.sum("n_cur").alias("c_cur"),
-            F.min("value").alias("first_value"),
+            F.min("value").alias("c_lo"),
+            F.max("value").alias("c_hi"),
+            F.min(F.when(ref, v)).alias("c_ref_lo"),
+            F.max(F.when(ref, v)).alias("c_ref_hi"),
+            F.min(F.when(cur, v)).alias("c_cur_lo"),
+            F.max(F.when(cur, v)).alias("c_cur_hi"),
         )
         .select(
             *group,
-            *CELL,
+            "cell",
             F.coalesce(F.sum("c_ref").over(earlier), F.lit(0)).alias("before_ref"),
             F.coalesce(F.sum("c_cur").over(earlier), F.lit(0)).alias("before_cur"),
-            F.lead("first_value").over(in_order).alias("next_cell_value"),
+            F.lead("c_lo").over(in_order).alias("next_cell_value"),
+            F.sum("c_ref").over(whole).alias("ref_n"),
+            F.sum("c_cur").over(whole).alias("cur_n"),
+            *[
+                (F.min if name.endswith("lo") else F.max)(f"c_{name}").over(whole).alias(name)
+                for name in LIMITS
+            ],
         )
     )
-    inside = W.partitionBy(*group, *CELL).orderBy("value")
+    inside = W.partitionBy(*group, "cell").orderBy("value")
     so_far = inside.rowsBetween(W.unboundedPreceding, 0)
     local = celled.select(
         *group,
-        *CELL,
+        "cell",
         "value",
         "n_ref",
         "n_cur",
@@ -208,7 +218,7 @@ def running_counts(
         F.sum("n_cur").over(so_far).alias("in_cur"),
         F.lead("value").over(inside).alias("next_in_cell"),
     )
-    return null_safe_join(local, offsets, [*group, *CELL]).select(
+    return null_safe_join(local, offsets, [*group, "cell"]).select(
         *group,
         "value",
         "n_ref",
@@ -216,43 +226,58 @@ def running_counts(
         (F.col("before_ref") + F.col("in_ref")).alias("cum_ref"),
         (F.col("before_cur") + F.col("in_cur")).alias("cum_cur"),
         F.coalesce("next_in_cell", "next_cell_value").alias("next_value"),
+        *SIZES,
+        *LIMITS,
     )
 
 
-def exact_quantiles(
+def rank_picks(
     counts: DataFrame, probs: Sequence[float], keys: Sequence[str] = (), side: str = "cur"
 ) -> DataFrame:
-    """Exact linearly interpolated quantiles as one array per group.
+    """Exact linearly interpolated quantiles and how many values lie below each.
 
-    The ranks are looked up in the distributed running counts, so memory does not grow with the
-    number of distinct values as it does for an aggregate that keeps every value of a group.
+    One row per group: ``size``, ``quantiles`` and ``below``, two arrays aligned with ``probs``. The
+    ranks are looked up in the distributed running counts, so memory does not grow with the number
+    of distinct values as it does for an aggregate that keeps every value of a group.
     """
     group = group_keys(keys)
-    kept = counts.where(F.col(f"n_{side}") > 0)
-    limits = bounds(kept, keys)
     cum = F.col(f"cum_{side}")
-    ranked = attach_groups(
-        running_counts(kept, limits, keys),
-        limits.select(*group, F.col(f"{side}_n").alias("size")),
-        keys,
-    ).select(*group, "value", "size", (cum - F.col(f"n_{side}")).alias("first"), cum.alias("end"))
+    ranked = running_counts(counts.where(F.col(f"n_{side}") > 0), keys).select(
+        *group,
+        "value",
+        F.col(f"{side}_n").alias("size"),
+        (cum - F.col(f"n_{side}")).alias("first"),
+        cum.alias("end"),
+    )
 
     def covers(rank: Column) -> Column:
         return (F.col("first") <= rank) & (rank < F.col("end"))
 
     positions = [F.lit(float(p)) * (F.col("size") - 1) for p in probs]
-    lower = [F.floor(p) for p in positions]
-    upper = [F.ceil(p) for p in positions]
     needed = F.lit(False)
-    for rank in [*lower, *upper]:
-        needed = needed | covers(rank)
     picks = []
-    for i, (lo_rank, hi_rank) in enumerate(zip(lower, upper)):
-        picks.append(F.max(F.when(covers(lo_rank), F.col("value"))).alias(f"lo_{i}"))
-        picks.append(F.max(F.when(covers(hi_rank), F.col("value"))).alias(f"hi_{i}"))
+    for i, position in enumerate(positions):
+        at_lower, at_upper = covers(F.floor(position)), covers(F.ceil(position))
+        needed = needed | at_lower | at_upper
+        picks += [
+            F.max(F.when(at_lower, F.struct("value", "first", "end"))).alias(f"lo_{i}"),
+            F.max(F.when(at_upper, F.col("value"))).alias(f"hi_{i}"),
+        ]
     picked = ranked.where(needed).groupBy(*group, "size").agg(*picks)
-    values = [
-        F.col(f"lo_{i}") + (F.col(f"hi_{i}") - F.col(f"lo_{i}")) * (p - F.floor(p))
-        for i, p in enumerate(positions)
-    ]
-    return picked.select(*group, F.array(*values).alias("quantiles"))
+    values, below = [], []
+    for i, position in enumerate(positions):
+        low = F.col(f"lo_{i}")
+        value = low["value"] + (F.col(f"hi_{i}") - low["value"]) * (position - F.floor(position))
+        values.append(value)
+        # An interpolated quantile lies above its lower neighbour and all of that one's copies.
+        below.append(F.when(value > low["value"], low["end"]).otherwise(low["first"]))
+    return picked.select(
+        *group, "size", F.array(*values).alias("quantiles"), F.array(*below).alias("below")
+    )
+
+
+def exact_quantiles(
+    counts: DataFrame, probs: Sequence[float], keys: Sequence[str] = (), side: str = "cur"
+) -> DataFrame:
+    """Exact linearly interpolated quantiles as one array per group."""
+    return rank_picks(counts, probs, keys, side).select(*group_keys(keys), "quantiles")

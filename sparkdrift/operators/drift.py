@@ -5,11 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparkdrift.functions.ks_exact import ks_p_value
 from sparkdrift.functions.numeric import bin_index, chi2_sf
 from sparkdrift.operators.distribution import (
+    LIMITS,
+    SIZES,
     attach_groups,
     binned_counts,
     bounds,
@@ -75,11 +78,7 @@ def histogram_tests(
     shuffled; their smoothing mass enters JS through the known number of bins.
     """
     group = group_keys(keys)
-    binned = attach_groups(
-        binned_counts(counts, limits, bins, keys),
-        limits.select(*group, "ref_n", "cur_n", "lo", "hi", "ref_lo", "ref_hi", "cur_lo", "cur_hi"),
-        keys,
-    )
+    binned = binned_counts(counts, limits, bins, keys, [*SIZES, *LIMITS])
     p, q = _shares()
     n_bins = F.when(_same_constant(), 1.0).otherwise(float(bins))
     summed = binned.groupBy(*group).agg(
@@ -102,12 +101,15 @@ def histogram_tests(
 
 
 def cdf_tests(
-    counts: DataFrame, limits: DataFrame, keys: Sequence[str] = (), p_mode: str = "auto"
+    counts: DataFrame, keys: Sequence[str] = (), p_mode: str = "auto", strict: bool = False
 ) -> DataFrame:
-    """KS statistic and p-value, and the Wasserstein-1 distance, from one shared CDF."""
+    """KS statistic and p-value, and the Wasserstein-1 distance, from one shared CDF.
+
+    ``counts`` must be folded. Groups with an empty side fail when ``strict``, else are left out.
+    """
     group = group_keys(keys)
-    sizes = limits.select(*group, "ref_n", "cur_n", "lo", "hi", "ref_lo", "ref_hi", "cur_lo", "cur_hi")
-    cdf = attach_groups(running_counts(counts, limits, keys), sizes, keys)
+    cdf = running_counts(counts, keys)
+    cdf = check_sides(cdf) if strict else cdf.where((F.col("ref_n") > 0) & (F.col("cur_n") > 0))
     gap = F.abs(F.col("cum_ref") / F.col("ref_n") - F.col("cum_cur") / F.col("cur_n"))
     step = F.coalesce(F.col("next_value") - F.col("value"), F.lit(0.0))
     summed = cdf.groupBy(*group).agg(
@@ -118,11 +120,10 @@ def cdf_tests(
         F.first(_both_constant()).alias("constant"),
     )
     p = ks_p_value(F.col("ks_statistic"), F.col("ref_n"), F.col("cur_n"), p_mode)
-    settled = F.col("constant")
     return summed.select(
         *group,
         "ks_statistic",
-        F.when(settled, F.when(F.col("ks_statistic") > 0, 0.0).otherwise(1.0))
+        F.when(F.col("constant"), F.when(F.col("ks_statistic") > 0, 0.0).otherwise(1.0))
         .otherwise(p)
         .alias("ks_p_value"),
         "wasserstein",
@@ -138,30 +139,25 @@ def chi_square(
     With one degree of freedom the continuity correction applies. ``counts`` must be folded.
     """
     group = group_keys(keys)
-    limits = null_safe_join(
-        check_sides(bounds(counts, keys)),
-        counts.groupBy(*group).agg(
-            F.count_if(F.col("n_ref") > 0).alias("ref_distinct"),
-            F.count_if(F.col("n_cur") > 0).alias("cur_distinct"),
-        ),
-        group,
+    distinct = (
+        F.count_if(F.col("n_ref") > 0).alias("ref_distinct"),
+        F.count_if(F.col("n_cur") > 0).alias("cur_distinct"),
     )
+    limits = check_sides(bounds(counts, keys, distinct))
     categorical = F.lit(bins is None) & (
         F.greatest("ref_distinct", "cur_distinct") <= CATEGORY_LIMIT
     )
     bin_of = bin_index(F.col("value"), F.col("lo"), F.col("hi"), bins or default_bins)
     cells = (
         attach_groups(
-            counts, limits.select(*group, "lo", "hi", categorical.alias("categorical")), keys
+            counts,
+            limits.select(*group, "lo", "hi", *SIZES, categorical.alias("categorical")),
+            keys,
         )
         .withColumn("cell", F.when(F.col("categorical"), F.col("value")).otherwise(bin_of))
-        .groupBy(*group, "cell")
+        .groupBy(*group, *SIZES, "cell")
         .agg(F.sum("n_ref").alias("n_ref"), F.sum("n_cur").alias("n_cur"))
-    )
-    totals = null_safe_join(
-        limits.select(*group, "ref_n", "cur_n"),
-        cells.groupBy(*group).agg(F.count(F.lit(1)).alias("n_cells")),
-        group,
+        .withColumn("n_cells", F.count(F.lit(1)).over(W.partitionBy(*group)))
     )
     seen = F.col("n_ref") + F.col("n_cur")
     total = F.col("ref_n") + F.col("cur_n")
@@ -175,8 +171,7 @@ def chi_square(
         return corrected * corrected / expected
 
     summed = (
-        attach_groups(cells, totals, keys)
-        .groupBy(*group, "n_cells")
+        cells.groupBy(*group, "n_cells")
         .agg(
             F.sum(
                 term(F.col("n_ref"), F.col("ref_n")) + term(F.col("n_cur"), F.col("cur_n"))
@@ -205,17 +200,13 @@ def jensen_shannon(long: DataFrame, bins: int = 10, keys: Sequence[str] = ()) ->
 
 
 def ks_test(long: DataFrame, keys: Sequence[str] = (), p_mode: str = "auto") -> DataFrame:
-    counts = value_counts(long, keys)
-    limits = check_sides(bounds(counts, keys))
-    return cdf_tests(counts, limits, keys, p_mode).select(
-        *group_keys(keys), "ks_statistic", "ks_p_value"
-    )
+    tests = cdf_tests(value_counts(long, keys), keys, p_mode, strict=True)
+    return tests.select(*group_keys(keys), "ks_statistic", "ks_p_value")
 
 
 def wasserstein(long: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    counts = value_counts(long, keys)
-    limits = check_sides(bounds(counts, keys))
-    return cdf_tests(counts, limits, keys, "asymptotic").select(*group_keys(keys), "wasserstein")
+    tests = cdf_tests(value_counts(long, keys), keys, "asymptotic", strict=True)
+    return tests.select(*group_keys(keys), "wasserstein")
 
 
 def chi_square_test(

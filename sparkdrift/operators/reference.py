@@ -7,15 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkdrift.functions.numeric import bin_edge
+from sparkdrift.functions.numeric import bin_edge, bin_index
 from sparkdrift.operators.distribution import (
     attach_groups,
-    binned_counts,
-    bounds,
-    exact_quantiles,
     group_keys,
+    rank_picks,
     running_counts,
-    sample_stats,
     to_long,
     value_counts,
 )
@@ -31,30 +28,46 @@ def create_profile(
 ) -> DataFrame:
     """One row per feature: moments, quantiles, quantile-based bin edges and their counts.
 
-    A feature without any valid value fails at run time. Edges are deduplicated; a constant feature
-    gets the single bin [min, max + 1e-10].
+    Edges are deduplicated; a constant feature gets the single bin [min, max + 1e-10]. The number of
+    values below every edge comes with the quantile ranks, so the data is not binned in another pass.
+    A feature without any valid value fails at run time.
     """
     group = group_keys(keys)
     long = to_long(df, features, None, keys)
-    counts = value_counts(long, keys)
+    named = list(NAMED_QUANTILES.values())
     grid = [i / n_bins for i in range(n_bins + 1)]
-    quantiles = exact_quantiles(counts, [0.5, *NAMED_QUANTILES.values(), *grid], keys)
-    stats = sample_stats(long, keys).select(
-        *group,
-        F.col("cur_n").alias("n_samples"),
-        F.col("cur_mean").alias("mean"),
-        F.col("cur_std").alias("std"),
-        F.col("lo").alias("min"),
-        F.col("hi").alias("max"),
+    picked = rank_picks(value_counts(long, keys), [0.5, *named, *grid], keys)
+    stats = long.groupBy(*group).agg(
+        F.avg("value").alias("mean"),
+        F.stddev_samp("value").alias("std"),
+        F.min("value").alias("min"),
+        F.max("value").alias("max"),
     )
     q = F.col("quantiles")
-    varied = F.coalesce(F.col("std") > 0, F.lit(False))
-    distinct_edges = F.array_distinct(F.slice(q, 6, n_bins + 1))
-    edges = F.when(
-        varied,
-        F.when(F.size(distinct_edges) >= 2, distinct_edges).otherwise(F.array("min", "max")),
-    ).otherwise(F.array(F.col("min"), F.col("max") + F.lit(EPSILON)))
-    described = null_safe_join(stats, quantiles, group).select(
+    start = 2 + len(named)
+    pairs = F.arrays_zip(
+        F.slice(q, start, n_bins + 1).alias("edge"),
+        F.slice(F.col("below"), start, n_bins + 1).alias("below"),
+    )
+    # Repeated edges keep their first occurrence; equal edges have equal counts below them.
+    distinct = F.filter(
+        pairs, lambda e, i: (i == 0) | (F.coalesce(F.get(pairs, i - 1)["edge"] != e["edge"], F.lit(True)))
+    )
+    varied = F.coalesce(F.col("std") > 0, F.lit(False)) & (F.size("cuts") >= 2)
+    last = F.size("cuts") - 2
+    counts = F.transform(
+        F.slice("cuts", F.lit(1), F.greatest(F.size("cuts") - 1, F.lit(0))),
+        lambda e, i: F.when(i == last, F.col("n_samples")).otherwise(
+            F.get(F.col("cuts"), i + 1)["below"]
+        )
+        - e["below"],
+    )
+    described = (
+        null_safe_join(picked, stats, group)
+        .withColumn("cuts", distinct)
+        .withColumnRenamed("size", "n_samples")
+    )
+    profile = described.select(
         *group,
         "n_samples",
         "mean",
@@ -63,49 +76,26 @@ def create_profile(
         "max",
         q[0].alias("median"),
         F.map_from_arrays(
-            F.array(*[F.lit(k) for k in NAMED_QUANTILES]), F.slice(q, 2, len(NAMED_QUANTILES))
+            F.array(*[F.lit(k) for k in NAMED_QUANTILES]), F.slice(q, 2, len(named))
         ).alias("quantiles"),
-        edges.alias("bin_edges"),
-    )
-    filled = _quantile_bin_counts(counts, described, n_bins, keys)
-    profile = null_safe_join(described, filled, group)
-    if keys:
-        return profile
-    # A left join from the feature list keeps the check that every feature has data.
-    wanted = F.array(*[F.lit(f) for f in features])
-    found = profile.agg(F.collect_set("feature").alias("found"))
-    lost = F.array_except(wanted, found.scalar())
-    checked = F.when(
-        F.size(lost) > 0,
-        F.raise_error(
-            F.concat(F.lit("no valid values in: "), F.array_join(lost, ", "))
-        ).cast("long"),
-    ).otherwise(F.col("n_samples"))
-    return profile.withColumn("n_samples", checked)
+        F.when(varied, F.col("cuts")["edge"])
+        .otherwise(F.array(F.col("min"), F.col("max") + F.lit(EPSILON)))
+        .alias("bin_edges"),
+        F.when(varied, counts).otherwise(F.array("n_samples")).alias("bin_counts"),
+    )
+    return profile if keys else _require_all(profile, features)
 
 
-def _quantile_bin_counts(
-    counts: DataFrame, described: DataFrame, n_bins: int, keys: Sequence[str]
-) -> DataFrame:
-    group = group_keys(keys)
-    edges = F.col("bin_edges")
-    not_above = sum(
-        (
-            F.when(F.get(edges, F.lit(i)) <= F.col("value"), 1).otherwise(0)
-            for i in range(n_bins + 1)
-        ),
-        F.lit(0),
-    )
-    index = F.least(not_above - 1, F.size(edges) - 2)
-    placed = attach_groups(counts, described.select(*group, "bin_edges"), keys).withColumn(
-        "bin", index
-    )
-    sums = [F.sum(F.when(F.col("bin") == i, F.col("n_cur")).otherwise(0)) for i in range(n_bins)]
-    return (
-        placed.groupBy(*group, "bin_edges")
-        .agg(F.array(*sums).alias("bin_counts"))
-        .select(*group, F.slice("bin_counts", F.lit(1), F.size(edges) - 1).alias("bin_counts"))
-    )
+def _require_all(profile: DataFrame, features: Sequence[str]) -> DataFrame:
+    """Fail at run time when a requested feature has no profile; bounded by the feature list."""
+    spark = profile.sparkSession
+    wanted = spark.range(1).select(F.explode(F.array(*[F.lit(f) for f in features])).alias("feature"))
+    joined = wanted.join(F.broadcast(profile), "feature", "left")
+    message = F.concat(F.lit("no valid values in feature "), F.col("feature"))
+    checked = F.when(
+        F.col("n_samples").isNull(), F.raise_error(message).cast("long")
+    ).otherwise(F.col("n_samples"))
+    return joined.withColumn("n_samples", checked)
 
 
 def reference_values(df: DataFrame, features: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
@@ -150,63 +140,73 @@ def profile_only_tests(
 
     The profile acts as a piecewise linear CDF. PSI and JS integrate it over the equal-width bins of
     the combined range; KS and Wasserstein compare it with the current CDF at every current value and
-    stored edge, exactly and without sampling. The KS p-value treats the profile as a sample of the
-    current size.
+    stored edge, exactly and without sampling. Also returns ``cur_n``. The profile is read several
+    times, so it should come from a store rather than from a long plan.
     """
     group = group_keys(keys)
     counts = value_counts(current_long, keys)
-    edge_rows = profile.select(
-        *group,
-        F.explode("bin_edges").alias("value"),
-        F.lit(0).cast("long").alias("n_ref"),
-        F.lit(0).cast("long").alias("n_cur"),
+    stored = profile.select(*group, "bin_edges", "bin_counts")
+    first_edge, last_edge = F.col("bin_edges")[0], F.element_at("bin_edges", -1)
+    limits = null_safe_join(
+        counts.groupBy(*group).agg(
+            F.sum("n_cur").alias("cur_n"), F.min("value").alias("lo"), F.max("value").alias("hi")
+        ),
+        stored,
+        group,
+    ).withColumns(
+        {"lo": F.least("lo", first_edge), "hi": F.greatest("hi", last_edge)}
+    )
+    # Bin counts become one array per group, so empty bins need no grid to be joined to.
+    slots = [F.sum(F.when(F.col("bin") == i, F.col("n_cur")).otherwise(0)) for i in range(bins)]
+    placed = attach_groups(counts, limits, keys).withColumn(
+        "bin", bin_index(F.col("value"), F.col("lo"), F.col("hi"), bins)
+    )
+    filled = placed.groupBy(*group).agg(
+        F.array(*slots).alias("slots"),
+        *[F.first(c).alias(c) for c in ("cur_n", "lo", "hi", "bin_edges", "bin_counts")],
     )
-    points = value_counts(counts.unionByName(edge_rows), keys)
-    limits = bounds(points, keys)
-    stored = profile.select(*group, "bin_edges", "bin_counts", "mean", "std", "n_samples")
 
-    def mass_in(b: Column) -> Column:
+    def mass_in(i: int) -> Column:
         lo, hi = F.col("lo"), F.col("hi")
-        upper = F.when(b == bins - 1, F.lit(1.0)).otherwise(
-            _mass_below(bin_edge(b + 1, lo, hi, bins))
-        )
-        lower = F.when(b == 0, F.lit(0.0)).otherwise(_mass_below(bin_edge(b, lo, hi, bins)))
+        upper = F.lit(1.0) if i == bins - 1 else _mass_below(bin_edge(F.lit(i + 1), lo, hi, bins))
+        lower = F.lit(0.0) if i == 0 else _mass_below(bin_edge(F.lit(i), lo, hi, bins))
         return upper - lower
 
-    grid = null_safe_join(limits.select(*group, "lo", "hi", "cur_n"), stored, group).select(
+    spread = filled.select(
         *group,
         "cur_n",
-        F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"),
-        "lo",
-        "hi",
-        "bin_edges",
-        "bin_counts",
-    )
-    spread = null_safe_join(
-        grid.select(*group, "cur_n", "bin", mass_in(F.col("bin")).alias("p")),
-        binned_counts(points, limits, bins, keys).select(*group, "bin", "n_cur"),
-        [*group, "bin"],
-        "left",
-    ).withColumn("q", F.coalesce("n_cur", F.lit(0)) / F.col("cur_n"))
-    p, q = F.col("p"), F.col("q")
-    histogram = spread.groupBy(*group).agg(
+        F.inline(
+            F.arrays_zip(
+                F.array(*[mass_in(i) for i in range(bins)]).alias("p"), F.col("slots").alias("n")
+            )
+        ),
+    )
+    p, q = F.col("p"), F.col("n") / F.col("cur_n")
+    histogram = spread.groupBy(*group, "cur_n").agg(
         F.sum(psi_term(p, q)).alias("psi"),
         F.greatest(F.sum(js_term(p, q, F.lit(float(bins)))), F.lit(0.0)).alias("js_divergence"),
     )
 
-    sizes = null_safe_join(limits.select(*group, "cur_n"), stored, group)
-    walked = attach_groups(running_counts(points, limits, keys), sizes, keys)
+    edge_rows = stored.select(
+        *group,
+        F.explode("bin_edges").alias("value"),
+        F.lit(0).cast("long").alias("n_ref"),
+        F.lit(0).cast("long").alias("n_cur"),
+    )
+    points = value_counts(current_long.unionByName(edge_rows), keys)
+    walked = attach_groups(running_counts(points, keys), stored, keys)
     here, after = _mass_below(F.col("value")), _mass_below(F.col("next_value"))
     at = F.col("cum_cur") / F.col("cur_n")
     before = (F.col("cum_cur") - F.col("n_cur")) / F.col("cur_n")
     a, b = F.col("gap_here"), F.col("gap_next")
     width = F.col("next_value") - F.col("value")
-    same_sign = a * b >= 0
-    area = F.when(same_sign, (F.abs(a) + F.abs(b)) / 2).otherwise(
+    # Area between a line and a step: two triangles when the sign changes on the way.
+    area = F.when(a * b >= 0, (F.abs(a) + F.abs(b)) / 2).otherwise(
         (a * a + b * b) / (2 * (F.abs(a) + F.abs(b)))
     )
     cdf = (
-        walked.select(
+        walked.where(F.col("cur_n") > 0)
+        .select(
             *group,
             "value",
             "next_value",
