@@ -43,15 +43,15 @@ class Query:
         out = []
         for name, kind in self.columns:
             if kind == "i":
-                expr = f"CAST({name} AS BIGINT)"
+                expr = f'CAST("{name}" AS BIGINT)'
             elif kind == "t":
-                expr = f"CAST({name} AS TIMESTAMP)"
+                expr = f'CAST("{name}" AS TIMESTAMP)'
             elif kind.startswith("f"):
                 # Adding zero turns a negative zero into the ordinary one.
-                expr = f"round(CAST({name} AS DOUBLE), {kind[1:]}) + 0.0"
+                expr = f'round(CAST("{name}" AS DOUBLE), {kind[1:]}) + 0.0'
             else:
-                expr = name
-            out.append(f"{expr} AS {name}")
+                expr = f'"{name}"'
+            out.append(f'{expr} AS "{name}"')
         return f"SELECT {', '.join(out)} FROM (\n{self.sql}\n) AS result"
 
 

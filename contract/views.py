@@ -103,8 +103,8 @@ LI_QUALITY = QualityConfig(
 OBS_FEATURES = FeatureConfig(
     measures=tuple(MEASURES),
     lag_columns=("avg_value", "max_value"),
-    rolling_columns=("avg_value",),
-    target_source="avg_value",
+    rolling_columns=("max_value",),
+    target_source="max_value",
     target="target",
     excluded=(*FeatureConfig().excluded, "event_type", "hour"),
 )
