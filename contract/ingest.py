@@ -235,8 +235,9 @@ def _(spark, sf):
     "dt:s n:i total:f2 newest:t",
     f"""WITH obs AS ({OBS_SQL})
 SELECT strftime(hour, '%Y-%m-%d') AS dt, count(*) AS n,
-  sum(round_even((max_value / 10 + CASE WHEN hour >= TIMESTAMP '{"2024-01-16"}' THEN 1 ELSE 0 END) * 100, 0)
-      / 100) AS total, max(hour) AS newest
+  sum(CASE WHEN hour >= TIMESTAMP '2024-01-16'
+    THEN round_even((round_even(max_value / 10 * 100, 0) / 100 + 1) * 100, 0) / 100
+    ELSE round_even(max_value / 10 * 100, 0) / 100 END) AS total, max(hour) AS newest
 FROM obs GROUP BY 1""",
 )
 def _(spark, sf):

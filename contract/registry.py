@@ -11,7 +11,6 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 Build = Callable[[SparkSession, str], DataFrame]
 
@@ -24,18 +23,17 @@ class Query:
     sql: str | None
 
     def run(self, spark: SparkSession, sf_dir: str) -> DataFrame:
-        df = self.build(spark, sf_dir)
         out = []
         for name, kind in self.columns:
-            c = F.col(name)
+            expr = f"`{name}`"
             if kind == "i":
-                c = c.cast("long")
+                expr = f"CAST({expr} AS BIGINT)"
             elif kind == "t":
-                c = c.cast("timestamp_ntz")
+                expr = f"CAST({expr} AS TIMESTAMP_NTZ)"
             elif kind.startswith("f"):
-                c = F.round(c.cast("double"), int(kind[1:]))
-            out.append(c.alias(name))
-        return df.select(*out)
+                expr = f"round(CAST({expr} AS DOUBLE), {kind[1:]})"
+            out.append(f"{expr} AS `{name}`")
+        return self.build(spark, sf_dir).selectExpr(*out)
 
     def oracle(self) -> str | None:
         if self.sql is None:

@@ -59,12 +59,14 @@ def _exact_p_udf():
     return F.pandas_udf(exact, "double")
 
 
-def ks_p_value(stat: Column, n: Column, m: Column, mode: str = "asymptotic") -> Column:
-    """``asymptotic`` stays JVM-side; ``auto`` counts paths exactly for samples up to 10,000."""
+def ks_p_value(stat: str, n: str, m: str, mode: str = "auto") -> Column:
+    """P-value from columns holding the statistic and both sizes.
+
+    ``asymptotic`` stays JVM-side; ``auto`` counts paths exactly for samples up to 10,000.
+    """
     asymptotic = ks_asymptotic_p(stat, n, m)
     if mode == "asymptotic":
         return asymptotic
-    small = F.greatest(n, m) <= EXACT_LIMIT
-    exact_d = F.when(small & (stat > 0) & (stat < 1), stat)
-    exact = _exact_p_udf()(exact_d, F.when(small, n), F.when(small, m))
-    return F.when(exact_d.isNotNull(), exact).otherwise(asymptotic)
+    small = F.expr(f"greatest({n}, {m}) <= {EXACT_LIMIT} AND {stat} > 0 AND {stat} < 1")
+    exact = _exact_p_udf()(F.when(small, F.col(stat)), F.when(small, F.col(n)), F.when(small, F.col(m)))
+    return F.when(small, exact).otherwise(asymptotic)

@@ -54,41 +54,28 @@ def value_cell(value: Column) -> Column:
     extra pass. A value and its cell never disagree in order; only balance depends on the scale.
     """
     scaled = F.floor(F.log2(F.abs(value)) * F.lit(float(CELLS_PER_OCTAVE))) + OCTAVE_SHIFT
-    return (
-        F.when(value == 0, F.lit(0))
-        .when(value > 0, scaled)
-        .otherwise(-scaled)
-        .cast("int")
-    )
-
-
-def kolmogorov_sf(lam: Column) -> Column:
-    """Upper tail of the Kolmogorov distribution; each branch uses the series that converges fast."""
-    ks = F.sequence(F.lit(1), F.lit(100))
+    return F.when(value == 0, 0).otherwise(F.signum(value) * scaled).cast("int")
 
-    def alternating(acc: Column, k: Column) -> Column:
-        sign = F.when(k % 2 == 1, F.lit(1.0)).otherwise(F.lit(-1.0))
-        return acc + sign * F.exp(F.lit(-2.0) * k * k * lam * lam)
 
-    def theta(acc: Column, k: Column) -> Column:
-        odd = F.lit(2.0) * k - F.lit(1.0)
-        return acc + F.exp(-odd * odd * F.lit(math.pi**2 / 8.0) / (lam * lam))
+# Upper tail of the Kolmogorov distribution at z.lam; each branch uses the series that converges fast.
+_KOLMOGOROV = f"""least(1D, greatest(0D, CASE
+  WHEN z.lam <= 0.02D THEN 1D
+  WHEN z.lam < 0.3D THEN 1D - {math.sqrt(2 * math.pi)!r}D / z.lam * aggregate(sequence(1, 100), 0D,
+    (acc, k) -> acc + exp(-(2 * k - 1) * (2 * k - 1) * {math.pi**2 / 8!r}D / (z.lam * z.lam)))
+  ELSE 2D * aggregate(sequence(1, 100), 0D,
+    (acc, k) -> acc + if(k % 2 = 1, 1D, -1D) * exp(-2D * k * k * z.lam * z.lam)) END))"""
 
-    upper = F.lit(2.0) * F.aggregate(ks, F.lit(0.0), alternating)
-    lower = F.lit(1.0) - F.lit(math.sqrt(2 * math.pi)) / lam * F.aggregate(ks, F.lit(0.0), theta)
-    tail = F.when(lam <= F.lit(0.02), F.lit(1.0)).when(lam < F.lit(0.3), lower).otherwise(upper)
-    return F.least(F.greatest(tail, F.lit(0.0)), F.lit(1.0))
 
+def ks_asymptotic_p(stat: str, n: str, m: str) -> Column:
+    """Large-sample two-sided p-value with the published 1/sqrt(N) correction of the argument.
 
-def ks_asymptotic_p(stat: Column, n: Column, m: Column) -> Column:
-    """Large-sample two-sided p-value with the published 1/sqrt(N) correction of the argument."""
-    size = F.round(n.cast("double") * m / (n + m))
-    size = F.greatest(size, F.lit(1.0))
-    z = F.sqrt(size) * stat
-    lam = z + F.lit(1.0) / (F.lit(6.0) * F.sqrt(size)) + (z - 1) / (F.lit(4.0) * size)
-    return (
-        F.when(stat <= 0, F.lit(1.0)).when(stat >= 1, F.lit(0.0)).otherwise(kolmogorov_sf(lam))
-    )
+    The arguments are column names.
+    """
+    size = f"greatest(round(CAST({n} AS DOUBLE) * {m} / ({n} + {m})), 1D)"
+    root = f"sqrt({size})"
+    lam = f"{root} * {stat} + 1D / (6D * {root}) + ({root} * {stat} - 1D) / (4D * {size})"
+    tail = f"transform(array(named_struct('lam', {lam})), z -> {_KOLMOGOROV})[0]"
+    return F.expr(f"CASE WHEN {stat} <= 0 THEN 1D WHEN {stat} >= 1 THEN 0D ELSE {tail} END")
 
 
 def erfc(z: Column) -> Column:

@@ -95,7 +95,7 @@ def feature_drift(
     current_long = to_long(current, features, None, keys)
     if values is None:
         tests = profile_only_tests(profile, current_long, keys=keys)
-        p = ks_p_value(F.col("ks_statistic"), F.col("cur_n"), F.col("cur_n"), p_mode)
+        p = ks_p_value("ks_statistic", "cur_n", "cur_n", p_mode)
         tests = tests.withColumn("ks_p_value", p).drop("cur_n")
     else:
         counts = combined_counts(values.where(F.col("feature").isin(*features)), current_long, keys)

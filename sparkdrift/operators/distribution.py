@@ -12,11 +12,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparkdrift.functions.numeric import bin_edge, bin_index, clean_double, value_cell
-from sparkdrift.operators.frames import null_safe_join, require_columns
+from sparkdrift.operators.frames import exprs, null_safe_join, require_columns
 
 SIZES = ("ref_n", "cur_n")
 LIMITS = ("lo", "hi", "ref_lo", "ref_hi", "cur_lo", "cur_hi")
@@ -56,52 +55,34 @@ def pair_long(
     )
 
 
+def side_sums() -> list[Column]:
+    return exprs("sum(n_ref) AS n_ref", "sum(n_cur) AS n_cur")
+
+
 def group_keys(keys: Sequence[str]) -> list[str]:
     return [*keys, "feature"]
 
 
 def value_counts(long: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Fold equal values; map-side combining absorbs hot values."""
-    return long.groupBy(*group_keys(keys), "value").agg(
-        F.sum("n_ref").alias("n_ref"), F.sum("n_cur").alias("n_cur")
-    )
-
-
-def sample_stats(long: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Size, range, mean and sample deviation of both sides, per group, from raw long rows."""
-    ref, cur = F.col("n_ref") > 0, F.col("n_cur") > 0
-    v = F.col("value")
-    return long.groupBy(*group_keys(keys)).agg(
-        F.sum("n_ref").alias("ref_n"),
-        F.sum("n_cur").alias("cur_n"),
-        F.min("value").alias("lo"),
-        F.max("value").alias("hi"),
-        F.min(F.when(ref, v)).alias("ref_lo"),
-        F.max(F.when(ref, v)).alias("ref_hi"),
-        F.min(F.when(cur, v)).alias("cur_lo"),
-        F.max(F.when(cur, v)).alias("cur_hi"),
-        F.avg(F.when(ref, v)).alias("ref_mean"),
-        F.stddev_samp(F.when(ref, v)).alias("ref_std"),
-        F.avg(F.when(cur, v)).alias("cur_mean"),
-        F.stddev_samp(F.when(cur, v)).alias("cur_std"),
-    )
+    return long.groupBy(*group_keys(keys), "value").agg(*side_sums())
 
 
 def bounds(
     counts: DataFrame, keys: Sequence[str] = (), extra: Sequence[Column] = ()
 ) -> DataFrame:
-    """Range and sizes only; works on raw and folded long frames."""
-    ref, cur = F.col("n_ref") > 0, F.col("n_cur") > 0
-    v = F.col("value")
+    """Sizes and value ranges of both sides per group; works on raw and folded long frames."""
     return counts.groupBy(*group_keys(keys)).agg(
-        F.sum("n_ref").alias("ref_n"),
-        F.sum("n_cur").alias("cur_n"),
-        F.min("value").alias("lo"),
-        F.max("value").alias("hi"),
-        F.min(F.when(ref, v)).alias("ref_lo"),
-        F.max(F.when(ref, v)).alias("ref_hi"),
-        F.min(F.when(cur, v)).alias("cur_lo"),
-        F.max(F.when(cur, v)).alias("cur_hi"),
+        *exprs(
+            "sum(n_ref) AS ref_n",
+            "sum(n_cur) AS cur_n",
+            "min(value) AS lo",
+            "max(value) AS hi",
+            "min(value) FILTER (WHERE n_ref > 0) AS ref_lo",
+            "max(value) FILTER (WHERE n_ref > 0) AS ref_hi",
+            "min(value) FILTER (WHERE n_cur > 0) AS cur_lo",
+            "max(value) FILTER (WHERE n_cur > 0) AS cur_hi",
+        ),
         *extra,
     )
 
@@ -137,7 +118,7 @@ def binned_counts(
         attach_groups(counts, limits.select(*group_keys(keys), *kept), keys)
         .withColumn("bin", bin_index(F.col("value"), F.col("lo"), F.col("hi"), bins))
         .groupBy(*group_keys(keys), *carry, "bin")
-        .agg(F.sum("n_ref").alias("n_ref"), F.sum("n_cur").alias("n_cur"))
+        .agg(*side_sums())
     )
 
 
@@ -173,111 +154,118 @@ def running_counts(counts: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     accumulated separately and added as offsets. No window spans the values of a whole feature.
     """
     group = group_keys(keys)
+    names = ", ".join(f"`{k}`" for k in group)
     celled = counts.select(
         *group, value_cell(F.col("value")).alias("cell"), "value", "n_ref", "n_cur"
     )
-    ref, cur, v = F.col("n_ref") > 0, F.col("n_cur") > 0, F.col("value")
-    whole = W.partitionBy(*group)
-    in_order = whole.orderBy("cell")
-    earlier = in_order.rowsBetween(W.unboundedPreceding, -1)
-    offsets = (
-        celled.groupBy(*group, "cell")
-        .agg(
-            F.sum("n_ref").alias("c_ref"),
-            F.sum("n_cur").alias("c_cur"),
-            F.min("value").alias("c_lo"),
-            F.max("value").alias("c_hi"),
-            F.min(F.when(ref, v)).alias("c_ref_lo"),
-            F.max(F.when(ref, v)).alias("c_ref_hi"),
-            F.min(F.when(cur, v)).alias("c_cur_lo"),
-            F.max(F.when(cur, v)).alias("c_cur_hi"),
-        )
-        .select(
-            *group,
-            "cell",
-            F.coalesce(F.sum("c_ref").over(earlier), F.lit(0)).alias("before_ref"),
-            F.coalesce(F.sum("c_cur").over(earlier), F.lit(0)).alias("before_cur"),
-            F.lead("c_lo").over(in_order).alias("next_cell_value"),
-            F.sum("c_ref").over(whole).alias("ref_n"),
-            F.sum("c_cur").over(whole).alias("cur_n"),
-            *[
-                (F.min if name.endswith("lo") else F.max)(f"c_{name}").over(whole).alias(name)
-                for name in LIMITS
-            ],
-        )
+    earlier = f"(PARTITION BY {names} ORDER BY cell ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    whole = f"(PARTITION BY {names})"
+    totals = [("ref_n", "sum"), ("cur_n", "sum")]
+    totals += [(c, "min" if c.endswith("lo") else "max") for c in LIMITS]
+    offsets = bounds(celled, [*keys, "cell"]).selectExpr(
+        *group,
+        "cell",
+        f"coalesce(sum(ref_n) OVER {earlier}, 0) AS before_ref",
+        f"coalesce(sum(cur_n) OVER {earlier}, 0) AS before_cur",
+        f"lead(lo) OVER (PARTITION BY {names} ORDER BY cell) AS next_cell_value",
+        *[f"{f}({c}) OVER {whole} AS {c}" for c, f in totals],
     )
-    inside = W.partitionBy(*group, "cell").orderBy("value")
-    so_far = inside.rowsBetween(W.unboundedPreceding, 0)
-    local = celled.select(
+    inside = f"PARTITION BY {names}, cell ORDER BY value"
+    so_far = f"({inside} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    local = celled.selectExpr(
         *group,
         "cell",
         "value",
         "n_ref",
         "n_cur",
-        F.sum("n_ref").over(so_far).alias("in_ref"),
-        F.sum("n_cur").over(so_far).alias("in_cur"),
-        F.lead("value").over(inside).alias("next_in_cell"),
+        f"sum(n_ref) OVER {so_far} AS in_ref",
+        f"sum(n_cur) OVER {so_far} AS in_cur",
+        f"lead(value) OVER ({inside}) AS next_in_cell",
     )
-    return null_safe_join(local, offsets, [*group, "cell"]).select(
+    return null_safe_join(local, offsets, [*group, "cell"]).selectExpr(
         *group,
         "value",
         "n_ref",
         "n_cur",
-        (F.col("before_ref") + F.col("in_ref")).alias("cum_ref"),
-        (F.col("before_cur") + F.col("in_cur")).alias("cum_cur"),
-        F.coalesce("next_in_cell", "next_cell_value").alias("next_value"),
+        "before_ref + in_ref AS cum_ref",
+        "before_cur + in_cur AS cum_cur",
+        "coalesce(next_in_cell, next_cell_value) AS next_value",
         *SIZES,
         *LIMITS,
     )
 
 
 def rank_picks(
-    counts: DataFrame, probs: Sequence[float], keys: Sequence[str] = (), side: str = "cur"
+    long: DataFrame, probs: Sequence[float], keys: Sequence[str] = (), side: str = "cur"
 ) -> DataFrame:
     """Exact linearly interpolated quantiles and how many values lie below each.
 
-    One row per group: ``size``, ``quantiles`` and ``below``, two arrays aligned with ``probs``. The
-    ranks are looked up in the distributed running counts, so memory does not grow with the number
-    of distinct values as it does for an aggregate that keeps every value of a group.
+    One row per group: ``size``, ``quantiles`` and ``below``, two arrays aligned with ``probs``. Raw
+    and folded frames both do. Two passes: the first counts values per cell, which tells the few cells
+    that hold the wanted ranks; the second folds and orders only the values of those cells. Neither
+    the data nor a feature's distinct values are ever sorted as a whole or kept in one place.
     """
     group = group_keys(keys)
-    cum = F.col(f"cum_{side}")
-    ranked = running_counts(counts.where(F.col(f"n_{side}") > 0), keys).select(
+    names = ", ".join(f"`{k}`" for k in group)
+    wanted = "array(" + ", ".join(f"{float(p)!r}D" for p in probs) + ")"
+    ranks = (
+        f"array_distinct(concat(transform({wanted}, p -> floor(p * (size - 1))), "
+        f"transform({wanted}, p -> ceil(p * (size - 1)))))"
+    )
+    celled = long.where(F.col(f"n_{side}") > 0).select(
+        *group, value_cell(F.col("value")).alias("cell"), "value", F.col(f"n_{side}").alias("n")
+    )
+    earlier = f"(PARTITION BY {names} ORDER BY cell ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    holding = (
+        celled.groupBy(*group, "cell")
+        .agg(F.sum("n").alias("c"))
+        .selectExpr(
+            *group,
+            "cell",
+            "c",
+            f"coalesce(sum(c) OVER {earlier}, 0) AS before",
+            f"sum(c) OVER (PARTITION BY {names}) AS size",
+        )
+        .where(F.expr(f"exists({ranks}, r -> r >= before AND r < before + c)"))
+        .drop("c")
+    )
+    on = [*group, "cell"]
+    # Without keys at most two cells per wanted rank and feature, a bound known beforehand.
+    near = null_safe_join(celled, holding if keys else F.broadcast(holding), on)
+    so_far = f"(PARTITION BY {names}, cell ORDER BY value ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    found = (
+        near.groupBy(*on, "before", "size", "value")
+        .agg(F.sum("n").alias("n"))
+        .selectExpr(*group, "size", "value", f"before + sum(n) OVER {so_far} AS end", "n")
+        .selectExpr(*group, "size", "value", "end - n AS first", "end")
+        .selectExpr(
+            *group, "size", "value", "first", "end",
+            f"filter({ranks}, r -> r >= first AND r < end) AS hits",
+        )
+        .where(F.expr("size(hits) > 0"))
+    )
+    entry = "struct(r AS rank, struct(value AS value, first AS first, end AS end) AS at)"
+    by_rank = found.groupBy(*group, "size").agg(
+        F.expr(f"map_from_entries(flatten(collect_list(transform(hits, r -> {entry})))) AS at")
+    )
+    low, high = "at[floor(p * (size - 1))]", "at[ceil(p * (size - 1))]"
+    # An interpolated quantile lies above its lower neighbour and all of that one's copies.
+    looked_up = by_rank.selectExpr(
         *group,
-        "value",
-        F.col(f"{side}_n").alias("size"),
-        (cum - F.col(f"n_{side}")).alias("first"),
-        cum.alias("end"),
+        "size",
+        f"""transform({wanted}, p -> struct({low} AS low,
+            {low}.value + ({high}.value - {low}.value) * (p * (size - 1) - floor(p * (size - 1))) AS q)) AS z""",
     )
-
-    def covers(rank: Column) -> Column:
-        return (F.col("first") <= rank) & (rank < F.col("end"))
-
-    positions = [F.lit(float(p)) * (F.col("size") - 1) for p in probs]
-    needed = F.lit(False)
-    picks = []
-    for i, position in enumerate(positions):
-        at_lower, at_upper = covers(F.floor(position)), covers(F.ceil(position))
-        needed = needed | at_lower | at_upper
-        picks += [
-            F.max(F.when(at_lower, F.struct("value", "first", "end"))).alias(f"lo_{i}"),
-            F.max(F.when(at_upper, F.col("value"))).alias(f"hi_{i}"),
-        ]
-    picked = ranked.where(needed).groupBy(*group, "size").agg(*picks)
-    values, below = [], []
-    for i, position in enumerate(positions):
-        low = F.col(f"lo_{i}")
-        value = low["value"] + (F.col(f"hi_{i}") - low["value"]) * (position - F.floor(position))
-        values.append(value)
-        # An interpolated quantile lies above its lower neighbour and all of that one's copies.
-        below.append(F.when(value > low["value"], low["end"]).otherwise(low["first"]))
-    return picked.select(
-        *group, "size", F.array(*values).alias("quantiles"), F.array(*below).alias("below")
+    return looked_up.selectExpr(
+        *group,
+        "size",
+        "transform(z, e -> e.q) AS quantiles",
+        "transform(z, e -> if(e.q > e.low.value, e.low.end, e.low.first)) AS below",
     )
 
 
 def exact_quantiles(
-    counts: DataFrame, probs: Sequence[float], keys: Sequence[str] = (), side: str = "cur"
+    long: DataFrame, probs: Sequence[float], keys: Sequence[str] = (), side: str = "cur"
 ) -> DataFrame:
     """Exact linearly interpolated quantiles as one array per group."""
-    return rank_picks(counts, probs, keys, side).select(*group_keys(keys), "quantiles")
+    return rank_picks(long, probs, keys, side).select(*group_keys(keys), "quantiles")

@@ -119,7 +119,7 @@ def cdf_tests(
         F.first("cur_n").alias("cur_n"),
         F.first(_both_constant()).alias("constant"),
     )
-    p = ks_p_value(F.col("ks_statistic"), F.col("ref_n"), F.col("cur_n"), p_mode)
+    p = ks_p_value("ks_statistic", "ref_n", "cur_n", p_mode)
     return summed.select(
         *group,
         "ks_statistic",

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,13 +19,14 @@ def null_safe_join(
     if not on:
         row = one_row(right)
         return left.select("*", *[row[c].alias(c) for c in right.columns])
-    renamed = right.select(
-        *[F.col(k).alias(f"__r_{k}") for k in on], *[c for c in right.columns if c not in on]
-    )
-    condition = reduce(
-        lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in on], F.lit(True)
-    )
-    return left.join(renamed, condition, how).drop(*[f"__r_{k}" for k in on])
+    renamed = right.withColumnsRenamed({k: f"__r_{k}" for k in on})
+    condition = " AND ".join(f"`{k}` <=> `__r_{k}`" for k in on)
+    return left.join(renamed, F.expr(condition), how).drop(*[f"__r_{k}" for k in on])
+
+
+def exprs(*texts: str) -> list[Column]:
+    """SQL expressions as columns."""
+    return [F.expr(t) for t in texts]
 
 
 def one_row(df: DataFrame) -> Column:

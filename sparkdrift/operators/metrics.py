@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sparkdrift.functions.numeric import bin_edge, bin_index
 from sparkdrift.functions.timeparts import period_start
-from sparkdrift.operators.distribution import exact_quantiles, to_long, value_counts
+from sparkdrift.operators.distribution import exact_quantiles, to_long
 from sparkdrift.operators.frames import null_safe_join
 
 # Smallest divisor of the percentage error: the double-precision machine epsilon.
@@ -112,7 +112,7 @@ def residual_report(
         F.skewness(residual).alias("residual_skewness"),
         F.kurtosis(residual).alias("residual_kurtosis"),
     )
-    errors = value_counts(to_long(pairs.select(F.abs(residual).alias("error")), ["error"]))
+    errors = to_long(pairs.select(F.abs(residual).alias("error")), ["error"])
     # Reported percentiles.
     probs = {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
     tail = exact_quantiles(errors, list(probs.values()))
@@ -150,8 +150,8 @@ def qq_points(df: DataFrame, y: str, prediction: str, points: int = 99) -> DataF
     probs = [i / (points + 1) for i in range(1, points + 1)]
     normal = NormalDist()
     residuals = _pairs(df, y, prediction, []).select((F.col("y") - F.col("p")).alias("r"))
-    found = exact_quantiles(value_counts(to_long(residuals, ["r"])), probs)
-    expected = F.array(*[F.lit(normal.inv_cdf(p)) for p in probs])
+    found = exact_quantiles(to_long(residuals, ["r"]), probs)
+    expected = F.expr("array(" + ", ".join(f"{normal.inv_cdf(p)!r}D" for p in probs) + ")")
     return found.select(F.posexplode("quantiles").alias("i", "residual_quantile")).select(
         (F.col("i") + 1).alias("point"), expected[F.col("i")].alias("normal_quantile"), "residual_quantile"
     )

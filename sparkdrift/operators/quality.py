@@ -15,7 +15,6 @@ from sparkdrift.operators.distribution import (
     exact_quantiles,
     group_keys,
     to_long,
-    value_counts,
 )
 from sparkdrift.operators.frames import null_safe_join
 from sparkdrift.operators.windows import Series, time_gaps
@@ -145,10 +144,10 @@ def gap_check(
     )
 
 
-def outlier_bounds(counts: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+def outlier_bounds(long: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     q = F.col("quantiles")
     spread = q[1] - q[0]
-    return exact_quantiles(counts, [0.25, 0.75], keys).select(
+    return exact_quantiles(long, [0.25, 0.75], keys).select(
         *group_keys(keys),
         (q[0] - 1.5 * spread).alias("lower"),
         (q[1] + 1.5 * spread).alias("upper"),
@@ -161,8 +160,8 @@ def iqr_outliers(
     """Values outside the quartile fences per column; columns with fewer than 4 values report 0."""
     names = [s.name for s in _present(df, config.specs)]
     measured = df.select(*keys, *[_measure(df, n).alias(n) for n in names])
-    counts = value_counts(to_long(measured, names, None, keys), keys)
-    fenced = attach_groups(counts, outlier_bounds(counts, keys), keys)
+    long = to_long(measured, names, None, keys)
+    fenced = attach_groups(long, outlier_bounds(long, keys), keys)
     outside = (F.col("value") < F.col("lower")) | (F.col("value") > F.col("upper"))
     return fenced.groupBy(*group_keys(keys), "lower", "upper").agg(
         F.sum("n_cur").alias("n_values"),

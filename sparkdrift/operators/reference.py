@@ -17,7 +17,7 @@ from sparkdrift.operators.distribution import (
     value_counts,
 )
 from sparkdrift.operators.drift import EPSILON, js_term, psi_term
-from sparkdrift.operators.frames import null_safe_join
+from sparkdrift.operators.frames import exprs, null_safe_join
 
 # Named quantiles of a profile.
 NAMED_QUANTILES = {"5%": 0.05, "25%": 0.25, "75%": 0.75, "95%": 0.95}
@@ -34,54 +34,48 @@ def create_profile(
     """
     group = group_keys(keys)
     long = to_long(df, features, None, keys)
-    named = list(NAMED_QUANTILES.values())
     grid = [i / n_bins for i in range(n_bins + 1)]
-    picked = rank_picks(value_counts(long, keys), [0.5, *named, *grid], keys)
+    picked = rank_picks(long, [0.5, *NAMED_QUANTILES.values(), *grid], keys)
     stats = long.groupBy(*group).agg(
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-    )
-    q = F.col("quantiles")
-    start = 2 + len(named)
-    pairs = F.arrays_zip(
-        F.slice(q, start, n_bins + 1).alias("edge"),
-        F.slice(F.col("below"), start, n_bins + 1).alias("below"),
-    )
-    # Repeated edges keep their first occurrence; equal edges have equal counts below them.
-    distinct = F.filter(
-        pairs, lambda e, i: (i == 0) | (F.coalesce(F.get(pairs, i - 1)["edge"] != e["edge"], F.lit(True)))
-    )
-    varied = F.coalesce(F.col("std") > 0, F.lit(False)) & (F.size("cuts") >= 2)
-    last = F.size("cuts") - 2
-    counts = F.transform(
-        F.slice("cuts", F.lit(1), F.greatest(F.size("cuts") - 1, F.lit(0))),
-        lambda e, i: F.when(i == last, F.col("n_samples")).otherwise(
-            F.get(F.col("cuts"), i + 1)["below"]
+        *exprs(
+            "avg(value) AS mean",
+            "stddev_samp(value) AS std",
+            "min(value) AS min",
+            "max(value) AS max",
         )
-        - e["below"],
     )
-    described = (
+    start = 2 + len(NAMED_QUANTILES)
+    labels = ", ".join(f"'{k}'" for k in NAMED_QUANTILES)
+    # Repeated edges keep their first occurrence; equal edges have equal counts below them.
+    cuts = (
         null_safe_join(picked, stats, group)
-        .withColumn("cuts", distinct)
         .withColumnRenamed("size", "n_samples")
+        .withColumn(
+            "pairs",
+            F.expr(
+                f"zip_with(slice(quantiles, {start}, {n_bins + 1}), "
+                f"slice(below, {start}, {n_bins + 1}), (e, b) -> struct(e AS edge, b AS below))"
+            ),
+        )
+        .withColumn(
+            "cuts",
+            F.expr("filter(pairs, (e, i) -> i = 0 OR coalesce(get(pairs, i - 1).edge != e.edge, true))"),
+        )
+        .withColumn("varied", F.expr("coalesce(std > 0, false) AND size(cuts) >= 2"))
     )
-    profile = described.select(
+    profile = cuts.selectExpr(
         *group,
         "n_samples",
         "mean",
         "std",
         "min",
         "max",
-        q[0].alias("median"),
-        F.map_from_arrays(
-            F.array(*[F.lit(k) for k in NAMED_QUANTILES]), F.slice(q, 2, len(named))
-        ).alias("quantiles"),
-        F.when(varied, F.col("cuts")["edge"])
-        .otherwise(F.array(F.col("min"), F.col("max") + F.lit(EPSILON)))
-        .alias("bin_edges"),
-        F.when(varied, counts).otherwise(F.array("n_samples")).alias("bin_counts"),
+        "quantiles[0] AS median",
+        f"map_from_arrays(array({labels}), slice(quantiles, 2, {len(NAMED_QUANTILES)})) AS quantiles",
+        f"if(varied, cuts.edge, array(min, max + {EPSILON!r}D)) AS bin_edges",
+        """if(varied, transform(slice(cuts, 1, greatest(size(cuts) - 1, 0)), (e, i) ->
+             if(i = size(cuts) - 2, n_samples, get(cuts, i + 1).below) - e.below),
+           array(n_samples)) AS bin_counts""",
     )
     return profile if keys else _require_all(profile, features)
 
