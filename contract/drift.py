@@ -18,12 +18,13 @@ from contract.views import (
     is_ref,
     js_sql,
     ks_p_sql,
-    li_long,
+    li_sample,
     li_shift,
     lineitem,
     long_sql,
     reference_side,
     shared_dir,
+    shift_sample,
     two_sample_sql,
 )
 from contract.views import IS_REF_SQL, PSI_TERM_SQL
@@ -31,7 +32,7 @@ from sparkdrift.config import DriftConfig
 from sparkdrift.operators import detect as D
 from sparkdrift.operators import drift as T
 from sparkdrift.operators import history as H
-from sparkdrift.operators.distribution import aligned_histogram, to_long
+from sparkdrift.operators.distribution import TwoSample, aligned_histogram, to_long
 from sparkdrift.operators.reference import (
     create_profile,
     profile_bins,
@@ -49,14 +50,14 @@ SHIFT_TESTS_SQL = two_sample_sql(SHIFT_LONG_SQL)
 
 @query("psi", "feature:s psi:f6", f"WITH {LI_TESTS_SQL} SELECT feature, psi FROM hist_tests")
 def _(spark, sf):
-    return T.psi(li_long(spark, sf))
+    return T.psi(li_sample(spark, sf))
 
 
 @query(
     "psi_shifted", "feature:s psi:f6", f"WITH {SHIFT_TESTS_SQL} SELECT feature, psi FROM hist_tests"
 )
 def _(spark, sf):
-    return T.psi(to_long(li_shift(spark, sf), FEATURES, is_ref()))
+    return T.psi(shift_sample(spark, sf))
 
 
 @query(
@@ -65,7 +66,7 @@ def _(spark, sf):
     f"WITH {LI_TESTS_SQL} SELECT feature, js_divergence FROM hist_tests",
 )
 def _(spark, sf):
-    return T.jensen_shannon(li_long(spark, sf))
+    return T.jensen_shannon(li_sample(spark, sf))
 
 
 @query(
@@ -74,7 +75,7 @@ def _(spark, sf):
     f"WITH {LI_TESTS_SQL} SELECT feature, ks_statistic, {ks_p_sql()} AS ks_p_value FROM cdf_tests",
 )
 def _(spark, sf):
-    return T.ks_test(li_long(spark, sf))
+    return T.ks_test(li_sample(spark, sf))
 
 
 @query(
@@ -83,7 +84,7 @@ def _(spark, sf):
     f"WITH {LI_TESTS_SQL} SELECT feature, wasserstein FROM cdf_tests",
 )
 def _(spark, sf):
-    return T.wasserstein(li_long(spark, sf))
+    return T.wasserstein(li_sample(spark, sf))
 
 
 @query(
@@ -97,7 +98,8 @@ FROM lim CROSS JOIN (SELECT unnest(generate_series(0, 9)) AS bin) AS g
 LEFT JOIN hist ON hist.feature = lim.feature AND hist.bin = g.bin""",
 )
 def _(spark, sf):
-    return aligned_histogram(li_long(spark, sf))
+    sample = li_sample(spark, sf)
+    return aligned_histogram(sample.long(), limits=sample.limits())
 
 
 def _chi2_sql(cells: str) -> str:
@@ -126,7 +128,7 @@ FROM y GROUP BY feature"""
     ),
 )
 def _(spark, sf):
-    return T.chi_square_test(li_long(spark, sf, ["l_discount", "l_tax"]))
+    return T.chi_square_test(li_sample(spark, sf, ["l_discount", "l_tax"]))
 
 
 @query(
@@ -139,7 +141,7 @@ def _(spark, sf):
     ),
 )
 def _(spark, sf):
-    return T.chi_square_test(li_long(spark, sf), bins=8)
+    return T.chi_square_test(li_sample(spark, sf), bins=8)
 
 
 @query(
@@ -163,8 +165,8 @@ SELECT feature, 'ks', ks_statistic, 0.05, {ks_p_sql()} < 0.05,
 FROM cdf_tests""",
 )
 def _(spark, sf):
-    long = to_long(li_shift(spark, sf), FEATURES, is_ref())
-    found = [T.detect(long, m) for m in ("psi", "js", "ks")]
+    sample = shift_sample(spark, sf)
+    found = [T.detect(sample, m) for m in ("psi", "js", "ks")]
     return found[0].unionByName(found[1]).unionByName(found[2])
 
 
@@ -415,8 +417,8 @@ SELECT feature_name, severity, CASE severity WHEN 'none' THEN 0 WHEN 'low' THEN
   WHEN 'moderate' THEN 0.5 WHEN 'significant' THEN 0.75 ELSE 1 END AS score FROM res""",
 )
 def _(spark, sf):
-    long = to_long(li_shift(spark, sf), FEATURES, is_ref())
-    tests = T.histogram_tests(long, T.bounds(long))
+    sample = shift_sample(spark, sf)
+    tests = T.histogram_tests(sample.long(), sample.limits())
     level = D.severity(F.col("psi"), F.col("js_divergence"))
     return tests.select(
         F.col("feature").alias("feature_name"),
@@ -645,8 +647,8 @@ def _(spark, sf):
     )
     names, keys = ["l_quantity", "l_extendedprice"], ["group_name"]
     frame = lineitem(spark, sf).where(kept).withColumn("group_name", flag)
-    long = to_long(frame, names, is_ref(), keys)
-    tests = T.histogram_tests(long, T.bounds(long, keys), keys=keys)
+    sample = TwoSample.split(frame, names, is_ref(), keys)
+    tests = T.histogram_tests(sample.long(), sample.limits(), keys=keys)
     psi, js = F.col("psi"), F.col("js_divergence")
     graded = tests.select(
         "group_name",

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkdrift.config import ColumnSpec, FeatureConfig, QualityConfig
-from sparkdrift.operators.distribution import to_long
+from sparkdrift.operators.distribution import TwoSample
 from sparkdrift.operators.windows import Series, densify_hourly
 
 FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -44,8 +44,12 @@ def is_ref() -> Column:
     return F.col("l_shipdate") < at(CUT)
 
 
-def li_long(spark: SparkSession, sf_dir: str, features=FEATURES) -> DataFrame:
-    return to_long(lineitem(spark, sf_dir), features, is_ref())
+def li_sample(spark: SparkSession, sf_dir: str, features=FEATURES) -> TwoSample:
+    return TwoSample.split(lineitem(spark, sf_dir), features, is_ref())
+
+
+def shift_sample(spark: SparkSession, sf_dir: str) -> TwoSample:
+    return TwoSample.split(li_shift(spark, sf_dir), FEATURES, is_ref())
 
 
 def li_shift(spark: SparkSession, sf_dir: str) -> DataFrame:

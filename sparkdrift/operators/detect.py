@@ -17,7 +17,7 @@ from sparkdrift.operators.distribution import (
     to_long,
     value_counts,
 )
-from sparkdrift.operators.drift import cdf_tests, histogram_tests, js_term, psi_term
+from sparkdrift.operators.drift import cdf_tests, histogram_sums, histogram_tests
 from sparkdrift.operators.frames import null_safe_join, one_row
 from sparkdrift.operators.reference import profile_only_tests
 
@@ -428,11 +428,10 @@ def sliding_histogram_tests(
         ["feature", "bin"],
         "left",
     )
-    p = F.coalesce("n_ref", F.lit(0)) / F.col("ref_n")
-    q = F.coalesce("n_cur", F.lit(0)) / F.col("cur_n")
     return filled.groupBy("feature", "window_end", "cur_n").agg(
-        F.sum(psi_term(p, q)).alias("psi"),
-        F.greatest(F.sum(js_term(p, q, F.lit(float(bins)))), F.lit(0.0)).alias("js_divergence"),
+        *histogram_sums(
+            "coalesce(n_ref, 0) / ref_n", "coalesce(n_cur, 0) / cur_n", f"{float(bins)}D"
+        )
     )
 
 

@@ -10,6 +10,7 @@ dominant feature or value never lands in a single task.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,13 +47,69 @@ def to_long(
     )
 
 
-def pair_long(
-    reference: DataFrame, current: DataFrame, features: Sequence[str], keys: Sequence[str] = ()
-) -> DataFrame:
-    """Long form of two separate frames."""
-    return to_long(reference, features, F.lit(True), keys).unionByName(
-        to_long(current, features, None, keys)
-    )
+# Up to this many features their limits are aggregated side by side, without unfolding rows.
+WIDE_LIMIT = 64
+
+
+@dataclass(frozen=True)
+class TwoSample:
+    """Two samples of the same features: one frame whose rows the predicate ``is_ref`` splits.
+
+    ``keys`` make every statistic one per key group and feature.
+    """
+
+    frame: DataFrame
+    features: tuple[str, ...]
+    is_ref: Column
+    keys: tuple[str, ...] = ()
+
+    @classmethod
+    def split(
+        cls, frame: DataFrame, features: Sequence[str], is_ref: Column, keys: Sequence[str] = ()
+    ) -> TwoSample:
+        require_columns(frame, [*features, *keys])
+        return cls(frame, tuple(features), is_ref, tuple(keys))
+
+    @classmethod
+    def pair(
+        cls,
+        reference: DataFrame,
+        current: DataFrame,
+        features: Sequence[str],
+        keys: Sequence[str] = (),
+    ) -> TwoSample:
+        """Two separate frames."""
+        names = [*keys, *features]
+        require_columns(reference, names)
+        require_columns(current, names)
+        both = reference.select(*names, F.lit(True).alias("__is_ref")).unionByName(
+            current.select(*names, F.lit(False).alias("__is_ref"))
+        )
+        return cls(both, tuple(features), F.col("__is_ref"), tuple(keys))
+
+    def long(self) -> DataFrame:
+        return to_long(self.frame, self.features, self.is_ref, self.keys)
+
+    def counts(self) -> DataFrame:
+        return value_counts(self.long(), self.keys)
+
+    def limits(self) -> DataFrame:
+        """Sizes and ranges, one row per group; rows are not unfolded for a usual number of features."""
+        if len(self.features) > WIDE_LIMIT:
+            return bounds(self.long(), self.keys)
+        side = F.when(self.is_ref, True).otherwise(False)
+        narrow = self.frame.select(
+            *self.keys, side.alias("__r"), *[clean_double(F.col(f)).alias(f) for f in self.features]
+        )
+        per_feature = [
+            f"""struct('{f}' AS feature, count(`{f}`) FILTER (WHERE __r) AS ref_n,
+              count(`{f}`) FILTER (WHERE NOT __r) AS cur_n, min(`{f}`) AS lo, max(`{f}`) AS hi,
+              min(`{f}`) FILTER (WHERE __r) AS ref_lo, max(`{f}`) FILTER (WHERE __r) AS ref_hi,
+              min(`{f}`) FILTER (WHERE NOT __r) AS cur_lo, max(`{f}`) FILTER (WHERE NOT __r) AS cur_hi)"""
+            for f in self.features
+        ]
+        wide = narrow.groupBy(*self.keys).agg(F.expr(f"array({', '.join(per_feature)}) AS items"))
+        return wide.select(*self.keys, F.inline("items")).where("ref_n + cur_n > 0")
 
 
 def side_sums() -> list[Column]:
@@ -111,14 +168,14 @@ def binned_counts(
 ) -> DataFrame:
     """Weights per non-empty equal-width bin over the combined range of both sides.
 
-    ``carry`` names per-group columns of ``limits`` to keep, which saves joining them a second time.
+    ``carry`` names numeric per-group columns of ``limits`` to keep, which saves a second join.
     """
     kept = dict.fromkeys(["lo", "hi", *carry])
     return (
         attach_groups(counts, limits.select(*group_keys(keys), *kept), keys)
         .withColumn("bin", bin_index(F.col("value"), F.col("lo"), F.col("hi"), bins))
-        .groupBy(*group_keys(keys), *carry, "bin")
-        .agg(*side_sums())
+        .groupBy(*group_keys(keys), "bin")
+        .agg(*side_sums(), *[F.max(c).alias(c) for c in carry])
     )
 
 

@@ -11,16 +11,16 @@ from pyspark.sql import functions as F
 from sparkdrift.functions.ks_exact import ks_p_value
 from sparkdrift.functions.numeric import bin_index, chi2_sf
 from sparkdrift.operators.distribution import (
-    LIMITS,
     SIZES,
+    TwoSample,
     attach_groups,
     binned_counts,
     bounds,
     group_keys,
     running_counts,
-    value_counts,
+    side_sums,
 )
-from sparkdrift.operators.frames import null_safe_join
+from sparkdrift.operators.frames import exprs
 
 EPSILON = 1e-10
 CATEGORY_LIMIT = 20
@@ -29,32 +29,24 @@ METHODS = ("psi", "ks", "js", "chi2", "wasserstein")
 DEFAULT_THRESHOLDS = {"psi": 0.1, "ks": 0.05, "js": 0.1, "chi2": 0.05, "wasserstein": None}
 
 
-def _both_constant() -> Column:
-    return (F.col("ref_lo") == F.col("ref_hi")) & (F.col("cur_lo") == F.col("cur_hi"))
+def psi_term(p: str, q: str) -> str:
+    """One bin's PSI contribution as SQL text; shares are clipped, not renormalised."""
+    p, q = (f"least(greatest({x}, {EPSILON!r}D), 1D)" for x in (p, q))
+    return f"({q} - {p}) * ln({q} / {p})"
 
 
-def _same_constant() -> Column:
-    return F.col("lo") == F.col("hi")
-
-
-def _shares() -> tuple[Column, Column]:
-    return F.col("n_ref") / F.col("ref_n"), F.col("n_cur") / F.col("cur_n")
-
-
-def psi_term(p: Column, q: Column) -> Column:
-    """One bin's PSI contribution; shares are clipped, not renormalised."""
-    p_clip = F.least(F.greatest(p, F.lit(EPSILON)), F.lit(1.0))
-    q_clip = F.least(F.greatest(q, F.lit(EPSILON)), F.lit(1.0))
-    return (q_clip - p_clip) * F.log(q_clip / p_clip)
+def js_term(p: str, q: str, n_bins: str) -> str:
+    """One bin's base-2 Jensen-Shannon contribution after smoothing and renormalising."""
+    p, q = (f"((greatest({x}, 0D) + {EPSILON!r}D) / (1D + {n_bins} * {EPSILON!r}D))" for x in (p, q))
+    mid = f"(({p} + {q}) / 2)"
+    return f"({p} * log2({p} / {mid}) + {q} * log2({q} / {mid})) / 2"
 
 
-def js_term(p: Column, q: Column, n_bins: Column) -> Column:
-    """One bin's base-2 Jensen-Shannon contribution after smoothing and renormalising."""
-    norm = 1 + n_bins * F.lit(EPSILON)
-    p_soft = (F.greatest(p, F.lit(0.0)) + F.lit(EPSILON)) / norm
-    q_soft = (F.greatest(q, F.lit(0.0)) + F.lit(EPSILON)) / norm
-    mid = (p_soft + q_soft) / 2
-    return (p_soft * F.log2(p_soft / mid) + q_soft * F.log2(q_soft / mid)) / 2
+def histogram_sums(p: str, q: str, n_bins: str) -> list[Column]:
+    """PSI and JS over the bins of a group; rounding noise below zero is cut off."""
+    return exprs(
+        f"sum({psi_term(p, q)}) AS psi", f"greatest(sum({js_term(p, q, n_bins)}), 0D) AS js_divergence"
+    )
 
 
 def check_sides(limits: DataFrame) -> DataFrame:
@@ -78,25 +70,19 @@ def histogram_tests(
     shuffled; their smoothing mass enters JS through the known number of bins.
     """
     group = group_keys(keys)
-    binned = binned_counts(counts, limits, bins, keys, [*SIZES, *LIMITS])
-    p, q = _shares()
-    n_bins = F.when(_same_constant(), 1.0).otherwise(float(bins))
+    # 0: ordinary, 1: both sides hold one and the same value, 2: both constant but different.
+    kind = F.expr("CASE WHEN lo = hi THEN 1 WHEN ref_lo = ref_hi AND cur_lo = cur_hi THEN 2 ELSE 0 END")
+    binned = binned_counts(
+        counts, limits.withColumn("kind", kind), bins, keys, ["ref_n", "cur_n", "kind"]
+    )
     summed = binned.groupBy(*group).agg(
-        F.sum(psi_term(p, q)).alias("psi"),
-        F.sum(js_term(p, q, n_bins)).alias("js"),
-        F.first(_both_constant()).alias("constant"),
-        F.first(_same_constant()).alias("same"),
+        *histogram_sums("n_ref / ref_n", "n_cur / cur_n", f"if(kind = 1, 1D, {float(bins)}D)"),
+        F.max("kind").alias("kind"),
     )
-    return summed.select(
+    return summed.selectExpr(
         *group,
-        F.when(F.col("same"), 0.0)
-        .when(F.col("constant"), float("inf"))
-        .otherwise(F.col("psi"))
-        .alias("psi"),
-        F.when(F.col("same"), 0.0)
-        .when(F.col("constant"), 1.0)
-        .otherwise(F.greatest("js", F.lit(0.0)))
-        .alias("js_divergence"),
+        "CASE kind WHEN 1 THEN 0D WHEN 2 THEN double('Infinity') ELSE psi END AS psi",
+        "CASE kind WHEN 1 THEN 0D WHEN 2 THEN 1D ELSE js_divergence END AS js_divergence",
     )
 
 
@@ -110,23 +96,20 @@ def cdf_tests(
     group = group_keys(keys)
     cdf = running_counts(counts, keys)
     cdf = check_sides(cdf) if strict else cdf.where((F.col("ref_n") > 0) & (F.col("cur_n") > 0))
-    gap = F.abs(F.col("cum_ref") / F.col("ref_n") - F.col("cum_cur") / F.col("cur_n"))
-    step = F.coalesce(F.col("next_value") - F.col("value"), F.lit(0.0))
+    gap = "abs(cum_ref / ref_n - cum_cur / cur_n)"
     summed = cdf.groupBy(*group).agg(
-        F.max(gap).alias("ks_statistic"),
-        F.sum(gap * step).alias("wasserstein"),
-        F.first("ref_n").alias("ref_n"),
-        F.first("cur_n").alias("cur_n"),
-        F.first(_both_constant()).alias("constant"),
+        *exprs(
+            f"max({gap}) AS ks_statistic",
+            f"sum({gap} * coalesce(next_value - value, 0D)) AS wasserstein",
+            "first(ref_n) AS ref_n",
+            "first(cur_n) AS cur_n",
+            "first(ref_lo = ref_hi AND cur_lo = cur_hi) AS constant",
+        )
     )
     p = ks_p_value("ks_statistic", "ref_n", "cur_n", p_mode)
+    settled = F.expr("CASE WHEN constant THEN if(ks_statistic > 0, 0D, 1D) END")
     return summed.select(
-        *group,
-        "ks_statistic",
-        F.when(F.col("constant"), F.when(F.col("ks_statistic") > 0, 0.0).otherwise(1.0))
-        .otherwise(p)
-        .alias("ks_p_value"),
-        "wasserstein",
+        *group, "ks_statistic", F.coalesce(settled, p).alias("ks_p_value"), "wasserstein"
     )
 
 
@@ -155,8 +138,8 @@ def chi_square(
             keys,
         )
         .withColumn("cell", F.when(F.col("categorical"), F.col("value")).otherwise(bin_of))
-        .groupBy(*group, *SIZES, "cell")
-        .agg(F.sum("n_ref").alias("n_ref"), F.sum("n_cur").alias("n_cur"))
+        .groupBy(*group, "cell")
+        .agg(*side_sums(), *[F.max(c).alias(c) for c in SIZES])
         .withColumn("n_cells", F.count(F.lit(1)).over(W.partitionBy(*group)))
     )
     seen = F.col("n_ref") + F.col("n_cur")
@@ -188,31 +171,31 @@ def chi_square(
     )
 
 
-def psi(long: DataFrame, bins: int = 10, keys: Sequence[str] = ()) -> DataFrame:
+def psi(sample: TwoSample, bins: int = 10) -> DataFrame:
     """Population stability index per feature; two narrow passes, no value shuffle."""
-    limits = check_sides(bounds(long, keys))
-    return histogram_tests(long, limits, bins, keys).select(*group_keys(keys), "psi")
+    return _histogram(sample, bins).select(*group_keys(sample.keys), "psi")
 
 
-def jensen_shannon(long: DataFrame, bins: int = 10, keys: Sequence[str] = ()) -> DataFrame:
-    limits = check_sides(bounds(long, keys))
-    return histogram_tests(long, limits, bins, keys).select(*group_keys(keys), "js_divergence")
+def jensen_shannon(sample: TwoSample, bins: int = 10) -> DataFrame:
+    return _histogram(sample, bins).select(*group_keys(sample.keys), "js_divergence")
 
 
-def ks_test(long: DataFrame, keys: Sequence[str] = (), p_mode: str = "auto") -> DataFrame:
-    tests = cdf_tests(value_counts(long, keys), keys, p_mode, strict=True)
-    return tests.select(*group_keys(keys), "ks_statistic", "ks_p_value")
+def _histogram(sample: TwoSample, bins: int) -> DataFrame:
+    return histogram_tests(sample.long(), check_sides(sample.limits()), bins, sample.keys)
 
 
-def wasserstein(long: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    tests = cdf_tests(value_counts(long, keys), keys, "asymptotic", strict=True)
-    return tests.select(*group_keys(keys), "wasserstein")
+def ks_test(sample: TwoSample, p_mode: str = "auto") -> DataFrame:
+    tests = cdf_tests(sample.counts(), sample.keys, p_mode, strict=True)
+    return tests.select(*group_keys(sample.keys), "ks_statistic", "ks_p_value")
 
 
-def chi_square_test(
-    long: DataFrame, bins: int | None = None, keys: Sequence[str] = ()
-) -> DataFrame:
-    return chi_square(value_counts(long, keys), bins, keys)
+def wasserstein(sample: TwoSample) -> DataFrame:
+    tests = cdf_tests(sample.counts(), sample.keys, "asymptotic", strict=True)
+    return tests.select(*group_keys(sample.keys), "wasserstein")
+
+
+def chi_square_test(sample: TwoSample, bins: int | None = None) -> DataFrame:
+    return chi_square(sample.counts(), bins, sample.keys)
 
 
 def _interpretation(method: str) -> Column:
@@ -236,11 +219,10 @@ def _interpretation(method: str) -> Column:
 
 
 def detect(
-    long: DataFrame,
+    sample: TwoSample,
     method: str = "psi",
     threshold: float | None = None,
     bins: int | None = None,
-    keys: Sequence[str] = (),
 ) -> DataFrame:
     """Run one named test and decide per feature; p-value methods decide below the threshold."""
     method = method.lower()
@@ -249,18 +231,18 @@ def detect(
     limit = DEFAULT_THRESHOLDS[method] if threshold is None else threshold
     no_p = F.lit(None).cast("double")
     if method == "psi":
-        tested, stat, p = psi(long, bins or 10, keys), F.col("psi"), no_p
+        tested, stat, p = psi(sample, bins or 10), F.col("psi"), no_p
     elif method == "js":
-        tested, stat, p = jensen_shannon(long, bins or 10, keys), F.col("js_divergence"), no_p
+        tested, stat, p = jensen_shannon(sample, bins or 10), F.col("js_divergence"), no_p
     elif method == "ks":
-        tested, stat, p = ks_test(long, keys), F.col("ks_statistic"), F.col("ks_p_value")
+        tested, stat, p = ks_test(sample), F.col("ks_statistic"), F.col("ks_p_value")
     elif method == "chi2":
-        tested = chi_square_test(long, bins, keys)
+        tested = chi_square_test(sample, bins)
         stat, p = F.col("chi2_statistic"), F.col("chi2_p_value")
     else:
-        tested, stat, p = wasserstein(long, keys), F.col("wasserstein"), no_p
+        tested, stat, p = wasserstein(sample), F.col("wasserstein"), no_p
     result = tested.select(
-        *group_keys(keys), F.lit(method).alias("method"), stat.alias("statistic"), p.alias("p_value")
+        *group_keys(sample.keys), F.lit(method).alias("method"), stat.alias("statistic"), p.alias("p_value")
     )
     if limit is None:
         drifted = F.lit(False)

@@ -16,7 +16,7 @@ from sparkdrift.operators.distribution import (
     to_long,
     value_counts,
 )
-from sparkdrift.operators.drift import EPSILON, js_term, psi_term
+from sparkdrift.operators.drift import EPSILON, histogram_sums
 from sparkdrift.operators.frames import exprs, null_safe_join
 
 # Named quantiles of a profile.
@@ -175,10 +175,8 @@ def profile_only_tests(
             )
         ),
     )
-    p, q = F.col("p"), F.col("n") / F.col("cur_n")
     histogram = spread.groupBy(*group, "cur_n").agg(
-        F.sum(psi_term(p, q)).alias("psi"),
-        F.greatest(F.sum(js_term(p, q, F.lit(float(bins)))), F.lit(0.0)).alias("js_divergence"),
+        *histogram_sums("p", "n / cur_n", f"{float(bins)}D")
     )
 
     edge_rows = stored.select(

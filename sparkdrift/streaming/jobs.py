@@ -98,6 +98,5 @@ def window_psi(counts: DataFrame, profile: DataFrame) -> DataFrame:
         .join(counts, ["window", "feature", "bin"], "left")
         .join(sizes, "feature")
     )
-    p = F.col("n_ref") / F.col("ref_n")
-    q = F.coalesce("n_cur", F.lit(0)) / F.col("cur_n")
-    return filled.groupBy("window", "feature").agg(F.sum(psi_term(p, q)).alias("psi"))
+    term = psi_term("n_ref / ref_n", "coalesce(n_cur, 0) / cur_n")
+    return filled.groupBy("window", "feature").agg(F.expr(f"sum({term})").alias("psi"))
