@@ -210,19 +210,17 @@ def breakdown(scanned: DataFrame, gaps: DataFrame, config: QualityConfig, keys:
     """Completeness, validity, consistency and the weighted score."""
     joined = null_safe_join(scanned, gaps, list(keys), "left")
     completeness = _mean_of(
-        F.col("ranges"), lambda r: r["valid_values"] / F.col("total_records").cast("double")
+        F.col("ranges"), lambda r: safe_ratio(r["valid_values"], F.col("total_records"))
     )
     validity = _mean_of(
         F.col("ranges"),
-        lambda r: F.try_divide(
-            (r["valid_values"] - r["out_of_range_count"]).cast("double"),
-            r["valid_values"].cast("double"),
-        ),
+        lambda r: safe_ratio(r["valid_values"] - r["out_of_range_count"], r["valid_values"]),
     )
-    consistency = F.coalesce(
-        F.greatest(1 - safe_ratio(F.col("gaps_found"), F.col("total_intervals")), F.lit(0.0)),
-        F.lit(1.0),
+    # No intervals means nothing can be missing; greatest() would skip the NULL share.
+    missing_share = F.coalesce(
+        safe_ratio(F.col("gaps_found"), F.col("total_intervals")), F.lit(0.0)
     )
+    consistency = F.greatest(1 - missing_share, F.lit(0.0))
     parts = joined.select(
         "*",
         completeness.alias("completeness"),
