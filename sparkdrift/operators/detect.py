@@ -241,7 +241,7 @@ def drift_report(
         window[1].alias("w_end"),
     )
     back = F.expr(f"INTERVAL {config.window_hours} HOURS")
-    seen = one_row(sample)
+    seen = F.col("sample")
     lost = F.array_except(F.array(*[F.lit(f) for f in features]), F.col("analyzed_features"))
     late = F.transform(
         lost, lambda f: F.concat(F.lit("Feature '"), f, F.lit("' has no valid values"))
@@ -259,7 +259,7 @@ def drift_report(
     )
     early = F.array(*[F.lit(w) for w in warnings]).cast("array<string>")
     nothing = F.col("n_features_total") == 0
-    return summarise(results, config).select(
+    return summarise(results, config).withColumn("sample", one_row(sample)).select(
         (F.substring(F.uuid(), 1, 8) if report_id is None else F.lit(report_id)).alias("report_id"),
         clock.alias("timestamp"),
         F.lit(reference_name).alias("reference_name"),

@@ -34,17 +34,19 @@ def to_long(
     current.
     """
     require_columns(df, [*features, *keys])
-    side = F.lit(False) if is_ref is None else is_ref
-    narrow = df.select(
-        *keys,
-        F.when(side, 1).otherwise(0).cast("long").alias("n_ref"),
-        *[clean_double(F.col(f)).alias(f) for f in features],
-    )
-    return (
-        narrow.unpivot([*keys, "n_ref"], list(features), "feature", "value")
-        .where(F.col("value").isNotNull())
-        .withColumn("n_cur", 1 - F.col("n_ref"))
+    cleaned = [clean_double(F.col(f)).alias(f) for f in features]
+    if is_ref is None:
+        # Constant weights are added last, so that every plan over this frame looks the same and
+        # Spark can reuse its exchanges.
+        long = df.select(*keys, *cleaned).unpivot(list(keys), list(features), "feature", "value")
+        return long.where(F.col("value").isNotNull()).selectExpr(
+            *keys, "feature", "value", "0L AS n_ref", "1L AS n_cur"
+        )
+    side = F.when(is_ref, 1).otherwise(0).cast("long").alias("n_ref")
+    long = df.select(*keys, side, *cleaned).unpivot(
+        [*keys, "n_ref"], list(features), "feature", "value"
     )
+    return long.where(F.col("value").isNotNull()).withColumn("n_cur", F.expr("1L - n_ref"))
 
 
 # Up to this many features their limits are aggregated side by side, without unfolding rows.
@@ -153,10 +155,9 @@ def attach_groups(
     built, so broadcasting is safe and saves shuffling the long side. With keys the number of groups
     follows the data, and the choice is left to the size-checked planner.
     """
-    small = per_group if keys else F.broadcast(per_group)
     if keys:
-        return null_safe_join(long, small, group_keys(keys), how)
-    return long.join(small, "feature", how)
+        return null_safe_join(long, per_group, group_keys(keys), how)
+    return long.join(F.broadcast(per_group), "feature", how)
 
 
 def binned_counts(

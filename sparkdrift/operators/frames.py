@@ -17,8 +17,8 @@ def null_safe_join(
     right side must be a one-row frame; its values are attached as a scalar subquery.
     """
     if not on:
-        row = one_row(right)
-        return left.select("*", *[row[c].alias(c) for c in right.columns])
+        attached = left.withColumn("__row", one_row(right))
+        return attached.select(*left.columns, *[F.col("__row")[c].alias(c) for c in right.columns])
     renamed = right.withColumnsRenamed({k: f"__r_{k}" for k in on})
     condition = " AND ".join(f"`{k}` <=> `__r_{k}`" for k in on)
     return left.join(renamed, F.expr(condition), how).drop(*[f"__r_{k}" for k in on])
