@@ -6,6 +6,7 @@ from collections.abc import Callable, Sequence
 from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparkdrift.functions.numeric import bin_edge, bin_index
@@ -165,14 +166,6 @@ def top_importance(importance: DataFrame, n: int = 20, keys: Sequence[str] = ())
     size = F.abs("importance").desc()
     if not keys:
         return importance.orderBy(size, "feature").limit(n)
-    ranked = F.array_sort(
-        F.collect_list(
-            F.struct((-F.abs("importance")).alias("order"), F.col("feature"), F.col("importance"))
-        )
-    )
-    return (
-        importance.groupBy(*keys)
-        .agg(F.slice(ranked, 1, n).alias("top"))
-        .select(*keys, F.inline("top"))
-        .drop("order")
-    )
+    # Spark prunes each partition to its own top n before shuffling for this pattern.
+    order = W.partitionBy(*keys).orderBy(size, "feature")
+    return importance.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)

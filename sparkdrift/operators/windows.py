@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sparkdrift.functions.timeparts import epoch_s, hours_between
+from sparkdrift.functions.timeparts import epoch_us, hours_between
 from sparkdrift.operators.frames import null_safe_join, require_columns
 
 ROW, CHUNK, HOME = "__row", "__chunk", "__home"
@@ -29,20 +29,30 @@ class Series:
     """How rows form ordered series.
 
     ``keys`` identify a series (none: the whole table is one), ``time`` and ``tie`` together order it
-    without ties. ``bucket_hours`` is the width of the time slices that are sorted in one task each,
-    ``chunk_rows`` the number of rows one task evaluates windows over.
+    without ties. ``chunk_rows`` is the number of rows one task evaluates windows over.
+    ``bucket_hours`` is the width of the time slices sorted in one task each; by default it follows
+    from the row count and time range of the data, so that a slice holds about ``chunk_rows`` rows.
     """
 
     keys: tuple[str, ...] = ()
     time: str = "timestamp"
     tie: tuple[str, ...] = ()
-    bucket_hours: int = 24
+    bucket_hours: int | None = None
     chunk_rows: int = 50_000
 
 
-def _time_bucket(series: Series) -> Column:
-    seconds = series.bucket_hours * 3600
-    return F.coalesce(F.floor(epoch_s(F.col(series.time)) / seconds), F.lit(LAST_BUCKET))
+def _time_bucket(df: DataFrame, series: Series) -> Column:
+    """Number of the time slice a row belongs to; rows without a time go to a slice after all others."""
+    t = epoch_us(F.col(series.time))
+    if series.bucket_hours is not None:
+        width = F.lit(series.bucket_hours * 3_600_000_000)
+    else:
+        span = (F.max(t) - F.min(t)).cast("double")
+        share = F.try_divide(span * F.lit(float(series.chunk_rows)), F.count(t).cast("double"))
+        width = (
+            df.agg(F.greatest(F.ceil(share), F.lit(1)).alias("width")).select("width").scalar()
+        )
+    return F.coalesce(F.floor(t / width), F.lit(LAST_BUCKET))
 
 
 def number_rows(df: DataFrame, series: Series) -> DataFrame:
@@ -51,7 +61,7 @@ def number_rows(df: DataFrame, series: Series) -> DataFrame:
     if ROW in df.columns:
         return df
     cell = [*series.keys, BUCKET]
-    bucketed = df.withColumn(BUCKET, _time_bucket(series))
+    bucketed = df.withColumn(BUCKET, _time_bucket(df, series))
     earlier = (
         W.partitionBy(*series.keys).orderBy(BUCKET).rowsBetween(W.unboundedPreceding, -1)
     )
@@ -280,7 +290,7 @@ def time_gaps(
     t = series.time
     cell = [*series.keys, BUCKET]
     bucketed = df.where(F.col(t).isNotNull()).select(
-        *series.keys, F.col(t).alias("__t"), _time_bucket(series).alias(BUCKET)
+        *series.keys, F.col(t).alias("__t"), _time_bucket(df, series).alias(BUCKET)
     )
     inside = W.partitionBy(*cell).orderBy("__t")
     stepped = bucketed.withColumn(

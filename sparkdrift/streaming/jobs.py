@@ -62,8 +62,8 @@ def window_bin_counts(
 ) -> DataFrame:
     """Counts per sliding window and stored bin of a static profile.
 
-    Values outside the stored range fall into the first or last bin. Rows are first counted per slide
-    inside the window aggregation's map side, so a busy hour is combined before it is shuffled.
+    Values outside the stored range fall into the first or last bin. Rows are counted once per slide;
+    the overlapping windows then add up those counts, so no row is copied per window.
     """
     long = (
         rows.withWatermark(time_column, lateness)
@@ -75,8 +75,11 @@ def window_bin_counts(
     placed = long.join(F.broadcast(edges), "feature").select(
         time_column, "feature", stored_bin(F.col("value"), F.col("bin_edges")).alias("bin")
     )
-    return placed.groupBy(F.window(time_column, window, slide), "feature", "bin").agg(
-        F.count(F.lit(1)).alias("n_cur")
+    per_slide = placed.groupBy(F.window(time_column, slide).alias("slot"), "feature", "bin").agg(
+        F.count(F.lit(1)).alias("n")
+    )
+    return per_slide.groupBy(F.window("slot", window, slide), "feature", "bin").agg(
+        F.sum("n").alias("n_cur")
     )
 
 
