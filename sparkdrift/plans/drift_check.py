@@ -121,7 +121,7 @@ def log_drift_run(
         write_drift_report(report, results, root)
         append_table(
             drift_metrics_long(results, report, model_name, model_version, config),
-            f"{root}/domain_shift_metrics",
+            f"{root}/drift_metrics",
         )
     finally:
         report.unpersist()

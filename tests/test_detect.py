@@ -215,7 +215,7 @@ def test_history_tables(spark, store, tmp_path):
     assert metrics.count() == 3 + 6 * 3
     run_row = spark.read.parquet(f"{tmp_path}/drift_runs").first()
     assert run_row["current_window_hours"] == 168 and run_row["model_name"] == "weather"
-    assert spark.read.parquet(f"{tmp_path}/domain_shift_metrics").count() == 15
+    assert spark.read.parquet(f"{tmp_path}/drift_metrics").count() == 15
     keys = {r["key"] for r in metrics.collect()}
     assert {"temperature_2m_psi", "overall_drift_score", "humidity_ks_p_value"} <= keys
 
