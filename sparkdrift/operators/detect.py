@@ -11,7 +11,6 @@ from sparkdrift.config import SEVERITIES, SEVERITY_SCORES, DriftConfig
 from sparkdrift.functions.ks_exact import ks_p_value
 from sparkdrift.functions.numeric import bin_index
 from sparkdrift.operators.distribution import (
-    attach_groups,
     bounds,
     group_keys,
     to_long,
