@@ -102,11 +102,12 @@ def signatures(sets: list[np.ndarray], setting: Setting) -> np.ndarray:
     return out
 
 
-DESCRIBED = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("print", pa.string()), ("signature", pa.binary())])
+DESCRIBED = pa.schema([("key", pa.int64()), ("mark", pa.int64()), ("n", pa.int64()), ("print", pa.string()), ("signature", pa.binary())])
 
 
 def describe(docs: DataFrame, key: str, text: str, setting: Setting) -> DataFrame:
-    """(key, n, print, signature): shingle count, a 128-bit fingerprint of the set, and the minima.
+    """(key, mark, n, print, signature): a hash of the text, the shingle count, a 128-bit fingerprint of the
+    set, and the minima.
 
     Fingerprint and signature are null for an empty set.
     """
@@ -120,14 +121,17 @@ def describe(docs: DataFrame, key: str, text: str, setting: Setting) -> DataFram
                 minima = iter(signatures(full, setting))
                 yield to_batch(
                     DESCRIBED,
-                    part.column(0).cast(pa.int64()),
+                    part.column(0),
+                    part.column(2),
                     [len(s) for s in sets],
                     [xxhash.xxh3_128_hexdigest(s.tobytes()) if len(s) else None for s in sets],
                     [next(minima).tobytes() if len(s) else None for s in sets],
                 )
 
-    frame = docs.select(col(key).cast("long").alias("key"), col(text).cast("string").alias("text"))
-    return frame.mapInArrow(run, "key long, n long, print string, signature binary")
+    frame = docs.select(
+        col(key).cast("long").alias("key"), col(text).cast("string").alias("text"), F.xxhash64(col(text)).alias("mark")
+    )
+    return frame.mapInArrow(run, "key long, mark long, n long, print string, signature binary")
 
 
 @dataclass
@@ -291,7 +295,7 @@ def confirmed_links(pairs: DataFrame, docs: DataFrame, key: str, text: str, sett
     sets = stored(
         texts.join(family, "node")
         .groupBy("node")
-        .agg(F.first("text").alias("text"))
+        .agg(F.min_by("text", F.xxhash64("text")).alias("text"))
         .mapInArrow(shingled, "member long, n long, shingles binary")
     )
     sizes = sets.select("member", "n").join(family.withColumnRenamed("node", "member"), "member")
@@ -393,14 +397,17 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", se
     Documents are linked when their shingle sets overlap in ``percent`` of the union; component_id is the
     smallest key reachable by links and kept marks it. Null and wordless texts link with nothing. Rows that
     repeat a key are given back as often as they come; they should carry the same text, and where they do
-    not, a key belongs to the smallest component one of its texts reaches. A null key never joins anything:
+    not, only the text with the smallest hash takes part, and the others link with nothing. A null key never joins anything:
     its component_id is null and it is kept. Other columns of ``docs`` are ignored, whatever their names.
     """
     described = stored(describe(docs, key, text, setting))
     classes = stored(
         described.where("print is not null and key is not null")
         .groupBy("print")
-        .agg(F.min("key").alias("key"), F.first("signature").alias("signature"))
+        .agg(F.min("key").alias("key"), F.min_by("mark", "key").alias("mark"), F.first("signature").alias("signature"))
+        .groupBy("key")
+        .agg(F.min_by(F.struct("print", "signature"), "mark").alias("own"))
+        .select("key", "own.*")
     )
     pairs = candidate_pairs(classes.select("key", "signature"), setting)
     links = stored(confirmed_links(pairs, docs, key, text, setting))
