@@ -2,7 +2,7 @@
 
 The kernel compares two words by the three-letter subsequences they share. A subsequence may skip letters;
 each skipped letter costs a factor, so "stxupid" and "s-t-u-p-i-d" stay close to the word they hide. Words
-are divided by a norm that depends on their length only, which keeps the kernel positive definite.
+are divided by their norms, so that length and repetition don't count.
 
 Training sees labelled texts word by word. A toxic text has harmless words too, so the machine is trained
 as for multiple instances: words of toxic texts that it finds harmless stop counting as toxic, and it is
@@ -13,6 +13,7 @@ folds into one weight per subsequence, and scoring a text needs neither landmark
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,14 +22,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from sparkdrift.llm.frames import col, free_name
+from sparkdrift.llm.frames import col, free_name, stored
 
 CLASSES = 64
 #: Offsets of the second and third letter of a subsequence, with up to two letters skipped, and the factor
 #: for each skipped letter.
 OFFSETS = [(a, b) for b in range(2, 5) for a in range(1, b)]
-DECAY = 0.6
+DECAY = 0.8
 EMPTY_MARGIN = -2.0
+NEAR = -0.6
+#: Stands before runs of letters where they are counted beside words; no word has it.
+PART = "\x00"
 
 #: Letters that stand for others in disguised words; fixed values.
 LOOKALIKES = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"})
@@ -41,7 +45,10 @@ class Setting:
     """Bounds of the training sample, and the machine's size.
 
     The machine is fitted on at most ``toxic_rows`` and ``clean_rows`` labelled texts, taken by a hash of
-    their id, and on the ``words`` words that occur in most of them. Scoring reads everything.
+    their id, and on ``words`` words of these: half the most frequent ones, half those with the largest
+    excess in toxic texts. Words with a likelihood ratio statistic above ``hint``, or half the largest
+    one if that is less, start as toxic examples.
+    Scoring reads everything.
     """
 
     toxic_rows: int = 2_000
@@ -49,36 +56,37 @@ class Setting:
     words: int = 30_000
     landmarks: int = 256
     rounds: int = 4
+    hint: float = 20.0
     ridge: float = 0.1
     threshold: float = 0.7
 
 
 @dataclass(frozen=True)
 class Model:
-    """Weights by subsequence, the bias, and the line that turns a text's largest margin into a score."""
+    """Weights by subsequence, the bias, and what turns a text's two largest margins into a score."""
 
     weights: np.ndarray
     bias: float
-    slope: float
-    shift: float
+    slopes: tuple[float, float] = (1.0, 0.0)
+    shift: float = 0.0
 
 
-def words_of(text: str | None) -> list[str]:
-    """The distinct normal forms of a text's words, in order of first occurrence.
+def words_of(text: str | None) -> dict[str, int]:
+    """The normal forms of a text's words and how often they occur.
 
     Letters are lower-cased, runs of single letters set apart are joined, and in words that hold anything
     but letters, look-alikes become letters and the rest is dropped.
     """
     if not text:
-        return []
+        return {}
     lowered = SPACED.sub(lambda m: "".join(m[0].split()), text.lower())
-    out = {}
-    for word in dict.fromkeys(lowered.split()):
+    out: dict[str, int] = {}
+    for word, count in Counter(lowered.split()).items():
         if not word.isalpha():
             word = NOT_LETTERS.sub("", word.translate(LOOKALIKES))
         if word:
-            out[word] = None
-    return list(out)
+            out[word] = out.get(word, 0) + count
+    return out
 
 
 def _classes(points: np.ndarray) -> np.ndarray:
@@ -98,18 +106,30 @@ def subsequences(words: list[str]):
     points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
     lengths = np.fromiter(map(len, words), np.int64, len(words)) + 2
     owner = np.repeat(np.arange(len(words), dtype=np.int32), lengths)
-    letters = _classes(points)
+    letters = _classes(points).astype(np.int64)
     for a, b in OFFSETS:
         n = len(letters) - b
         if n <= 0:
             continue
-        inside = owner[:n] == owner[b:]
-        ids = (letters[:n] * CLASSES + letters[a : n + a]) * CLASSES + letters[b:]
-        yield ids[inside], owner[:n][inside], DECAY ** (b - 2)
+        inside = np.flatnonzero(owner[:n] == owner[b:])
+        ids = (letters[inside] * CLASSES + letters[inside + a]) * CLASSES + letters[inside + b]
+        yield ids, owner[inside], DECAY ** (b - 2)
 
 
 def norms(words: list[str]) -> np.ndarray:
-    """Square root of the sum of squared weights of all subsequences of words of these lengths."""
+    """Each word's kernel value with itself, square root."""
+    found = list(subsequences(words))
+    if not found:
+        return np.ones(len(words))
+    key = np.concatenate([owner.astype(np.int64) * CLASSES**3 + ids for ids, owner, _ in found])
+    load = np.concatenate([np.full(len(ids), weight) for ids, _, weight in found])
+    named, at = np.unique(key, return_inverse=True)
+    square = np.bincount(at, load) ** 2
+    return np.sqrt(np.maximum(np.bincount(named // CLASSES**3, square, len(words)), 1e-12))
+
+
+def least_norms(words: list[str]) -> np.ndarray:
+    """The norm that a word of this length has at least, reached where no subsequence repeats."""
     lengths = np.fromiter(map(len, words), np.int64, len(words)) + 2
     total = np.zeros(len(words))
     for _, b in OFFSETS:
@@ -118,18 +138,23 @@ def norms(words: list[str]) -> np.ndarray:
 
 
 def margins(words: list[str], model: Model) -> np.ndarray:
+    """The machine's value for each word; for words below NEAR an upper bound, which is cheaper."""
     total = np.zeros(len(words))
     for ids, owner, weight in subsequences(words):
         total += weight * np.bincount(owner, model.weights[ids], len(words))
-    return total / norms(words) + model.bias
+    out = total / least_norms(words) + model.bias
+    near = np.flatnonzero(out > NEAR)
+    if len(near):
+        out[near] = total[near] / norms([words[i] for i in near]) + model.bias
+    return out
 
 
 def landmark_rows(landmarks: list[str]) -> np.ndarray:
     """Subsequence weights of the landmarks, as (CLASSES ** 3, landmarks), divided by their norms."""
     out = np.zeros((CLASSES**3, len(landmarks)), np.float32)
     for ids, owner, weight in subsequences(landmarks):
-        np.add.at(out, (ids, owner), np.float32(weight))
-    return out / norms(landmarks).astype(np.float32)
+        np.add.at(out, (ids, owner), weight)
+    return out / norms(landmarks)
 
 
 def kernel(words: list[str], rows: np.ndarray) -> np.ndarray:
@@ -144,16 +169,52 @@ def kernel(words: list[str], rows: np.ndarray) -> np.ndarray:
     return out / norms(words)[:, None]
 
 
-def fit(words: list[str], toxic: np.ndarray, clean: np.ndarray, setting: Setting) -> Model | None:
-    """The machine for words that occur in ``toxic`` and ``clean`` training texts, still without its line.
+def surplus(toxic: np.ndarray, clean: np.ndarray, share: float) -> np.ndarray:
+    """Likelihood ratio statistic of occurring in toxic texts more often than their ``share`` of texts.
 
-    Half of the landmarks are the words most typical of toxic texts, the others are spread over the rest.
+    Negative where it is less often.
+    """
+    n = toxic + clean
+    seen = 2 * np.where(toxic > 0, toxic * np.log(np.maximum(toxic, 1e-9) / np.maximum(n * share, 1e-9)), 0.0)
+    seen += 2 * np.where(clean > 0, clean * np.log(np.maximum(clean, 1e-9) / np.maximum(n * (1 - share), 1e-9)), 0.0)
+    return np.where(toxic > n * share, seen, -seen)
+
+
+def parts_of(words: list[str]) -> set[str]:
+    """Runs of three letters in these words, ends of words being marked."""
+    fenced = [f"\x02{w}\x03" for w in words]
+    return {w[i : i + 3] for w in fenced for i in range(len(w) - 2)}
+
+
+def evidence(words: list[str], counts: dict[str, tuple[int, int]], share: float) -> np.ndarray:
+    """The largest surplus of a word itself, or of three letters in a row that it holds.
+
+    ``counts`` has the toxic and the clean texts with each word and each run. Only what is found in toxic
+    texts more than three times as often as in clean ones is evidence.
+    """
+    names = list(counts)
+    both = np.array([counts[x] for x in names], float).reshape(-1, 2)
+    value = np.where(both[:, 0] > 3 * both[:, 1], surplus(both[:, 0], both[:, 1], share), 0.0)
+    known = dict(zip(names, value.tolist()))
+    return np.array([max(known.get(x, 0.0) for x in (w, *parts_of([w]))) for w in words])
+
+
+def fit(
+    words: list[str], counts: dict[str, tuple[int, int]], texts: tuple[int, int], setting: Setting
+) -> Model | None:
+    """The machine for words that occur in so many of the toxic and clean training ``texts``.
+
+    It comes without its line. Half of the landmarks are the words most typical of toxic texts, the others
+    are spread over the rest.
     Squared hinge loss with a ridge is minimised by Newton steps. None without words of both kinds.
     """
-    if not len(words) or toxic.sum() == 0 or clean.sum() == 0:
+    if not words or not all(texts):
         return None
-    share = toxic / (toxic + clean + 1.0)
-    ranked = np.lexsort((np.arange(len(words)), -toxic * share**2))
+    toxic, clean = np.array([counts[w] for w in words], float).T
+    share = texts[0] / (texts[0] + texts[1])
+    hint = evidence(words, counts, share)
+    typical = toxic > 3 * clean
+    ranked = np.lexsort((np.arange(len(words)), -np.where(typical, hint, -1.0)))
     half = min(len(words), setting.landmarks // 2)
     chosen = list(ranked[:half])
     others = ranked[half:]
@@ -161,13 +222,16 @@ def fit(words: list[str], toxic: np.ndarray, clean: np.ndarray, setting: Setting
     rows = landmark_rows([words[i] for i in chosen])
     among = kernel([words[i] for i in chosen], rows)
     values, vectors = np.linalg.eigh((among + among.T) / 2)
-    good = values > 1e-6 * values.max()
+    good = values > 1e-3 * values.max()
     root = vectors[:, good] / np.sqrt(values[good])
     mapped = kernel(words, rows) @ root
     mapped = np.hstack([mapped, np.ones((len(words), 1))])
     x = np.vstack([mapped, mapped])
     y = np.r_[np.ones(len(words)), -np.ones(len(words))]
-    weight_toxic, weight_clean = np.sqrt(toxic), np.sqrt(clean)
+    first = typical & (hint > min(setting.hint, hint.max() / 2))
+    weight_toxic, weight_clean = np.where(first, np.sqrt(toxic), 0.0), np.sqrt(clean)
+    if not weight_toxic.any():
+        weight_toxic = np.sqrt(toxic)
     ridge = setting.ridge * np.eye(x.shape[1])
     ridge[-1, -1] = 1e-6
     w = np.zeros(x.shape[1])
@@ -181,30 +245,32 @@ def fit(words: list[str], toxic: np.ndarray, clean: np.ndarray, setting: Setting
             w = new
             if done:
                 break
-        witness = (mapped @ w > 0) & (share > 0.5)
+        witness = (mapped @ w > 0) & typical
         if not witness.any():
             break
         weight_toxic = np.where(witness, np.sqrt(toxic), 0.0)
-    folded = rows @ (root @ w[:-1]).astype(np.float32)
-    return Model(folded, float(w[-1]), 1.0, 0.0)
+    folded = rows @ (root @ w[:-1])
+    return Model(folded.astype(np.float32), float(w[-1]))
 
 
-def line(margin: np.ndarray, toxic: np.ndarray, model: Model) -> Model:
-    """The model with a logistic line through margins of labelled texts, fitted by Newton steps."""
+def calibrated(margin: np.ndarray, toxic: np.ndarray, model: Model) -> Model:
+    """The model with a logistic function of the two largest margins of labelled texts, by Newton steps."""
     toxic = toxic.astype(bool)
     ends = (1 + toxic.sum()) / (2 + toxic.sum()), 1 / (2 + (~toxic).sum())
     target = np.where(toxic, ends[0], ends[1])
     x = np.column_stack([margin, np.ones(len(margin))])
-    w = np.array([1.0, 0.0])
+    ridge = np.array([0.05, 0.05, 0.0])
+    w = np.array([1.0, 1.0, 0.0])
     for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        gradient = x.T @ ((p - target)) + np.array([1e-3, 0]) * w
-        curve = x.T @ (x * (p * (1 - p))[:, None]) + 1e-6 * np.eye(2)
+        gradient = x.T @ (p - target) + ridge * w
+        curve = x.T @ (x * (p * (1 - p))[:, None]) + np.diag(ridge + 1e-6)
         step = np.linalg.solve(curve, gradient)
         w = w - step * min(1.0, 4.0 / (np.abs(step).max() + 1e-12))
         if np.abs(step).max() < 1e-8:
             break
-    return Model(model.weights, model.bias, float(max(w[0], 1e-3)), float(w[1]))
+    slopes = float(max(w[0], 0.0)), float(max(w[1], 0.0))
+    return Model(model.weights, model.bias, slopes, float(w[2]))
 
 
 def held_out(key):
@@ -212,28 +278,42 @@ def held_out(key):
     return F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(3)) == 1
 
 
-def largest_margins(docs: DataFrame, text: str, model: Model, name: str) -> DataFrame:
-    """``docs`` with the largest margin of each text's words; EMPTY_MARGIN for texts without words."""
-    schema = StructType([*docs.schema.fields, StructField(name, DoubleType())])
+def two_largest(counts: list[dict[str, int]], model: Model) -> np.ndarray:
+    """The largest and second largest margin of each text's words, a word counting as often as it occurs.
+
+    EMPTY_MARGIN stands where there are fewer words.
+    """
+    numbers = dict.fromkeys(w for own in counts for w in own)
+    numbers = dict(zip(numbers, range(len(numbers))))
+    out = np.full((len(counts), 2), EMPTY_MARGIN)
+    if not numbers:
+        return out
+    each = margins(list(numbers), model)
+    for row, own in enumerate(counts):
+        if own:
+            names = list(own)
+            values = each[[numbers[w] for w in names]]
+            top = int(values.argmax())
+            out[row] = values[top]
+            if own[names[top]] == 1:
+                values[top] = -np.inf
+                out[row, 1] = max(values.max(), EMPTY_MARGIN)
+    return out
+
+
+def largest_margins(docs: DataFrame, text: str, model: Model, names: list[str]) -> DataFrame:
+    """``docs`` with the two largest margins of each text's words."""
+    schema = StructType([*docs.schema.fields, *[StructField(name, DoubleType()) for name in names]])
     place = docs.columns.index(text)
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                part = batch.slice(at, 128)
-                numbers: dict[str, int] = {}
-                used, lengths = [], []
-                for value in part.column(place).to_pylist():
-                    own = words_of(value)
-                    used += [numbers.setdefault(w, len(numbers)) for w in own]
-                    lengths.append(len(own))
-                out = np.full(len(lengths), EMPTY_MARGIN)
-                if used:
-                    each = margins(list(numbers), model)[np.array(used)]
-                    size = np.array(lengths)
-                    starts = (np.cumsum(size) - size)[size > 0]
-                    out[size > 0] = np.maximum.reduceat(each, starts)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out)], names=[*part.schema.names, name])
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                found = two_largest([words_of(x) for x in part.column(place).to_pylist()], model)
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns, pa.array(found[:, 0]), pa.array(found[:, 1])], names=[*part.schema.names, *names]
+                )
 
     return docs.mapInArrow(run, schema)
 
@@ -254,28 +334,39 @@ def train(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, s
         for batch in batches:
             seen: dict[str, list[int]] = {}
             for value, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for word in words_of(value):
-                    seen.setdefault(word, [0, 0])[y] += 1
+                own = words_of(value)
+                for name in (*own, *(PART + x for x in parts_of(own))):
+                    seen.setdefault(name, [0, 0])[1 - y] += 1
             both = np.array(list(seen.values()), np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(list(seen), pa.string()), pa.array(both[:, 1]), pa.array(both[:, 0])],
+                [pa.array(list(seen), pa.string()), pa.array(both[:, 0]), pa.array(both[:, 1])],
                 names=["word", "toxic", "clean"],
             )
 
-    counted = (
+    texts = {row["y"]: row["count"] for row in sample.groupBy("y").count().collect()}
+    texts = texts.get(1, 0), texts.get(0, 0)
+    if not all(texts):
+        return None
+    counted = stored(
         sample.mapInArrow(count, "word string, toxic long, clean long")
         .groupBy("word")
         .agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-        .orderBy(F.desc(F.col("toxic") + F.col("clean")), "word")
-        .limit(setting.words)
-        .toPandas()
     )
-    toxic, clean = counted["toxic"].to_numpy(float), counted["clean"].to_numpy(float)
-    model = fit(counted["word"].tolist(), toxic, clean, setting)
+    is_part = F.col("word").startswith(PART)
+    excess = F.col("toxic") * texts[1] - F.col("clean") * texts[0]
+    chosen = [
+        counted.where(narrow).orderBy(F.desc(order), "word").limit(setting.words // 2)
+        for narrow, order in ((~is_part, F.col("toxic") + F.col("clean")), (~is_part, excess), (is_part, excess))
+    ]
+    rows = chosen[0].union(chosen[1]).union(chosen[2]).distinct().orderBy("word").toPandas()
+    pairs = zip(rows["toxic"].tolist(), rows["clean"].tolist())
+    counts = {name.removeprefix(PART): pair for name, pair in zip(rows["word"].tolist(), pairs)}
+    words = [w for w in rows["word"].tolist() if not w.startswith(PART)]
+    model = fit(words, counts, texts, setting)
     if model is None:
         return None
-    margin = largest_margins(sample, "text", model, "margin").select("margin", "y").toPandas()
-    return line(margin["margin"].to_numpy(float), margin["y"].to_numpy(), model)
+    shown = largest_margins(sample, "text", model, ["first", "second"]).select("first", "second", "y").toPandas()
+    return calibrated(shown[["first", "second"]].to_numpy(float), shown["y"].to_numpy(), model)
 
 
 def score_texts(docs: DataFrame, model: Model | None, text: str = "text", setting: Setting = Setting()) -> DataFrame:
@@ -288,9 +379,8 @@ def score_texts(docs: DataFrame, model: Model | None, text: str = "text", settin
     score, predicted = free_name(docs, "score"), free_name(docs, "predicted")
     if model is None:
         return docs.withColumns({score: F.lit(0.0), predicted: F.lit(0)})
-    margin = free_name(docs, "margin")
-    shown = largest_margins(docs, text, model, margin)
-    value = 1 / (1 + F.exp(-(col(margin) * model.slope + model.shift)))
-    shown = shown.withColumn(score, value)
-    return shown.withColumn(predicted, (col(score) >= setting.threshold).cast("int")).drop(margin)
-
+    names = [free_name(docs, "first_margin"), free_name(docs, "second_margin")]
+    shown = largest_margins(docs, text, model, names)
+    total = col(names[0]) * model.slopes[0] + col(names[1]) * model.slopes[1] + model.shift
+    shown = shown.withColumn(score, 1 / (1 + F.exp(-total)))
+    return shown.withColumn(predicted, (col(score) >= setting.threshold).cast("int")).drop(*names)
