@@ -94,7 +94,8 @@ def remove_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "tex
     found = repeated_ranges(docs, key, text, width)
     found = stored(found.select(F.col("d").alias(d), F.col("t").alias(t), F.col("ranges").alias(ranges)))
     matched = col(key).eqNullSafe(found[d]) & (F.xxhash64(col(text)) == found[t])
-    joined = docs.join(found, matched, "left")
+    # Texts go to the ranges in a hash join without a sort, whatever the ranges' size.
+    joined = docs.join(found.hint("shuffle_hash"), matched, "left")
     lines, last = F.split(col(text), "\n", -1), F.size(col(ranges))
 
     def kept_before(i: Column) -> Column:
