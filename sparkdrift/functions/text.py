@@ -17,5 +17,5 @@ def dataset_metric_name(name: Column) -> Column:
 
 
 def importance_metric_name(name: Column) -> Column:
-    """Feature-importance spelling, 30 characters."""
-    return F.substring(name, 1, 30)
+    """Feature-importance spelling: underscores become dashes, 30 characters."""
+    return F.substring(F.translate(name, "_", "-"), 1, 30)

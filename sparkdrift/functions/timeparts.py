@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 SEASON_OF_MONTH = {
@@ -50,6 +50,13 @@ def dst_affected(ts: Column, tz: str) -> Column:
     return missing | repeated
 
 
+def require_utc(spark: SparkSession) -> None:
+    """Refuse a session in which zone-less texts and dates would not be read as UTC."""
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    if zone not in ("UTC", "Etc/UTC", "GMT", "Z", "+00:00"):
+        raise ValueError(f"the session time zone is {zone}; set spark.sql.session.timeZone to UTC")
+
+
 def weekday(ts: Column) -> Column:
     """Monday = 0 .. Sunday = 6."""
     return F.weekday(ts)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -101,14 +102,17 @@ def to_storage(
     time_column: str = "timestamp",
     now: Column | None = None,
 ) -> DataFrame:
-    """Storage layout: names, UTC, rounding, provenance columns and the rounded values as JSON."""
+    """Storage layout: names, UTC, rounding, provenance columns and the rounded values as JSON.
+
+    Without ``batch_id`` the call makes one for all its rows.
+    """
     clock = F.current_timestamp() if now is None else now
     renamed = rename_existing(df, STORAGE_NAMES)
     if time_column in renamed.columns:
         renamed = renamed.withColumn(time_column, utc_time(renamed, time_column, tz))
     rounded = round_measures(renamed)
     present = [c for c in RAW_COLUMNS if c in rounded.columns]
-    batch = F.expr("uuid()") if batch_id is None else F.lit(batch_id)
+    batch = F.lit(str(uuid.uuid4()) if batch_id is None else batch_id)
     added = {
         "ingestion_timestamp": clock,
         "data_source": F.lit(source),

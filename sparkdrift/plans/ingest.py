@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +14,19 @@ from sparkdrift.operators.quality import validate
 from sparkdrift.operators.transform import to_internal_names, to_storage
 from sparkdrift.sources.payload import parse_hourly_payload, split_payloads
 from sparkdrift.sources.runs import append_table, log_rows
-from sparkdrift.sources.table import clean_measures, from_table_types, prepare_rows, upsert
+from sparkdrift.sources.files import exists
+from sparkdrift.sources.table import (
+    DATE_FORMAT,
+    clean_measures,
+    from_table_types,
+    prepare_rows,
+    read_range,
+    upsert,
+)
+
+
+#: Column for a row's place in its payload.
+POSITION = "payload_position"
 
 
 def backfill_ranges(bounds: DataFrame, batch_days: int = 7) -> DataFrame:
@@ -52,6 +65,29 @@ def incremental_start(
     )
 
 
+def run_incremental(
+    spark: SparkSession,
+    landing_path: str,
+    table_path: str,
+    log_path: str,
+    now: datetime,
+    hours: int = 24,
+    **ingest,
+) -> DataFrame:
+    """Ingest what landed since one hour before the newest stored row, up to ``now``; the log rows.
+
+    Without stored rows the run reaches ``hours`` back. Rows that are delivered again overwrite themselves.
+    """
+    clock = F.lit(now).cast("timestamp")
+    if exists(spark, table_path):
+        start = incremental_start(spark.read.parquet(table_path), clock, hours).first()["start_date"]
+    else:
+        start = (now - timedelta(hours=hours)).date()
+    first, last = start.strftime(DATE_FORMAT), max(start, now.date()).strftime(DATE_FORMAT)
+    landed = read_range(spark, landing_path, first, last)
+    return ingest_payloads(spark, landed, table_path, log_path, now=clock, **ingest)
+
+
 def validate_batches(
     rows: DataFrame,
     batch_column: str,
@@ -95,25 +131,32 @@ def ingest_payloads(
     source: str = "api",
     config: QualityConfig = QualityConfig(),
     now: Column | None = None,
+    arrival: Sequence[str] = (),
 ) -> DataFrame:
     """Parse, grade, transform, upsert and log any number of batches; returns the log rows.
 
     Unusable payloads fail their batch only when nothing else of it is left; they never stop the
-    others. Rows of poor quality are graded and stored all the same. The parsed rows feed three
-    consumers and are persisted in between.
+    others. Rows of poor quality are graded and stored all the same. ``arrival`` names payload columns
+    (a landing time, a file, a number) that say which of two payloads came last; within a payload the
+    last place in its arrays wins. Without them two batches or payloads must not deliver different values
+    for one key. The parsed rows feed three consumers and are persisted in between.
     """
     clock = F.current_timestamp() if now is None else now
     started = spark.sql("select current_timestamp() as t").first()["t"]
     usable, rejected = split_payloads(payloads, json_column)
     rows = clean_measures(
         parse_hourly_payload(
-            usable, json_column, keep=[batch_column, "location_name", "latitude", "longitude"]
+            usable,
+            json_column,
+            keep=[*dict.fromkeys([batch_column, "location_name", "latitude", "longitude", *arrival])],
+            position=POSITION,
         )
     ).persist()
     try:
         quality = validate_batches(rows, batch_column, config)
-        stored = _storage_rows(rows, batch_column, source, clock)
-        upsert(spark, table_path, stored)
+        places = [*arrival, POSITION]
+        stored = _storage_rows(rows, batch_column, source, clock, places)
+        upsert(spark, table_path, stored, arrival=places)
         bad = rejected.groupBy(batch_column).agg(
             F.array_join(F.array_sort(F.collect_set("reject_reason")), "; ").alias("error_message")
         )
@@ -141,8 +184,10 @@ def ingest_payloads(
     return spark.read.parquet(log_path)
 
 
-def _storage_rows(rows: DataFrame, batch_column: str, source: str, clock: Column) -> DataFrame:
+def _storage_rows(
+    rows: DataFrame, batch_column: str, source: str, clock: Column, arrival: Sequence[str]
+) -> DataFrame:
     """Storage layout that keeps each row's own batch id."""
     tagged = rows.withColumn("__batch", F.col(batch_column))
     shaped = to_storage(tagged, source, "", now=clock).withColumn("batch_id", F.col("__batch"))
-    return prepare_rows(shaped, "", clock)
+    return prepare_rows(shaped, "", clock, arrival)

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sparkdrift.functions.timeparts import require_utc
+
 # Payload variables and their internal names.
 VARIABLE_NAMES = {
     "temperature_2m": "temperature",
@@ -70,11 +72,15 @@ def parse_hourly_payload(
     json_column: str,
     variables: Mapping[str, str] = VARIABLE_NAMES,
     keep: Sequence[str] = LOCATION_COLUMNS,
+    position: str | None = None,
 ) -> DataFrame:
     """One row per hour: time, the kept columns of the payload row, then the renamed variables.
 
-    A variable the payload lacks comes out as NULL.
+    A variable the payload lacks comes out as NULL. Times are UTC, and so must
+    the session's zone be.
+    ``position`` names a column for the place in the payload's arrays.
     """
+    require_utc(df.sparkSession)
     hourly = F.from_json(F.col(json_column), hourly_schema(tuple(variables)))["hourly"]
     parsed = df.select(*[c for c in keep if c in df.columns], hourly.alias("h"))
     times = F.coalesce(F.col("h.time"), F.array().cast("array<string>"))
@@ -82,10 +88,13 @@ def parse_hourly_payload(
         F.coalesce(F.col(f"h.{v}"), F.array().cast("array<double>")).alias(v) for v in variables
     ]
     kept = [c for c in parsed.columns if c != "h"]
-    rows = parsed.select(*kept, F.inline(F.arrays_zip(times.alias("time"), *series)))
+    zipped = F.arrays_zip(times.alias("time"), *series)
+    rows = parsed.select(*kept, F.posexplode(zipped).alias("__position", "__row"))
+    rows = rows.select(*kept, "__position", "__row.*")
     return rows.select(
         F.col("time").cast("timestamp").alias("timestamp"),
         *kept,
+        *([F.col("__position").alias(position)] if position else []),
         *[F.col(v).alias(name) for v, name in variables.items()],
     )
 

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from datetime import datetime, timezone
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkdrift.functions.numeric import clean_double
+from sparkdrift.functions.timeparts import require_utc
 from sparkdrift.sources.files import exists
 
 # Key, storage columns and their decimal types.
@@ -32,6 +33,7 @@ STORAGE_COLUMNS = (
     "created_at",
     "updated_at",
 )
+TEXT_COLUMNS = ("id", "location_name", "raw_data", "batch_id", "data_source")
 UPDATED_COLUMNS = (
     "temperature_2m",
     "relative_humidity_2m",
@@ -61,6 +63,10 @@ class DuplicateKeyError(ValueError):
     """An append would violate the table key."""
 
 
+class AmbiguousOrderError(ValueError):
+    """Rows of one key arrive at the same place with different values, so none of them is the last."""
+
+
 def with_date(df: DataFrame, time_column: str = "timestamp") -> DataFrame:
     return df.withColumn(DATE, F.to_date(time_column))
 
@@ -84,8 +90,19 @@ def clean_measures(df: DataFrame) -> DataFrame:
     return df.withColumns({c: clean_double(F.col(c)) for c in floating})
 
 
-def prepare_rows(df: DataFrame, batch_id: str, now: Column | None = None) -> DataFrame:
-    """Rows in storage layout: absent provenance is filled in, unknown columns are dropped."""
+def _storage_type(column: str) -> str:
+    if column in TEXT_COLUMNS:
+        return "string"
+    return "double" if column in DECIMALS else "timestamp"
+
+
+def prepare_rows(
+    df: DataFrame, batch_id: str, now: Column | None = None, arrival: Sequence[str] = ()
+) -> DataFrame:
+    """Rows in storage layout: all storage columns, absent ones NULL but for provenance.
+
+    Unknown columns are dropped; the ``arrival`` ones stay for ordering an upsert.
+    """
     clock = F.current_timestamp() if now is None else now
     defaults = {
         "id": F.expr("uuid()"),
@@ -94,12 +111,12 @@ def prepare_rows(df: DataFrame, batch_id: str, now: Column | None = None) -> Dat
         "created_at": clock,
         "updated_at": clock,
     }
-    filled = df.withColumns({c: v for c, v in defaults.items() if c not in df.columns})
-    if "raw_data" in filled.columns:
-        filled = filled.withColumn(
-            "raw_data", F.when(~F.col("raw_data").isin("", "{}"), F.col("raw_data"))
-        )
-    return filled.select(*[c for c in STORAGE_COLUMNS if c in filled.columns])
+    missing = [c for c in STORAGE_COLUMNS if c not in df.columns]
+    filled = df.withColumns(
+        {c: defaults[c] if c in defaults else F.lit(None).cast(_storage_type(c)) for c in missing}
+    )
+    filled = filled.withColumn("raw_data", F.when(~F.col("raw_data").isin("", "{}"), F.col("raw_data")))
+    return filled.select(*STORAGE_COLUMNS, *arrival)
 
 
 def scan_timerange(
@@ -165,19 +182,24 @@ def parse_range(start: str, end: str) -> tuple[datetime, datetime]:
 
 
 def read_range(
-    spark: SparkSession, path: str, start: str, end: str, now: datetime | None = None
+    spark: SparkSession,
+    path: str,
+    start: str,
+    end: str,
+    key: Sequence[str] = ("location_name", DATE),
 ) -> DataFrame:
-    """Landed payloads of a date range.
+    """Landed payloads of a date range, from the archive and from the recent landing area.
 
-    The landing directory is partitioned by ``source`` (archive, recent) and ``dt``; both conditions
-    prune directories.
+    The landing directory is partitioned by ``source`` (archive, recent) and ``dt``; the dates prune
+    directories. A range that starts long ago ends in days that landed as recent, so both areas are read,
+    and recent payloads give way where the archive has their key.
     """
     first, last = parse_range(start, end)
-    clock = now or datetime.now(timezone.utc).replace(tzinfo=None)
-    source = "archive" if (clock - first).total_seconds() > RECENT_DAYS * 86_400 else "recent"
-    return spark.read.parquet(path).where(
-        (F.col("source") == source) & F.col(DATE).between(F.lit(first.date()), F.lit(last.date()))
-    )
+    landed = spark.read.parquet(path).where(F.col(DATE).between(F.lit(first.date()), F.lit(last.date())))
+    archived = landed.where(F.col("source") == "archive")
+    kept = [c for c in key if c in landed.columns]
+    rest = landed.where(F.col("source") != "archive")
+    return archived.unionByName(rest.join(archived.select(*kept).distinct(), kept, "left_anti"))
 
 
 def append_conflicts(existing: DataFrame | None, incoming: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -199,41 +221,56 @@ def merge_rows(
     key: Sequence[str],
     updated: Sequence[str],
     order: Sequence[str],
+    transient: Sequence[str] = (),
 ) -> DataFrame:
     """State after upserting ``incoming`` in ``order``: the last row wins for the updated columns, all
     other columns keep their first value. NULLs overwrite like any value.
 
+    Both sides may lack columns of the other. An updated column the batch lacks becomes NULL in the rows
+    it writes; rows it doesn't write keep everything. ``transient`` columns order rows and are not kept.
     One aggregation with map-side combining; each side's columns come from a single row.
     """
-    fixed = [c for c in incoming.columns if c not in {*key, *updated}]
-    arrival = [F.col(c) for c in order]
-    new = incoming.select(
-        *key,
-        F.struct(F.lit(1).alias("__generation"), *arrival).alias("__arrival"),
-        F.struct(*updated).alias("__new"),
-        *([F.struct(*fixed).alias("__old")] if fixed else []),
-    )
-    if existing is not None:
-        types = {f.name: f.dataType for f in incoming.schema}
-        empty = [F.lit(None).cast(types[c]).alias(c) for c in order]
-        old = existing.select(
+    types = {} if existing is None else {f.name: f.dataType for f in existing.schema}
+    types |= {f.name: f.dataType for f in incoming.schema}
+    changing = [c for c in updated if c in types]
+    fixed = [c for c in types if c not in {*key, *changing, *transient}]
+
+    def side(df: DataFrame, generation: int) -> DataFrame:
+        def value(c: str) -> Column:
+            return (F.col(c) if c in df.columns else F.lit(None)).cast(types[c]).alias(c)
+
+        arrival = [value(c) if generation else F.lit(None).cast(types[c]).alias(c) for c in order]
+        return df.select(
             *key,
-            F.struct(F.lit(0).alias("__generation"), *empty).alias("__arrival"),
-            F.struct(*[F.col(c).cast(types[c]).alias(c) for c in updated]).alias("__new"),
-            *([F.struct(*[F.col(c).cast(types[c]).alias(c) for c in fixed]).alias("__old")] if fixed else []),
+            F.struct(F.lit(generation).alias("__generation"), *arrival).alias("__arrival"),
+            F.struct(*[value(c) for c in changing]).alias("__new"),
+            *([F.struct(*[value(c) for c in fixed]).alias("__old")] if fixed else []),
         )
-        new = old.unionByName(new)
+
+    rows = side(incoming, 1)
+    if existing is not None:
+        rows = side(existing, 0).unionByName(rows)
     picks = [F.max_by("__new", "__arrival").alias("__new")]
     if fixed:
         picks.append(F.min_by("__old", "__arrival").alias("__old"))
-    merged = new.groupBy(*key).agg(*picks)
+    merged = rows.groupBy(*key).agg(*picks)
     return merged.select(
         *key,
-        *[F.col(f"__new.{c}").alias(c) for c in updated],
+        *[F.col(f"__new.{c}").alias(c) for c in changing],
         *[F.col(f"__old.{c}").alias(c) for c in fixed],
     )
 
 
+def ambiguous_rows(
+    incoming: DataFrame, key: Sequence[str], updated: Sequence[str], order: Sequence[str]
+) -> DataFrame:
+    """Keys with rows that ``order`` can't tell apart although their updated columns differ."""
+    values = F.struct(*[c for c in updated if c in incoming.columns and c not in order])
+    places = list(dict.fromkeys([*key, *order]))
+    ends = incoming.groupBy(*places).agg(F.min(values).alias("low"), F.max(values).alias("high"))
+    return ends.where(~F.col("low").eqNullSafe(F.col("high"))).select(*key)
+
+
 def new_rows(existing: DataFrame, incoming: DataFrame, key: Sequence[str]) -> DataFrame:
     """Incoming rows whose key the table does not hold yet."""
     return incoming.join(existing.select(*key).distinct(), list(key), "left_anti")
@@ -250,6 +287,7 @@ def _write(df: DataFrame, path: str, mode: str) -> None:
 
 def append(spark: SparkSession, path: str, rows: DataFrame, key: Sequence[str] = KEY) -> None:
     """Append; any duplicate key fails before anything is written."""
+    require_utc(spark)
     existing = spark.read.parquet(path) if exists(spark, path) else None
     dated = with_date(to_table_types(rows))
     if existing is not None:
@@ -267,20 +305,29 @@ def upsert(
     key: Sequence[str] = KEY,
     updated: Sequence[str] = UPDATED_COLUMNS,
     order: Sequence[str] = ("updated_at",),
+    arrival: Sequence[str] = (),
 ) -> None:
     """Merge rows into the table, rewriting only the dates they touch.
 
-    New partitions replace old ones when the job commits, so a lost executor costs a retry, not data.
+    Rows of one key are applied by ``order``, then by the ``arrival`` columns, which are not stored. Where
+    that leaves rows with different values in the same place, nothing is written and the call fails: no
+    partitioning decides which one is last. New partitions replace old ones when the job commits, so a
+    lost executor costs a retry, not data.
     """
+    require_utc(spark)
     incoming = with_date(to_table_types(rows))
+    places = [*order, *arrival]
+    present = [c for c in updated if c in incoming.columns]
+    tied = ambiguous_rows(incoming, [*key, DATE], present, places).limit(1).collect()
+    if tied:
+        raise AmbiguousOrderError(f"no last row for key {[tied[0][k] for k in key]} by {', '.join(places)}")
     existing = None
     if exists(spark, path):
         # The distinct dates of the batch prune the table's partitions at run time.
         existing = spark.read.parquet(path).join(
             incoming.select(DATE).distinct(), DATE, "left_semi"
         )
-    present = [c for c in updated if c in incoming.columns]
-    merged = merge_rows(existing, incoming, [*key, DATE], present, order)
+    merged = merge_rows(existing, incoming, [*key, DATE], updated, places, arrival)
     _write(merged, path, "overwrite")
 
 

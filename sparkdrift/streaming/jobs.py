@@ -28,16 +28,19 @@ def upsert_stream(
     updated: Sequence[str] = UPDATED_COLUMNS,
     order: Sequence[str] = ("updated_at",),
     continuous: str | None = None,
+    arrival: Sequence[str] = (),
 ) -> StreamingQuery:
     """Upsert every micro-batch; replaying a batch after a failure gives the same table.
 
+    ``order`` and the unstored ``arrival`` columns must put the rows of a key in one order.
+
     By default all available files are processed and the query stops, which suits a schedule;
     ``continuous`` gives a trigger interval instead.
     """
 
     def merge(batch: DataFrame, _batch_id: int) -> None:
         if not batch.isEmpty():
-            upsert(batch.sparkSession, table_path, batch, key, updated, order)
+            upsert(batch.sparkSession, table_path, batch, key, updated, order, arrival)
 
     writer = rows.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
     trigger = {"availableNow": True} if continuous is None else {"processingTime": continuous}
@@ -91,8 +94,6 @@ def stored_bin(value: Column, edges: Column) -> Column:
 
 def window_psi(counts: DataFrame, profile: DataFrame) -> DataFrame:
     """PSI per closed window from written bin counts, for a batch or foreachBatch reader."""
-    from sparkdrift.operators.drift import psi_term
-
     stored = profile_bins(profile).select("feature", "bin", F.col("cnt").alias("n_ref"))
     ends = counts.groupBy("window", "feature").agg(F.sum("n_cur").alias("cur_n"))
     sizes = stored.groupBy("feature").agg(F.sum("n_ref").alias("ref_n"))

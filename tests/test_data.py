@@ -196,9 +196,73 @@ def test_read_range_prunes_landing_area(spark, tmp_path):
     spark.createDataFrame(rows, "source string, dt string, payload string").withColumn(
         "dt", F.col("dt").cast("date")
     ).write.partitionBy("source", "dt").parquet(path)
-    got = S.read_range(spark, path, "2024-01-02", "2024-01-03", datetime(2024, 2, 1))
-    assert got.count() == 2 and {r["source"] for r in got.collect()} == {"archive"}
-    assert S.read_range(spark, path, "2024-01-02", "2024-01-03", datetime(2024, 1, 4)).count() == 1
+    extra = [("recent", "2024-01-04", payload(n)) for n in (1, 2)]
+    spark.createDataFrame(extra, "source string, dt string, payload string").withColumn(
+        "dt", F.col("dt").cast("date")
+    ).write.mode("append").partitionBy("source", "dt").parquet(path)
+    # The range runs from archived days into recent ones; the archive wins where both have a day.
+    got = S.read_range(spark, path, "2024-01-02", "2024-01-05").collect()
+    assert sorted((str(r["dt"]), r["source"]) for r in got) == [
+        ("2024-01-02", "archive"),
+        ("2024-01-03", "archive"),
+        ("2024-01-04", "recent"),
+        ("2024-01-04", "recent"),
+    ]
+    table, log = str(tmp_path / "table"), str(tmp_path / "log")
+    kept = {"arrival": ["dt"], "batch_column": "source"}
+    located = spark.read.parquet(path).select(
+        "source", "dt", "payload", F.lit("s").alias("location_name"), F.lit(1.0).alias("latitude"),
+        F.lit(2.0).alias("longitude"),
+    )
+    landing = str(tmp_path / "located")
+    located.where("dt < '2024-01-04'").write.partitionBy("source", "dt").parquet(landing)
+    I.run_incremental(spark, landing, table, log, datetime(2024, 1, 3, 12), hours=36, **kept)
+    assert spark.read.parquet(table).count() == 4
+    I.run_incremental(spark, landing, table, log, datetime(2024, 1, 3, 13), **kept)
+    assert spark.read.parquet(table).count() == 4
+
+
+def measures(spark, rows, columns="temperature_2m double"):
+    schema = f"timestamp string, {columns}, updated_at string, place int"
+    df = spark.createDataFrame(rows, schema).withColumns(
+        {c: F.col(c).cast("timestamp") for c in ("timestamp", "updated_at")}
+    )
+    return df.withColumns({"latitude": F.lit(1.0), "longitude": F.lit(2.0)})
+
+
+def test_upsert_keeps_columns_that_a_batch_lacks(spark, tmp_path):
+    path = str(tmp_path / "t")
+    first = [("2024-01-01 00:00", 1.0, 9.0, "2024-02-01", 0), ("2024-01-01 01:00", 2.0, 8.0, "2024-02-01", 0)]
+    S.upsert(spark, path, measures(spark, first, "temperature_2m double, precipitation double").drop("place"))
+    S.upsert(spark, path, measures(spark, [("2024-01-01 01:00", 5.0, "2024-02-02", 0)]).drop("place"))
+    got = {r["timestamp"].hour: r for r in S.from_table_types(spark.read.parquet(path)).collect()}
+    assert (got[0]["temperature_2m"], got[0]["precipitation"]) == (1.0, 9.0)
+    assert (got[1]["temperature_2m"], got[1]["precipitation"]) == (5.0, None)
+    late = measures(spark, [("2024-01-01 02:00", 7.0, "2024-02-03", 0)]).drop("place").withColumn("cloud_cover", F.lit(3.0))
+    S.upsert(spark, path, late, updated=[*S.UPDATED_COLUMNS, "cloud_cover"])
+    wide = spark.read.parquet(path)
+    assert wide.count() == 3 and wide.where("cloud_cover is null").count() == 2
+
+
+@pytest.mark.parametrize("parts", [1, 3, 5])
+def test_the_last_row_of_a_batch_wins_however_it_is_dealt(spark, tmp_path, parts):
+    path = str(tmp_path / "t")
+    rows = [("2024-01-01 00:00", float(i), "2024-02-01", i) for i in range(6)]
+    batch = measures(spark, rows).repartition(parts)
+    with pytest.raises(S.AmbiguousOrderError):
+        S.upsert(spark, path, batch)
+    S.upsert(spark, path, batch, arrival=["place"])
+    row = spark.read.parquet(path).first()
+    assert float(row["temperature_2m"]) == 5.0 and "place" not in row.asDict()
+
+
+def test_other_session_zones_are_refused(spark, tmp_path):
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        with pytest.raises(ValueError, match="UTC"):
+            S.upsert(spark, str(tmp_path / "t"), measures(spark, [("2024-01-01 00:00", 1.0, "2024-02-01", 0)]))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
 def test_ingestion_is_idempotent_and_keeps_going(spark, tmp_path):
