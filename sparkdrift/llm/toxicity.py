@@ -149,24 +149,67 @@ def margins(words: list[str], model: Model) -> np.ndarray:
     return out
 
 
-def landmark_rows(landmarks: list[str]) -> np.ndarray:
-    """Subsequence weights of the landmarks, as (CLASSES ** 3, landmarks), divided by their norms."""
-    out = np.zeros((CLASSES**3, len(landmarks)), np.float32)
-    for ids, owner, weight in subsequences(landmarks):
-        np.add.at(out, (ids, owner), weight)
-    return out / norms(landmarks)
-
-
-def kernel(words: list[str], rows: np.ndarray) -> np.ndarray:
-    """Kernel values of words with the landmarks behind ``rows``."""
-    out = np.zeros((len(words), rows.shape[1]), np.float64)
-    for at in range(0, len(words), 1_000):
-        part = words[at : at + 1_000]
-        for ids, owner, weight in subsequences(part):
-            starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(owner) else []
-            if len(starts):
-                out[at + owner[starts]] += weight * np.add.reduceat(rows[ids], starts, axis=0)
-    return out / norms(words)[:, None]
+@dataclass(frozen=True)
+class Landmarks:
+    """Subsequence weights of the landmarks divided by their norms, one row for each that occurs in them.
+
+    ``row_of`` has the row of every subsequence; row 0 is empty and stands for all others.
+    """
+
+    row_of: np.ndarray
+    rows: np.ndarray
+
+    @classmethod
+    def of(cls, words: list[str]) -> Landmarks:
+        found = list(subsequences(words))
+        ids = np.unique(np.concatenate([x for x, _, _ in found]))
+        row_of = np.zeros(CLASSES**3, np.int32)
+        row_of[ids] = np.arange(1, len(ids) + 1)
+        rows = np.zeros((len(ids) + 1, len(words)))
+        for x, owner, weight in found:
+            np.add.at(rows, (row_of[x], owner), weight)
+        return cls(row_of, (rows / norms(words)).astype(np.float32))
+
+    def kernel(self, words: list[str]) -> np.ndarray:
+        """Kernel values of words with the landmarks."""
+        out = np.zeros((len(words), self.rows.shape[1]), np.float32)
+        for at in range(0, len(words), 500):
+            part = words[at : at + 500]
+            for ids, owner, weight in subsequences(part):
+                starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(owner) else []
+                if len(starts):
+                    shared = np.add.reduceat(self.rows[self.row_of[ids]], starts, axis=0)
+                    out[at + owner[starts]] += np.float32(weight) * shared
+            out[at : at + 500] /= norms(part)[:, None].astype(np.float32)
+        return out
+
+    def fold(self, values: np.ndarray) -> np.ndarray:
+        """One weight per subsequence from one value per landmark."""
+        return (self.rows @ values).astype(np.float32)[self.row_of]
+
+
+def squared_hinge(
+    x: np.ndarray, toxic: np.ndarray, clean: np.ndarray, w: np.ndarray, ridge: np.ndarray
+) -> np.ndarray:
+    """Weights after Newton steps on the squared hinge loss; each row of x may count for both sides.
+
+    Rows are taken in blocks, so memory stays near that of ``x``.
+    """
+    for _ in range(12):
+        curve, pull = ridge.copy(), np.zeros(len(w))
+        for at in range(0, len(x), 4096):
+            part = x[at : at + 4096].astype(np.float64)
+            value = part @ w
+            up = np.where(value < 1, toxic[at : at + 4096], 0.0)
+            down = np.where(value > -1, clean[at : at + 4096], 0.0)
+            curve += part.T @ (part * (up + down)[:, None])
+            pull += part.T @ (up - down)
+        new = np.linalg.solve(curve, pull)
+        done = np.abs(new - w).max() < 1e-6
+        w = new
+        if done:
+            break
+    return w
 
 
 def surplus(toxic: np.ndarray, clean: np.ndarray, share: float) -> np.ndarray:
@@ -219,38 +262,27 @@ def fit(
     chosen = list(ranked[:half])
     others = ranked[half:]
     chosen += list(others[:: max(1, len(others) // max(1, setting.landmarks - half))][: setting.landmarks - half])
-    rows = landmark_rows([words[i] for i in chosen])
-    among = kernel([words[i] for i in chosen], rows)
+    marks = Landmarks.of([words[i] for i in chosen])
+    among = marks.kernel([words[i] for i in chosen]).astype(np.float64)
     values, vectors = np.linalg.eigh((among + among.T) / 2)
     good = values > 1e-3 * values.max()
     root = vectors[:, good] / np.sqrt(values[good])
-    mapped = kernel(words, rows) @ root
-    mapped = np.hstack([mapped, np.ones((len(words), 1))])
-    x = np.vstack([mapped, mapped])
-    y = np.r_[np.ones(len(words)), -np.ones(len(words))]
+    mapped = np.ones((len(words), root.shape[1] + 1), np.float32)
+    mapped[:, :-1] = marks.kernel(words) @ root.astype(np.float32)
     first = typical & (hint > min(setting.hint, hint.max() / 2))
     weight_toxic, weight_clean = np.where(first, np.sqrt(toxic), 0.0), np.sqrt(clean)
     if not weight_toxic.any():
         weight_toxic = np.sqrt(toxic)
-    ridge = setting.ridge * np.eye(x.shape[1])
+    ridge = setting.ridge * np.eye(mapped.shape[1])
     ridge[-1, -1] = 1e-6
-    w = np.zeros(x.shape[1])
+    w = np.zeros(mapped.shape[1])
     for _ in range(setting.rounds):
-        weight = np.r_[weight_toxic, weight_clean]
-        for _ in range(12):
-            active = (y * (x @ w) < 1) & (weight > 0)
-            part, load = x[active], weight[active]
-            new = np.linalg.solve(part.T @ (part * load[:, None]) + ridge, part.T @ (load * y[active]))
-            done = np.abs(new - w).max() < 1e-6
-            w = new
-            if done:
-                break
+        w = squared_hinge(mapped, weight_toxic, weight_clean, w, ridge)
         witness = (mapped @ w > 0) & typical
         if not witness.any():
             break
         weight_toxic = np.where(witness, np.sqrt(toxic), 0.0)
-    folded = rows @ (root @ w[:-1])
-    return Model(folded.astype(np.float32), float(w[-1]))
+    return Model(marks.fold(root @ w[:-1]), float(w[-1]))
 
 
 def calibrated(margin: np.ndarray, toxic: np.ndarray, model: Model) -> Model:
