@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkdrift.config import ColumnSpec, FeatureConfig, QualityConfig
 from sparkdrift.operators.distribution import TwoSample
 from sparkdrift.operators.windows import Series, densify_hourly
+from sparkdrift.sources.files import shared_folder
 
 FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 CUT = "1998-07-01 00:00:00"
@@ -27,9 +25,8 @@ def at(text: str) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh directory in the folder the cluster shares; a local one only where none is named."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sparkdrift-")
-    return f"{base.rstrip('/')}/sparkdrift-{uuid.uuid4().hex}"
+    """A fresh directory in the folder the cluster shares."""
+    return shared_folder(spark, "contract")
 
 
 def lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,10 +1,10 @@
 """Row-based time-series operators that stay parallel inside one long series.
 
 A plain ``Window.partitionBy(series)`` puts a whole series into one task; a table that is mostly one
-series then runs on one core. Here each row first gets its position in its series, from row numbers
-inside time buckets plus accumulated bucket sizes. Positions cut every series into chunks of equal
-size, and each chunk borrows the few rows its frames need from its neighbours. Results equal the plain
-window exactly.
+series then runs on one core. Here rows are first sorted into slices of about equal numbers of rows,
+whatever their times, and each row gets its position in its series from its place in the slice plus the
+sizes of the slices before. Positions cut every series into chunks of equal size, and each chunk borrows
+the few rows its frames need from its neighbours. Results equal the plain window exactly.
 """
 
 from __future__ import annotations
@@ -16,12 +16,14 @@ from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sparkdrift.functions.timeparts import epoch_us, hours_between
+from sparkdrift.functions.timeparts import hours_between
 from sparkdrift.operators.frames import null_safe_join, require_columns
+from sparkdrift.sources.files import written
 
 ROW, CHUNK, HOME = "__row", "__chunk", "__home"
-BUCKET = "__bucket"
-LAST_BUCKET = 2**62
+SLICE, PLACE = "__slice", "__place"
+# Chunks of a series whose totals one task accumulates.
+SPAN = 1_000
 
 
 @dataclass(frozen=True)
@@ -30,29 +32,26 @@ class Series:
 
     ``keys`` identify a series (none: the whole table is one), ``time`` and ``tie`` together order it
     without ties. ``chunk_rows`` is the number of rows one task evaluates windows over.
-    ``bucket_hours`` is the width of the time slices sorted in one task each; by default it follows
-    from the row count and time range of the data, so that a slice holds about ``chunk_rows`` rows.
     """
 
     keys: tuple[str, ...] = ()
     time: str = "timestamp"
     tie: tuple[str, ...] = ()
-    bucket_hours: int | None = None
     chunk_rows: int = 50_000
 
 
-def _time_bucket(df: DataFrame, series: Series) -> Column:
-    """Number of the time slice a row belongs to; rows without a time go to a slice after all others."""
-    t = epoch_us(F.col(series.time))
-    if series.bucket_hours is not None:
-        width = F.lit(series.bucket_hours * 3_600_000_000)
-    else:
-        span = (F.max(t) - F.min(t)).cast("double")
-        share = F.try_divide(span * F.lit(float(series.chunk_rows)), F.count(t).cast("double"))
-        width = (
-            df.agg(F.greatest(F.ceil(share), F.lit(1)).alias("width")).select("width").scalar()
-        )
-    return F.coalesce(F.floor(t / width), F.lit(LAST_BUCKET))
+def slices(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """Rows sorted into ranges, with the range's number and a place that grows in sort order.
+
+    The ranges are cut by a sample of keys and order together, so a long series, a busy day, equal times
+    and missing times are all divided by rows. The result is written to the shared folder: what is
+    counted and what is read later are the same cut, also after a lost executor.
+    """
+    by = [*[F.col(k).asc_nulls_first() for k in keys], *order]
+    cut = df.repartitionByRange(*by).sortWithinPartitions(*by)
+    return written(
+        cut.select("*", F.spark_partition_id().alias(SLICE), F.monotonically_increasing_id().alias(PLACE))
+    )
 
 
 def number_rows(df: DataFrame, series: Series) -> DataFrame:
@@ -60,24 +59,20 @@ def number_rows(df: DataFrame, series: Series) -> DataFrame:
     require_columns(df, [*series.keys, series.time, *series.tie])
     if ROW in df.columns:
         return df
-    cell = [*series.keys, BUCKET]
-    bucketed = df.withColumn(BUCKET, _time_bucket(df, series))
-    earlier = (
-        W.partitionBy(*series.keys).orderBy(BUCKET).rowsBetween(W.unboundedPreceding, -1)
-    )
+    order = [F.col(c).asc_nulls_last() for c in (series.time, *series.tie)]
+    cut = slices(df, series.keys, order)
+    cell = [*series.keys, SLICE]
+    earlier = W.partitionBy(*series.keys).orderBy(SLICE).rowsBetween(W.unboundedPreceding, -1)
+    # A slice's rows of one series lie side by side, so their places are consecutive.
     offsets = (
-        bucketed.groupBy(*cell)
-        .agg(F.count(F.lit(1)).alias("__size"))
-        .select(*cell, F.coalesce(F.sum("__size").over(earlier), F.lit(0)).alias("__offset"))
-    )
-    inside = W.partitionBy(*cell).orderBy(
-        F.col(series.time).asc_nulls_last(), *[F.col(t).asc_nulls_last() for t in series.tie]
+        cut.groupBy(*cell)
+        .agg(F.count(F.lit(1)).alias("__size"), F.min(PLACE).alias("__first"))
+        .select(*cell, (F.coalesce(F.sum("__size").over(earlier), F.lit(0)) - F.col("__first")).alias("__shift"))
     )
-    numbered = bucketed.withColumn("__rank", F.row_number().over(inside))
     return (
-        null_safe_join(numbered, offsets, cell)
-        .withColumn(ROW, F.col("__offset") + F.col("__rank") - 1)
-        .drop(BUCKET, "__rank", "__offset")
+        null_safe_join(cut, offsets, cell)
+        .withColumn(ROW, F.col(PLACE) + F.col("__shift"))
+        .drop(SLICE, PLACE, "__shift")
     )
 
 
@@ -236,13 +231,31 @@ def forward_fill(
     rows = in_chunks(df, series, 0, 0)
     w = chunk_window(series).rowsBetween(W.unboundedPreceding, 0)
     cell = [*series.keys, CHUNK]
+    span = F.floor(F.col(CHUNK) / SPAN).alias("__span")
     last_known = rows.groupBy(*cell).agg(
         *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(ROW))).alias(f"__last_{c}") for c in columns]
-    )
-    earlier = W.partitionBy(*series.keys).orderBy(CHUNK).rowsBetween(W.unboundedPreceding, -1)
-    carried = last_known.select(
+    ).select("*", span)
+    # Two levels: chunks inside a span, then spans of a series, so that no task walks all chunks.
+    before = W.partitionBy(*series.keys, "__span").orderBy(CHUNK).rowsBetween(W.unboundedPreceding, -1)
+    in_span = last_known.select(
         *cell,
-        *[F.last(f"__last_{c}", ignorenulls=True).over(earlier).alias(f"__carry_{c}") for c in columns],
+        "__span",
+        *[F.last(f"__last_{c}", ignorenulls=True).over(before).alias(f"__near_{c}") for c in columns],
+    )
+    per_span = last_known.groupBy(*series.keys, "__span").agg(
+        *[
+            F.max_by(f"__last_{c}", F.when(F.col(f"__last_{c}").isNotNull(), F.col(CHUNK))).alias(f"__last_{c}")
+            for c in columns
+        ]
+    )
+    spans = W.partitionBy(*series.keys).orderBy("__span").rowsBetween(W.unboundedPreceding, -1)
+    far = per_span.select(
+        *series.keys,
+        "__span",
+        *[F.last(f"__last_{c}", ignorenulls=True).over(spans).alias(f"__far_{c}") for c in columns],
+    )
+    carried = null_safe_join(in_span, far, [*series.keys, "__span"]).select(
+        *cell, *[F.coalesce(f"__near_{c}", f"__far_{c}").alias(f"__carry_{c}") for c in columns]
     )
     local = rows.select(
         *[c for c in rows.columns if c not in columns],
@@ -283,34 +296,38 @@ def time_gaps(
 ) -> DataFrame:
     """Intervals, gaps above the limit and the largest interval, per group (or one row).
 
-    Differences inside a time bucket come from a window over that bucket; the step from one bucket to
-    the next from the buckets' first and last times. ``groups`` must be a subset of the series keys
-    or empty.
+    Equal times are folded first; they add intervals of length 0. Differences inside a slice come from a
+    window over that slice; the step from one slice to the next from the slices' first and last times.
+    ``groups`` must be a subset of the series keys or empty.
     """
     t = series.time
-    cell = [*series.keys, BUCKET]
-    bucketed = df.where(F.col(t).isNotNull()).select(
-        *series.keys, F.col(t).alias("__t"), _time_bucket(df, series).alias(BUCKET)
+    cell = [*series.keys, SLICE]
+    folded = (
+        df.where(F.col(t).isNotNull())
+        .groupBy(*series.keys, F.col(t).alias("__t"))
+        .agg(F.count(F.lit(1)).alias("__n"))
     )
+    cut = slices(folded, series.keys, [F.col("__t").asc()])
     inside = W.partitionBy(*cell).orderBy("__t")
-    stepped = bucketed.withColumn(
-        "__step", hours_between(F.col("__t"), F.lag("__t").over(inside))
-    )
+    stepped = cut.withColumn("__step", hours_between(F.col("__t"), F.lag("__t").over(inside)))
     per_bucket = stepped.groupBy(*cell).agg(
-        F.count(F.lit(1)).alias("rows"),
+        F.sum("__n").alias("rows"),
+        F.max("__n").alias("most"),
         F.min("__t").alias("first_t"),
         F.max("__t").alias("last_t"),
         F.count_if(F.col("__step") > max_gap_hours).alias("gaps"),
         F.max("__step").alias("longest"),
     )
-    order = W.partitionBy(*series.keys).orderBy(BUCKET)
+    order = W.partitionBy(*series.keys).orderBy(SLICE)
     bridged = per_bucket.withColumn(
         "__bridge", hours_between(F.col("first_t"), F.lag("last_t").over(order))
     )
     per_series = bridged.groupBy(*series.keys).agg(
         F.sum("rows").alias("rows"),
         (F.sum("gaps") + F.count_if(F.col("__bridge") > max_gap_hours)).alias("gaps"),
-        F.greatest(F.max("longest"), F.max("__bridge")).alias("longest"),
+        F.greatest(
+            F.max("longest"), F.max("__bridge"), F.when(F.max("most") > 1, F.lit(0.0))
+        ).alias("longest"),
     )
     return per_series.groupBy(*groups).agg(
         F.coalesce(F.sum(F.greatest(F.col("rows") - 1, F.lit(0))), F.lit(0)).alias("total_intervals"),

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def _file_system(spark: SparkSession, path: str):
@@ -19,3 +22,25 @@ def remove(spark: SparkSession, path: str) -> bool:
     """Delete a directory; False when it was not there."""
     fs, p = _file_system(spark, path)
     return fs.exists(p) and fs.delete(p, True)
+
+
+def shared_folder(spark: SparkSession, purpose: str = "data") -> str:
+    """The path of a fresh folder that driver and executors share, not created yet.
+
+    It lies in ``spark.checkpoint.dir``. Only a local session, where driver and executors are one process,
+    may do without that setting; it gets a temporary folder, which is set for the whole session.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if base is None:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="sparkdrift-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The frame written to the shared folder and read again: its rows are fixed and its lineage ends."""
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

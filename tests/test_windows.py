@@ -18,7 +18,7 @@ from sparkdrift.operators.split import (
     temporal_split,
 )
 
-SMALL = dict(bucket_hours=7, chunk_rows=5)
+SMALL = dict(chunk_rows=5)
 
 
 def hourly(n=120, seed=42, holes=0.15, series="a"):
@@ -50,7 +50,7 @@ def collect(df, *order):
     return df.toPandas().sort_values(list(order)).reset_index(drop=True)
 
 
-@pytest.mark.parametrize("layout", [{}, SMALL, dict(bucket_hours=1, chunk_rows=1)])
+@pytest.mark.parametrize("layout", [{}, SMALL, dict(chunk_rows=1)])
 def test_lags_rolling_and_future_max(spark, two_series, layout):
     series = W.Series(("series",), **layout)
     df = to_spark(spark, two_series)
@@ -113,11 +113,50 @@ def test_rows_without_time_come_last_and_null_keys_are_a_series(spark):
     assert got == {1.0: None, 2.0: 1.0, 3.0: 2.0, 9.0: None}
 
 
-@pytest.mark.parametrize("hours", [1, 5, 24])
-def test_time_gaps_across_buckets(spark, hours):
+def test_time_gaps_across_slices(spark):
     frame = hourly(80, holes=0).drop(index=[10, 11, 12, 40, 41, 70]).sample(frac=1, random_state=1)
-    row = W.time_gaps(to_spark(spark, frame), W.Series((), bucket_hours=hours)).first()
+    row = W.time_gaps(to_spark(spark, frame), W.Series(())).first()
     assert (row["total_intervals"], row["gaps_found"], row["max_gap_hours"]) == (73, 2, 4.0)
+    doubled = to_spark(spark, pd.concat([frame, frame]))
+    row = W.time_gaps(doubled, W.Series(())).first()
+    assert (row["total_intervals"], row["gaps_found"], row["max_gap_hours"]) == (147, 2, 4.0)
+
+
+@pytest.fixture
+def uncoalesced(spark):
+    # A small table would be put into one partition.
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(name, "false")
+    yield
+    spark.conf.unset(name)
+
+
+def test_slices_hold_even_numbers_of_rows(spark, uncoalesced):
+    # Even rows, one row from 1970, one busy day, and many rows without a time.
+    df = spark.range(40_000).select(
+        F.when(F.col("id") == 0, F.lit(0))
+        .when(F.col("id") < 10_000, 1_700_000_000 + F.col("id") * 60)
+        .when(F.col("id") < 25_000, F.lit(1_701_000_000))
+        .cast("timestamp")
+        .alias("timestamp"),
+        "id",
+    )
+    series = W.Series((), tie=("id",))
+    order = [F.col(c).asc_nulls_last() for c in ("timestamp", "id")]
+    sizes = [r["count"] for r in W.slices(df, (), order).groupBy(W.SLICE).count().collect()]
+    assert len(sizes) >= 8 and max(sizes) < 2 * 40_000 / len(sizes)
+    numbered = W.number_rows(df, series)
+    wanted = pd.concat([pd.Series(np.arange(40_000))])
+    got = numbered.select("id", W.ROW).toPandas().sort_values("id")
+    assert (got[W.ROW].to_numpy() == wanted.to_numpy()).all()
+
+
+def test_fill_carries_over_many_spans(spark, monkeypatch):
+    monkeypatch.setattr(W, "SPAN", 2)
+    frame = hourly(60, holes=0)
+    frame.loc[3:50, "x"] = np.nan
+    got = collect(W.forward_fill(to_spark(spark, frame), ["x"], W.Series((), chunk_rows=2)), "timestamp")
+    np.testing.assert_array_equal(got["x"], frame["x"].ffill())
 
 
 def test_gap_of_exactly_the_limit_and_single_row(spark):
