@@ -102,8 +102,9 @@ def _(spark, sf):
     return aligned_histogram(sample.long(), limits=sample.limits())
 
 
-def _chi2_sql(cells: str) -> str:
-    return f"""WITH long AS ({LI_LONG_SQL}), lim AS (
+def _chi2_sql(cells: str, long: str = LI_LONG_SQL) -> str:
+    """Statistic and p-value; the tail is a finite sum for the odd numbers of cells used here."""
+    return f"""WITH long AS ({long}), lim AS (
   SELECT feature, min(value) AS lo, max(value) AS hi, count(*) FILTER (WHERE is_ref) AS r,
          count(*) FILTER (WHERE NOT is_ref) AS c FROM long GROUP BY feature),
 cells AS ({cells}),
@@ -112,15 +113,25 @@ e AS (
   SELECT feature, n_cells, o_r, o_c, (o_r + o_c) * CAST(r AS DOUBLE) / (r + c) AS e_r,
          (o_r + o_c) * CAST(c AS DOUBLE) / (r + c) AS e_c
   FROM cells JOIN lim USING (feature) JOIN k USING (feature)),
-y AS (SELECT *, CASE WHEN n_cells = 2 THEN least(0.5, abs(o_r - e_r)) ELSE 0 END AS fix FROM e)
-SELECT feature, any_value(n_cells) AS n_cells,
-       sum((abs(o_r - e_r) - fix) ** 2 / e_r + (abs(o_c - e_c) - fix) ** 2 / e_c) AS chi2_statistic
-FROM y GROUP BY feature"""
+y AS (SELECT *, CASE WHEN n_cells = 2 THEN least(0.5, abs(o_r - e_r)) ELSE 0 END AS fix FROM e),
+x AS (
+  SELECT feature, any_value(n_cells) AS n_cells,
+         sum((abs(o_r - e_r) - fix) ** 2 / e_r + (abs(o_c - e_c) - fix) ** 2 / e_c) AS chi2_statistic
+  FROM y GROUP BY feature)
+SELECT feature, n_cells, chi2_statistic,
+       (SELECT sum(exp(i * ln(x.chi2_statistic / 2) - lgamma(i + 1.0) - x.chi2_statistic / 2))
+        FROM (SELECT unnest(range(0, 40)) AS i) AS t WHERE i < (x.n_cells - 1) // 2) AS chi2_p_value
+FROM x"""
+
+
+_BINNED_CELLS_SQL = f"""SELECT feature, {bin_sql(9)} AS cell, count(*) FILTER (WHERE is_ref) AS o_r,
+          count(*) FILTER (WHERE NOT is_ref) AS o_c
+   FROM long JOIN lim USING (feature) GROUP BY ALL"""
 
 
 @query(
     "chi_square_cat",
-    "feature:s n_cells:i chi2_statistic:f6",
+    "feature:s n_cells:i chi2_statistic:f6 chi2_p_value:f6",
     _chi2_sql(
         """SELECT feature, value AS cell, count(*) FILTER (WHERE is_ref) AS o_r,
           count(*) FILTER (WHERE NOT is_ref) AS o_c
@@ -133,15 +144,11 @@ def _(spark, sf):
 
 @query(
     "chi_square_binned",
-    "feature:s n_cells:i chi2_statistic:f6",
-    _chi2_sql(
-        f"""SELECT feature, {bin_sql(8)} AS cell, count(*) FILTER (WHERE is_ref) AS o_r,
-          count(*) FILTER (WHERE NOT is_ref) AS o_c
-   FROM long JOIN lim USING (feature) GROUP BY ALL"""
-    ),
+    "feature:s n_cells:i chi2_statistic:f6 chi2_p_value:f6",
+    _chi2_sql(_BINNED_CELLS_SQL),
 )
 def _(spark, sf):
-    return T.chi_square_test(li_sample(spark, sf), bins=8)
+    return T.chi_square_test(li_sample(spark, sf), bins=9)
 
 
 @query(
@@ -162,12 +169,21 @@ FROM hist_tests
 UNION ALL
 SELECT feature, 'ks', ks_statistic, 0.05, {ks_p_sql()} < 0.05,
        CASE WHEN {ks_p_sql()} < 0.05 THEN 'Significant drift detected' ELSE 'No significant drift' END
-FROM cdf_tests""",
+FROM cdf_tests
+UNION ALL
+SELECT feature, 'wasserstein', wasserstein, NULL, FALSE,
+       'Distribution distance: ' || printf('%.4f', wasserstein) FROM cdf_tests
+UNION ALL
+SELECT feature, 'chi2', chi2_statistic, 0.05, chi2_p_value < 0.05,
+       CASE WHEN chi2_p_value < 0.05 THEN 'Significant drift detected' ELSE 'No significant drift' END
+FROM ({_chi2_sql(_BINNED_CELLS_SQL, SHIFT_LONG_SQL)}) AS binned""",
 )
 def _(spark, sf):
     sample = shift_sample(spark, sf)
-    found = [T.detect(sample, m) for m in ("psi", "js", "ks")]
-    return found[0].unionByName(found[1]).unionByName(found[2])
+    found = T.detect(sample, "chi2", bins=9)
+    for method in ("psi", "js", "ks", "wasserstein"):
+        found = found.unionByName(T.detect(sample, method))
+    return found
 
 
 # ------------------------------------------------------------------------------------------ profiles
@@ -242,8 +258,8 @@ _MASS = """(SELECT sum(cnt * least(greatest(({x} - h.bin_lo) / (h.bin_hi - h.bin
 @query(
     "profile_only_psi",
     "feature:s psi:f6 js_divergence:f6",
-    f"""WITH {_profile_sql("lineitem", f"WHERE {IS_REF_SQL}", ["l_quantity", "l_extendedprice"])},
-cur AS ({long_sql(SHIFT_SQL, IS_REF_SQL, ["l_quantity", "l_extendedprice"])}),
+    f"""WITH {_profile_sql("lineitem", f"WHERE {IS_REF_SQL}", FEATURES)},
+cur AS ({long_sql(SHIFT_SQL, IS_REF_SQL, FEATURES)}),
 lim AS (
   SELECT prof.feature, least(prof.min, min(cur.value)) AS lo, greatest(prof.max, max(cur.value)) AS hi,
          count(*) AS cur_n
@@ -264,9 +280,8 @@ SELECT feature, sum({PSI_TERM_SQL}) AS psi, greatest(sum({js_sql()}), 0) AS js_d
 FROM shares GROUP BY feature""",
 )
 def _(spark, sf):
-    names = ["l_quantity", "l_extendedprice"]
-    profile = _stored_profile(spark, sf, names)
-    return profile_only_tests(profile, to_long(current_side(li_shift(spark, sf)), names))
+    profile = _stored_profile(spark, sf, FEATURES)
+    return profile_only_tests(profile, to_long(current_side(li_shift(spark, sf)), FEATURES))
 
 
 @query(
@@ -693,7 +708,7 @@ def _(spark, sf):
 
 # ------------------------------------------------------------------------------------------- history
 
-HISTORY_FEATURES = ["l_quantity", "l_extendedprice"]
+HISTORY_FEATURES = FEATURES
 
 
 def _monthly_psi(spark, sf):
@@ -726,7 +741,7 @@ def _history(spark, sf):
     metrics = H.feature_metrics(psi.withColumnRenamed("feature", "feature_name"))
     total = psi.groupBy("run_id").agg(F.max("psi").alias("value"))
     worst = total.select("run_id", F.lit("max_psi").alias("key"), "value")
-    return runs, metrics.unionByName(worst)
+    return runs, metrics.unionByName(worst, allowMissingColumns=True)
 
 
 _MONTHLY_SQL = f"""{_profile_sql("lineitem", f"WHERE {IS_REF_SQL}", HISTORY_FEATURES)},

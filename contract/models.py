@@ -161,12 +161,12 @@ def _(spark, sf):
 
 @query("rf_predict", "event_type:s hour:t split:s target:f6 prediction:f6")
 def _(spark, sf):
-    return _predictions(spark, sf, "random_forest", trees=20)
+    return _predictions(spark, sf, "random_forest")
 
 
 @query("gbt_predict", "event_type:s hour:t split:s target:f6 prediction:f6")
 def _(spark, sf):
-    return _predictions(spark, sf, "gradient_boosting", rounds=10, depth=4)
+    return _predictions(spark, sf, "gradient_boosting")
 
 
 @query("split_metrics", "split:s n_samples:i rmse:f6 mae:f6 r2:f6 mape:f6")

@@ -60,6 +60,7 @@ class QualityConfig:
     max_gap_hours: float = 2.0
     z_threshold: float = 3.0
     min_score: float = 0.8
+    min_completeness: float = 0.0
     null_issue_percent: float = 5.0
     completeness_weight: float = 0.4
     validity_weight: float = 0.4
@@ -87,7 +88,7 @@ class QualityConfig:
         if "max_null_percentage" in section:
             config = replace(config, null_issue_percent=float(section["max_null_percentage"]))
         if "min_completeness" in section:
-            config = replace(config, min_score=float(section["min_completeness"]))
+            config = replace(config, min_completeness=float(section["min_completeness"]))
         return config
 
 

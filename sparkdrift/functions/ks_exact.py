@@ -1,4 +1,4 @@
-"""Exact two-sample Kolmogorov-Smirnov tail for small samples, one aggregated row per feature."""
+"""Two-sample Kolmogorov-Smirnov p-values, asymptotic or counted, one aggregated row per feature."""
 
 from __future__ import annotations
 
@@ -8,10 +8,6 @@ from pyspark.sql import functions as F
 
 from sparkdrift.functions.numeric import ks_asymptotic_p
 
-# Above this sample size on either side the asymptotic form is used.
-EXACT_LIMIT = 10_000
-
-
 def lattice_tail_function():
     """Build the tail function with everything it needs inside, so that it can be shipped by value
     and executors need nothing but NumPy."""
@@ -59,14 +55,16 @@ def _exact_p_udf():
     return F.pandas_udf(exact, "double")
 
 
-def ks_p_value(stat: str, n: str, m: str, mode: str = "auto") -> Column:
-    """P-value from columns holding the statistic and both sizes.
+def ks_p_value(stat: str, n: str, m: str, mode: str = "asymptotic") -> Column:
+    """P-value from columns holding the statistic and both sizes, by the one method that ``mode`` names.
 
-    ``asymptotic`` stays JVM-side; ``auto`` counts paths exactly for samples up to 10,000.
+    ``asymptotic`` stays JVM-side. ``exact`` counts lattice paths for samples of any size; its work grows
+    with the product of both sizes, so it is for small samples.
     """
-    asymptotic = ks_asymptotic_p(stat, n, m)
     if mode == "asymptotic":
-        return asymptotic
-    small = F.expr(f"greatest({n}, {m}) <= {EXACT_LIMIT} AND {stat} > 0 AND {stat} < 1")
-    exact = _exact_p_udf()(F.when(small, F.col(stat)), F.when(small, F.col(n)), F.when(small, F.col(m)))
-    return F.when(small, exact).otherwise(asymptotic)
+        return ks_asymptotic_p(stat, n, m)
+    if mode != "exact":
+        raise ValueError("mode must be 'asymptotic' or 'exact'")
+    inside = F.expr(f"{stat} > 0 AND {stat} < 1")
+    counted = _exact_p_udf()(F.when(inside, F.col(stat)), F.when(inside, F.col(n)), F.when(inside, F.col(m)))
+    return F.when(inside, counted).otherwise(ks_asymptotic_p(stat, n, m))

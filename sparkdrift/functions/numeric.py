@@ -41,22 +41,6 @@ def bin_edge(index: Column, lo: Column, hi: Column, bins: int) -> Column:
     return lo + index * ((hi - lo) / F.lit(float(bins)))
 
 
-# Cells per power of two; wide enough apart that a feature has at most some hundred thousand cells.
-CELLS_PER_OCTAVE = 16_384
-# Shift that keeps the exponent of every positive double positive.
-OCTAVE_SHIFT = 1_100 * CELLS_PER_OCTAVE
-
-
-def value_cell(value: Column) -> Column:
-    """Order-preserving bucket of a double on a logarithmic scale, mirrored for negative values.
-
-    It splits one feature's sorted values into many tasks and needs no knowledge of the data, so no
-    extra pass. A value and its cell never disagree in order; only balance depends on the scale.
-    """
-    scaled = F.floor(F.log2(F.abs(value)) * F.lit(float(CELLS_PER_OCTAVE))) + OCTAVE_SHIFT
-    return F.when(value == 0, 0).otherwise(F.signum(value) * scaled).cast("int")
-
-
 # Upper tail of the Kolmogorov distribution at z.lam; each branch uses the series that converges fast.
 _KOLMOGOROV = f"""least(1D, greatest(0D, CASE
   WHEN z.lam <= 0.02D THEN 1D
@@ -99,26 +83,37 @@ def erfc(z: Column) -> Column:
 
 
 def chi2_sf(stat: Column, dof: Column) -> Column:
-    """P(X > stat) for integer dof, as the finite sum of the regularised upper gamma function."""
+    """P(X > stat) for integer dof, as the finite sum of the regularised upper gamma function.
+
+    Terms are carried as logarithms and summed relative to the largest one so far, so neither a large
+    statistic nor many degrees of freedom underflow.
+    """
     half = stat / F.lit(2.0)
     even = dof % 2 == 0
     # First term of the sum and the denominators of the following ones: i for even dof, i + 1/2 else.
-    first = F.when(even, F.exp(-half)).otherwise(
-        F.exp(-half) * F.sqrt(half) / F.lit(math.sqrt(math.pi) / 2)
+    first = F.when(even, -half).otherwise(
+        -half + F.log(half) / 2 - F.lit(math.log(math.sqrt(math.pi) / 2))
     )
     last = F.when(even, dof / 2 - 1).otherwise((dof - 1) / 2 - 1).cast("int")
     shift = F.when(even, F.lit(0.0)).otherwise(F.lit(0.5))
     steps = F.when(last >= 1, F.sequence(F.lit(1), F.greatest(last, F.lit(1)))).otherwise(
         F.array().cast("array<int>")
     )
+
+    def add(a: Column, i: Column) -> Column:
+        term = a["term"] + F.log(half / (i + shift))
+        top = F.greatest(a["top"], term)
+        return F.struct(
+            term.alias("term"),
+            top.alias("top"),
+            (a["total"] * F.exp(a["top"] - top) + F.exp(term - top)).alias("total"),
+        )
+
     total = F.aggregate(
         steps,
-        F.struct(first.alias("term"), first.alias("total")),
-        lambda a, i: F.struct(
-            (a["term"] * half / (i + shift)).alias("term"),
-            (a["total"] + a["term"] * half / (i + shift)).alias("total"),
-        ),
-        lambda a: a["total"],
+        F.struct(first.alias("term"), first.alias("top"), F.lit(1.0).alias("total")),
+        add,
+        lambda a: F.exp(a["top"] + F.log(a["total"])),
     )
     odd_tail = erfc(F.sqrt(half)) + F.when(dof > 1, total).otherwise(F.lit(0.0))
     tail = F.when(even, total).otherwise(odd_tail)

@@ -81,7 +81,7 @@ def feature_drift(
     values: DataFrame | None = None,
     config: DriftConfig = DriftConfig(),
     keys: Sequence[str] = (),
-    p_mode: str = "auto",
+    p_mode: str = "asymptotic",
 ) -> DataFrame:
     """Per-feature results: four statistics, both means and deviations, severity, decision, message.
 
@@ -259,7 +259,7 @@ def drift_report(
     early = F.array(*[F.lit(w) for w in warnings]).cast("array<string>")
     nothing = F.col("n_features_total") == 0
     return summarise(results, config).withColumn("sample", one_row(sample)).select(
-        (F.substring(F.uuid(), 1, 8) if report_id is None else F.lit(report_id)).alias("report_id"),
+        F.lit(str(uuid.uuid4()) if report_id is None else report_id).alias("report_id"),
         clock.alias("timestamp"),
         F.lit(reference_name).alias("reference_name"),
         "reference_samples",

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkdrift.functions.numeric import bin_edge, bin_index, clean_double, value_cell
+from sparkdrift.functions.numeric import bin_edge, bin_index, clean_double
 from sparkdrift.operators.frames import exprs, null_safe_join, require_columns
 
 SIZES = ("ref_n", "cur_n")
@@ -34,25 +34,20 @@ def to_long(
     current.
     """
     require_columns(df, [*features, *keys])
-    cleaned = [clean_double(F.col(f)).alias(f) for f in features]
+    cleaned = [clean_double(F.col(quoted(f))).alias(f) for f in features]
+    named = [F.col(quoted(f)) for f in features]
     if is_ref is None:
         # Constant weights are added last, so that every plan over this frame looks the same and
         # Spark can reuse its exchanges.
-        long = df.select(*keys, *cleaned).unpivot(list(keys), list(features), "feature", "value")
+        long = df.select(*keys, *cleaned).unpivot(list(keys), named, "feature", "value")
         return long.where(F.col("value").isNotNull()).selectExpr(
             *keys, "feature", "value", "0L AS n_ref", "1L AS n_cur"
         )
     side = F.when(is_ref, 1).otherwise(0).cast("long").alias("n_ref")
-    long = df.select(*keys, side, *cleaned).unpivot(
-        [*keys, "n_ref"], list(features), "feature", "value"
-    )
+    long = df.select(*keys, side, *cleaned).unpivot([*keys, "n_ref"], named, "feature", "value")
     return long.where(F.col("value").isNotNull()).withColumn("n_cur", F.expr("1L - n_ref"))
 
 
-# Up to this many features their limits are aggregated side by side, without unfolding rows.
-WIDE_LIMIT = 64
-
-
 @dataclass(frozen=True)
 class TwoSample:
     """Two samples of the same features: one frame whose rows the predicate ``is_ref`` splits.
@@ -96,24 +91,35 @@ class TwoSample:
         return value_counts(self.long(), self.keys)
 
     def limits(self) -> DataFrame:
-        """Sizes and ranges, one row per group; rows are not unfolded for a usual number of features."""
-        if len(self.features) > WIDE_LIMIT:
-            return bounds(self.long(), self.keys)
-        side = F.when(self.is_ref, True).otherwise(False)
-        narrow = self.frame.select(
-            *self.keys, side.alias("__r"), *[clean_double(F.col(f)).alias(f) for f in self.features]
-        )
+        """Sizes and ranges, one row per group; rows are not unfolded."""
+        side = F.when(self.is_ref, True).otherwise(False).alias("__r")
+        # Values go by number, so that no feature name can be read as something else.
+        named = {f"__v{i}": f for i, f in enumerate(self.features)}
+        values = [clean_double(F.col(quoted(f))).alias(v) for v, f in named.items()]
+        narrow = self.frame.select(*self.keys, side, *values)
+        ref, cur = F.col("__r"), ~F.col("__r")
         per_feature = [
-            f"""struct('{f}' AS feature, count(`{f}`) FILTER (WHERE __r) AS ref_n,
-              count(`{f}`) FILTER (WHERE NOT __r) AS cur_n, min(`{f}`) AS lo, max(`{f}`) AS hi,
-              min(`{f}`) FILTER (WHERE __r) AS ref_lo, max(`{f}`) FILTER (WHERE __r) AS ref_hi,
-              min(`{f}`) FILTER (WHERE NOT __r) AS cur_lo, max(`{f}`) FILTER (WHERE NOT __r) AS cur_hi)"""
-            for f in self.features
+            F.struct(
+                F.lit(f).alias("feature"),
+                F.count(F.when(ref, F.col(v))).alias("ref_n"),
+                F.count(F.when(cur, F.col(v))).alias("cur_n"),
+                F.min(v).alias("lo"),
+                F.max(v).alias("hi"),
+                F.min(F.when(ref, F.col(v))).alias("ref_lo"),
+                F.max(F.when(ref, F.col(v))).alias("ref_hi"),
+                F.min(F.when(cur, F.col(v))).alias("cur_lo"),
+                F.max(F.when(cur, F.col(v))).alias("cur_hi"),
+            )
+            for v, f in named.items()
         ]
-        wide = narrow.groupBy(*self.keys).agg(F.expr(f"array({', '.join(per_feature)}) AS items"))
+        wide = narrow.groupBy(*self.keys).agg(F.array(*per_feature).alias("items"))
         return wide.select(*self.keys, F.inline("items")).where("ref_n + cur_n > 0")
 
 
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def side_sums() -> list[Column]:
     return exprs("sum(n_ref) AS n_ref", "sum(n_cur) AS n_cur")
 
@@ -205,6 +211,43 @@ def aligned_histogram(
     )
 
 
+# Quantile cuts per feature, and equal parts between two cuts: up to 65,536 cells for a feature's values.
+CUTS = 256
+PARTS = 256
+
+
+def with_cells(frame: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Add ``cell``, an order-preserving bucket that spreads each group's distinct values over many tasks.
+
+    Cut points are approximate quantiles of the group's own values, so offset and spread don't matter;
+    between two cuts the range is divided evenly. A value and its cell never disagree in order: only balance
+    depends on the sketch.
+    """
+    group = group_keys(keys)
+    probs = F.array(*[F.lit(i / CUTS) for i in range(CUTS + 1)])
+    sketch = frame.groupBy(*group).agg(F.percentile_approx("value", probs, 10_000).alias("cuts"))
+    halvings = F.sequence(F.lit(1), F.lit(CUTS.bit_length()))
+    value, cuts = F.col("value"), F.col("cuts")
+
+    def halve(at: Column, _: Column) -> Column:
+        middle = ((at["low"] + at["high"]) / 2).cast("int")
+        above = F.get(cuts, middle) <= value
+        return F.struct(
+            F.when(above, middle).otherwise(at["low"]).alias("low"),
+            F.when(above, at["high"]).otherwise(middle).alias("high"),
+        )
+
+    # The last cut that is not above the value, by halving; the first one for values below all of them.
+    ends = F.struct(F.lit(0).alias("low"), F.lit(CUTS + 1).alias("high"))
+    placed = attach_groups(frame, sketch, keys).withColumn(
+        "__cut", F.aggregate(halvings, ends, halve, lambda at: at["low"])
+    )
+    low, high = F.get(cuts, F.col("__cut")), F.get(cuts, F.col("__cut") + 1)
+    part = F.floor(F.try_divide(value - low, high - low) * PARTS)
+    inside = F.least(F.greatest(F.coalesce(part, F.lit(0)), F.lit(0)), F.lit(PARTS - 1))
+    return placed.withColumn("cell", (F.col("__cut") * PARTS + inside).cast("int")).drop("cuts", "__cut")
+
+
 def running_counts(counts: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Empirical CDF counts per distinct value, the next larger value, and the group's sizes and limits.
 
@@ -213,9 +256,7 @@ def running_counts(counts: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """
     group = group_keys(keys)
     names = ", ".join(f"`{k}`" for k in group)
-    celled = counts.select(
-        *group, value_cell(F.col("value")).alias("cell"), "value", "n_ref", "n_cur"
-    )
+    celled = with_cells(counts.select(*group, "value", "n_ref", "n_cur"), keys)
     earlier = f"(PARTITION BY {names} ORDER BY cell ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
     whole = f"(PARTITION BY {names})"
     totals = [("ref_n", "sum"), ("cur_n", "sum")]
@@ -270,9 +311,8 @@ def rank_picks(
         f"array_distinct(concat(transform({wanted}, p -> floor(p * (size - 1))), "
         f"transform({wanted}, p -> ceil(p * (size - 1)))))"
     )
-    celled = long.where(F.col(f"n_{side}") > 0).select(
-        *group, value_cell(F.col("value")).alias("cell"), "value", F.col(f"n_{side}").alias("n")
-    )
+    weighted = long.where(F.col(f"n_{side}") > 0).select(*group, "value", F.col(f"n_{side}").alias("n"))
+    celled = with_cells(weighted, keys)
     earlier = f"(PARTITION BY {names} ORDER BY cell ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
     holding = (
         celled.groupBy(*group, "cell")

@@ -87,7 +87,7 @@ def histogram_tests(
 
 
 def cdf_tests(
-    counts: DataFrame, keys: Sequence[str] = (), p_mode: str = "auto", strict: bool = False
+    counts: DataFrame, keys: Sequence[str] = (), p_mode: str = "asymptotic", strict: bool = False
 ) -> DataFrame:
     """KS statistic and p-value, and the Wasserstein-1 distance, from one shared CDF.
 
@@ -114,12 +114,17 @@ def cdf_tests(
 
 
 def chi_square(
-    counts: DataFrame, bins: int | None = None, keys: Sequence[str] = (), default_bins: int = 10
+    counts: DataFrame,
+    bins: int | None = None,
+    keys: Sequence[str] = (),
+    default_bins: int = 10,
+    category_limit: int = CATEGORY_LIMIT,
 ) -> DataFrame:
     """Chi-square test of homogeneity, one cell per category or per equal-width bin.
 
-    Categories are used when ``bins`` is not given and both sides have at most 20 distinct values.
-    With one degree of freedom the continuity correction applies. ``counts`` must be folded.
+    Categories are used when ``bins`` is not given and both sides have at most ``category_limit`` distinct
+    values; ``categorical`` tells which form ran. A limit of 0 always bins. With one degree of freedom the
+    continuity correction applies. ``counts`` must be folded.
     """
     group = group_keys(keys)
     distinct = (
@@ -128,7 +133,7 @@ def chi_square(
     )
     limits = check_sides(bounds(counts, keys, distinct))
     categorical = F.lit(bins is None) & (
-        F.greatest("ref_distinct", "cur_distinct") <= CATEGORY_LIMIT
+        F.greatest("ref_distinct", "cur_distinct") <= category_limit
     )
     bin_of = bin_index(F.col("value"), F.col("lo"), F.col("hi"), bins or default_bins)
     cells = (
@@ -139,7 +144,7 @@ def chi_square(
         )
         .withColumn("cell", F.when(F.col("categorical"), F.col("value")).otherwise(bin_of))
         .groupBy(*group, "cell")
-        .agg(*side_sums(), *[F.max(c).alias(c) for c in SIZES])
+        .agg(*side_sums(), *[F.max(c).alias(c) for c in (*SIZES, "categorical")])
         .withColumn("n_cells", F.count(F.lit(1)).over(W.partitionBy(*group)))
     )
     seen = F.col("n_ref") + F.col("n_cur")
@@ -154,7 +159,7 @@ def chi_square(
         return corrected * corrected / expected
 
     summed = (
-        cells.groupBy(*group, "n_cells")
+        cells.groupBy(*group, "n_cells", "categorical")
         .agg(
             F.sum(
                 term(F.col("n_ref"), F.col("ref_n")) + term(F.col("n_cur"), F.col("cur_n"))
@@ -168,6 +173,7 @@ def chi_square(
         F.when(enough, F.col("chi2")).otherwise(0.0).alias("chi2_statistic"),
         F.when(enough, chi2_sf(F.col("chi2"), dof)).otherwise(1.0).alias("chi2_p_value"),
         F.col("n_cells"),
+        F.col("categorical"),
     )
 
 
@@ -184,7 +190,7 @@ def _histogram(sample: TwoSample, bins: int) -> DataFrame:
     return histogram_tests(sample.long(), check_sides(sample.limits()), bins, sample.keys)
 
 
-def ks_test(sample: TwoSample, p_mode: str = "auto") -> DataFrame:
+def ks_test(sample: TwoSample, p_mode: str = "asymptotic") -> DataFrame:
     tests = cdf_tests(sample.counts(), sample.keys, p_mode, strict=True)
     return tests.select(*group_keys(sample.keys), "ks_statistic", "ks_p_value")
 
@@ -194,8 +200,10 @@ def wasserstein(sample: TwoSample) -> DataFrame:
     return tests.select(*group_keys(sample.keys), "wasserstein")
 
 
-def chi_square_test(sample: TwoSample, bins: int | None = None) -> DataFrame:
-    return chi_square(sample.counts(), bins, sample.keys)
+def chi_square_test(
+    sample: TwoSample, bins: int | None = None, category_limit: int = CATEGORY_LIMIT
+) -> DataFrame:
+    return chi_square(sample.counts(), bins, sample.keys, category_limit=category_limit)
 
 
 def _interpretation(method: str) -> Column:

@@ -23,13 +23,28 @@ FEATURE_METRICS = (
 
 
 def feature_metrics(results: DataFrame, keys: Sequence[str] = ("run_id",)) -> DataFrame:
-    """Six metrics per feature as ``(keys..., key, value)``."""
+    """Six metrics per feature as ``(keys..., key, feature_name, metric, display_name, value)``.
+
+    ``key`` holds the whole feature name, so no two features share one; ``display_name`` is the cut and
+    cleaned spelling for showing.
+    """
     names = [m for m in FEATURE_METRICS if m in results.columns]
     long = results.select(*keys, "feature_name", *names).unpivot(
         [*keys, "feature_name"], names, "metric", "value"
     )
-    key = F.concat(sanitize_metric_name(F.col("feature_name")), F.lit("_"), F.col("metric"))
-    return long.select(*keys, key.alias("key"), "value")
+    shown = F.concat(sanitize_metric_name(F.col("feature_name")), F.lit("_"), F.col("metric"))
+    return long.select(
+        *keys,
+        metric_key(F.col("feature_name"), F.col("metric")).alias("key"),
+        "feature_name",
+        "metric",
+        shown.alias("display_name"),
+        "value",
+    )
+
+
+def metric_key(feature: Column, metric: Column) -> Column:
+    return F.concat(feature, F.lit("_"), metric)
 
 
 def overall_metrics(report: DataFrame, keys: Sequence[str] = ("run_id",)) -> DataFrame:
@@ -42,8 +57,16 @@ def overall_metrics(report: DataFrame, keys: Sequence[str] = ("run_id",)) -> Dat
             F.col("n_features_drifted").cast("double"), F.col("n_features_total").cast("double")
         ).alias("drift_ratio"),
     )
-    return wide.unpivot(
-        list(keys), ["overall_drift_score", "n_features_drifted", "drift_ratio"], "key", "value"
+    long = wide.unpivot(
+        list(keys), ["overall_drift_score", "n_features_drifted", "drift_ratio"], "metric", "value"
+    )
+    return long.select(
+        *keys,
+        F.col("metric").alias("key"),
+        F.lit(None).cast("string").alias("feature_name"),
+        "metric",
+        F.col("metric").alias("display_name"),
+        "value",
     )
 
 
@@ -117,7 +140,7 @@ def drift_timeline(
     config: DriftConfig = DriftConfig(),
 ) -> DataFrame:
     """PSI of one feature over the newest runs, oldest first, with its threshold band."""
-    key = F.concat(sanitize_metric_name(F.lit(feature)), F.lit("_psi"))
+    key = metric_key(F.lit(feature), F.lit("psi"))
     psi = run_metrics.where(F.col("key") == key).select("run_id", F.col("value").alias("psi"))
     newest = recent(runs, n_runs, "timestamp", ["run_id"])
     return (

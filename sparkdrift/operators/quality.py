@@ -327,7 +327,12 @@ def validate(
     empty = F.col("total_records") == 0
     return joined.select(
         *keys,
-        ((F.col("quality_score") >= config.min_score) & F.lit(not typed) & ~empty).alias("is_valid"),
+        (
+            (F.col("quality_score") >= config.min_score)
+            & (F.col("completeness") >= config.min_completeness)
+            & F.lit(not typed)
+            & ~empty
+        ).alias("is_valid"),
         "quality_score",
         "total_records",
         "valid_records",

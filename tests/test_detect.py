@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from sparkdrift.config import DriftConfig, deep_merge
 from sparkdrift.operators import detect as D
 from sparkdrift.operators.distribution import to_long
+from sparkdrift.operators import history
 from sparkdrift.operators.history import feature_metrics
 from sparkdrift.operators.reference import create_profile, profile_only_tests, reference_values
 from sparkdrift.plans import drift_check as C
@@ -220,6 +221,16 @@ def test_history_tables(spark, store, tmp_path):
     assert {"temperature_2m_psi", "overall_drift_score", "humidity_ks_p_value"} <= keys
 
 
+def test_features_with_long_common_names_stay_apart(spark):
+    names = ["x" * 60 + end for end in ("a", "b", ".b", "-b")]
+    results = spark.createDataFrame([("r", n, float(i)) for i, n in enumerate(names)], "run_id string, feature_name string, psi double")
+    long = history.feature_metrics(results)
+    assert {r["key"]: r["value"] for r in long.collect()} == {f"{n}_psi": float(i) for i, n in enumerate(names)}
+    assert {r["display_name"] for r in long.collect()} == {"x" * 50 + "_psi"}
+    runs = spark.createDataFrame([("r", 1)], "run_id string, timestamp int")
+    assert history.drift_timeline(runs, long, names[1]).first()["psi"] == 1.0
+
+
 def test_store(spark, store, tmp_path):
     names = [r["reference_name"] for r in store.list().collect()]
     assert names == ["bins", "raw"] and store.exists("raw") and not store.exists("x")

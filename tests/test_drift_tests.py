@@ -12,7 +12,13 @@ from pyspark.sql import functions as F
 from sparkdrift.functions.ks_exact import lattice_tail_function
 from sparkdrift.functions.numeric import chi2_sf, ks_asymptotic_p
 from sparkdrift.operators import drift as T
-from sparkdrift.operators.distribution import TwoSample, exact_quantiles, running_counts, to_long
+from sparkdrift.operators.distribution import (
+    TwoSample,
+    exact_quantiles,
+    running_counts,
+    to_long,
+    with_cells,
+)
 
 
 def sample_of(spark, reference, current, name="x"):
@@ -217,12 +223,58 @@ def test_asymptotic_ks_tail_is_close_to_exact(spark):
         assert r["p"] == pytest.approx(tail(r["d"], 2000, 2000), abs=0.01)
 
 
-def test_ks_uses_exact_counting_for_small_samples(spark, pairs):
+def test_ks_method_is_the_one_asked_for(spark, pairs):
     ref, cur = pairs["rounded"]
     ref, cur = ref[:40], cur[:30]
-    row = T.ks_test(sample_of(spark, ref, cur)).first()
+    row = T.ks_test(sample_of(spark, ref, cur), p_mode="exact").first()
     want = lattice_tail_function()(row["ks_statistic"], 40, 30)
     assert row["ks_p_value"] == pytest.approx(want, abs=1e-12)
+    # The default doesn't change with the number of rows.
+    small = T.ks_test(sample_of(spark, ref, cur))
+    again = small.select(ks_asymptotic_p("ks_statistic", "40L", "30L").alias("p")).first()["p"]
+    assert small.first()["ks_p_value"] == again
+    with pytest.raises(ValueError, match="mode"):
+        T.ks_test(sample_of(spark, ref, cur), p_mode="auto")
+
+
+def test_kolmogorov_tail_has_its_published_values(spark):
+    # Critical values of the limiting distribution: 1.2238 at 10 %, 1.3581 at 5 %, 1.6276 at 1 %.
+    n = 10**12
+    rows = [(c / (n / 2) ** 0.5, n, p) for c, p in ((1.2238, 0.10), (1.3581, 0.05), (1.6276, 0.01), (0.8276, 0.5))]
+    df = spark.createDataFrame(rows, "d double, n bigint, p double")
+    for r in df.select("p", ks_asymptotic_p("d", "n", "n").alias("got")).collect():
+        assert r["got"] == pytest.approx(r["p"], rel=2e-3)
+
+
+def test_chi_square_tail_does_not_underflow(spark):
+    # Published points: 0.05 at 3.841 (1), 18.307 (10), 124.342 (100); the middle of many degrees is near 1/2.
+    rows = [(3.841, 1, 0.05), (18.307, 10, 0.05), (124.342, 100, 0.05), (2000.0, 2000, 0.5), (1999.0, 1999, 0.5)]
+    df = spark.createDataFrame(rows, "x double, dof int, p double")
+    for r in df.select("p", chi2_sf(F.col("x"), F.col("dof")).alias("got")).collect():
+        assert r["got"] == pytest.approx(r["p"], abs=6e-3 if r["p"] == 0.5 else 1e-4)
+
+
+def test_chi_square_tells_its_form(spark):
+    values = [float(i % 25) for i in range(500)]
+    sample = sample_of(spark, values, values)
+    assert T.chi_square_test(sample).first()["categorical"] is False
+    assert T.chi_square_test(sample, category_limit=30).first()["categorical"] is True
+
+
+def test_cells_follow_the_data(spark):
+    for start in (1.7e9, 900.0, -5.0):
+        df = spark.range(20_000).select((F.col("id") + start).alias("v"))
+        cells = with_cells(to_long(df, ["v"])).groupBy("cell").count().toPandas()
+        assert len(cells) > 1_000 and cells["count"].max() < 400
+
+
+def test_names_with_quotes_and_any_number_of_features(spark):
+    names = ["it's", "a`b", "c d", *[f"f{i}" for i in range(70)]]
+    rows = [tuple(float(i * j % 7) for j in range(1, len(names) + 1)) for i in range(1, 60)]
+    df = spark.createDataFrame(rows, names)
+    first = F.col("`f0`") < 3
+    found = T.psi(TwoSample.split(df, names, first)).collect()
+    assert {r["feature"] for r in found} == set(names)
 
 
 def test_detect_methods(spark, pairs):
