@@ -706,6 +706,29 @@ def _(spark, sf):
     return found.withColumn("window_end", F.col("window_end").cast("string"))
 
 
+@query(
+    "drift_windows_cdf",
+    "feature:s window_end:s ks_statistic:f6 ks_p_value:f6 wasserstein:f5",
+    f"""WITH e AS (SELECT date_trunc('day', ts) AS d, ts < TIMESTAMP '{EVENT_CUT}' AS is_ref, value FROM events),
+ends AS (SELECT DISTINCT d + to_days(CAST(k AS INTEGER)) AS window_end
+         FROM e, (SELECT unnest(generate_series(0, 6)) AS k)
+         WHERE NOT is_ref AND d + to_days(CAST(k AS INTEGER)) <= (SELECT max(d) FROM e WHERE NOT is_ref)),
+u AS (SELECT window_end, value, count(*) FILTER (WHERE is_ref) AS r, count(*) FILTER (WHERE NOT is_ref) AS c
+      FROM ends JOIN e ON is_ref OR d BETWEEN window_end - INTERVAL 6 DAYS AND window_end GROUP BY ALL),
+k AS (SELECT window_end, sum(r) OVER p AS ref_n, sum(c) OVER p AS cur_n,
+        abs(sum(r) OVER w / CAST(sum(r) OVER p AS DOUBLE) - sum(c) OVER w / CAST(sum(c) OVER p AS DOUBLE)) AS gap,
+        coalesce(lead(value) OVER w - value, 0) AS step
+      FROM u WINDOW w AS (PARTITION BY window_end ORDER BY value), p AS (PARTITION BY window_end)),
+t AS (SELECT window_end, any_value(ref_n) AS ref_n, any_value(cur_n) AS cur_n, max(gap) AS ks_statistic,
+        sum(gap * step) AS wasserstein FROM k GROUP BY window_end)
+SELECT 'value' AS feature, strftime(window_end, '%Y-%m-%d') AS window_end, ks_statistic,
+  {ks_p_sql()} AS ks_p_value, wasserstein FROM t""",
+)
+def _(spark, sf):
+    found = D.sliding_cdf_tests(events(spark, sf), ["value"], "ts", F.col("ts") < at(EVENT_CUT))
+    return found.withColumn("window_end", F.col("window_end").cast("string"))
+
+
 # ------------------------------------------------------------------------------------------- history
 
 HISTORY_FEATURES = FEATURES

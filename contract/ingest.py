@@ -119,6 +119,18 @@ def _(spark, sf):
     )
 
 
+@query(
+    "prepare_period",
+    "event_id:i ts:t value:f6",
+    """SELECT event_id, ts, value FROM events WHERE event_type = 'click'
+  AND ts >= (SELECT max(ts) - INTERVAL 7 DAYS FROM events WHERE event_type = 'click')""",
+)
+def _(spark, sf):
+    return S.in_period(
+        events(spark, sf), 7, time_column="ts", location="click", location_column="event_type"
+    )
+
+
 @query(
     "latest_ts", "latest_timestamp:t", "SELECT max(ts) AS latest_timestamp FROM events"
 )

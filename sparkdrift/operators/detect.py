@@ -434,6 +434,37 @@ def sliding_histogram_tests(
     )
 
 
+def sliding_cdf_tests(
+    df: DataFrame,
+    features: Sequence[str],
+    time_column: str,
+    is_ref: Column,
+    window_days: int = 7,
+    p_mode: str = "asymptotic",
+) -> DataFrame:
+    """KS and Wasserstein of every daily-stepped trailing window against one reference sample.
+
+    Rows are folded to (feature, day, value) once and windows add up daily partials. The reference's
+    distinct values are repeated per window, so its folded size times the number of days is what is
+    shuffled.
+    """
+    day = F.date_trunc("day", F.col(time_column)).cast("date")
+    rows = df.withColumn("__day", day).withColumn("__ref", is_ref)
+    daily = value_counts(to_long(rows, features, F.col("__ref"), ["__day"]), ["__day"])
+    later = daily.where(F.col("n_cur") > 0)
+    last_day = later.agg(F.max("__day")).scalar()
+    reach = F.sequence(F.col("__day"), F.date_add("__day", window_days - 1), F.expr("INTERVAL 1 DAY"))
+    none = F.lit(0).cast("long")
+    current = later.select(
+        F.explode(reach).alias("window_end"), "feature", "value", none.alias("n_ref"), "n_cur"
+    ).where(F.col("window_end") <= last_day)
+    reference = daily.where(F.col("n_ref") > 0).groupBy("feature", "value").agg(F.sum("n_ref").alias("n_ref"))
+    ends = current.select("feature", "window_end").distinct()
+    repeated = reference.join(ends, "feature").select("window_end", "feature", "value", "n_ref", none.alias("n_cur"))
+    counts = value_counts(current.unionByName(repeated), ["window_end"])
+    return cdf_tests(counts, ["window_end"], p_mode)
+
+
 # Bands of the integration check as (upper limit, exclusive; label).
 BANDS = {
     "psi": ((0.1, "NO SIGNIFICANT DRIFT"), (0.2, "MODERATE DRIFT"), (None, "SIGNIFICANT DRIFT")),

@@ -25,6 +25,11 @@ from sparkdrift.operators.windows import Series
 from sparkdrift.plans.models import fit_model, save_version
 from sparkdrift.sources.files import exists
 from sparkdrift.sources.runs import append_table
+from sparkdrift.sources.table import in_period
+
+
+# Days that are trained on and scored unless a period is given.
+TRAINING_DAYS, SCORING_DAYS = 30, 7
 
 
 def prepare_data(
@@ -34,11 +39,18 @@ def prepare_data(
     training: TrainingConfig = TrainingConfig(),
     tz: str | None = DEFAULT_ZONE,
     features: Sequence[str] | None = None,
+    **period: Any,
 ) -> DataFrame:
-    """Observations -> features, target, split label, complete rows; one lazy plan.
+    """Observations -> features, target, split label, complete rows.
 
-    The cut points come from all rows that have a target, before incomplete rows are removed.
+    The cut points come from all rows that have a target, before incomplete rows are removed. ``start``,
+    ``end``, ``days`` or ``location`` narrow the observations first, as ``in_period`` does; with any of
+    them given, the period reaches 30 days back unless told otherwise.
     """
+    if period:
+        observations = in_period(
+            observations, **{"days": TRAINING_DAYS, "time_column": series.time} | period
+        )
     frame = build_training_frame(observations, series, config, tz)
     labelled = temporal_split(frame, series.time, training.test_days, training.validation_days)
     keep = list(dict.fromkeys([*series.keys, series.time, "split"]))
@@ -171,8 +183,16 @@ def score_period(
     config: FeatureConfig = FeatureConfig(),
     tz: str | None = DEFAULT_ZONE,
     metrics: Sequence[str] = DEFAULT_METRICS,
+    **period: Any,
 ) -> tuple[DataFrame, DataFrame]:
-    """Predictions and metrics of a saved model on new observations."""
+    """Predictions and metrics of a saved model on new observations.
+
+    The period is chosen as for ``prepare_data``, with 7 days by default.
+    """
+    if period:
+        observations = in_period(
+            observations, **{"days": SCORING_DAYS, "time_column": series.time} | period
+        )
     features = model.stages[0].getInputCols()
     frame = build_training_frame(observations, series, config, tz)
     keep = list(dict.fromkeys([*series.keys, series.time]))

@@ -143,6 +143,23 @@ def scan_timerange(
     return found.orderBy(time_column) if ordered else found
 
 
+def in_period(
+    df: DataFrame,
+    days: int,
+    start: str | datetime | None = None,
+    end: str | datetime | None = None,
+    time_column: str = "timestamp",
+    location: str | None = None,
+    location_column: str = "location_name",
+) -> DataFrame:
+    """Rows of a period, both ends inclusive: by default the last ``days`` days up to the newest row."""
+    chosen = df if location is None else df.where(F.col(location_column) == location)
+    kind = df.schema[time_column].dataType
+    last = chosen.agg(F.max(time_column)).scalar() if end is None else F.lit(end).cast(kind)
+    first = last - F.expr(f"INTERVAL {int(days)} DAYS") if start is None else F.lit(start).cast(kind)
+    return scan_timerange(chosen, first, last, time_column)
+
+
 def latest_timestamp(df: DataFrame, time_column: str = "timestamp") -> DataFrame:
     return df.agg(F.max(time_column).alias("latest_timestamp"))
 
