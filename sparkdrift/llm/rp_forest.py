@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from sparkdrift.llm.components import components
 from sparkdrift.llm.frames import blocked, col, map_groups, stored, to_batch
 from sparkdrift.llm.minhash import smallest_labels
+from sparkdrift.llm.unigram import places
 from sparkdrift.llm.vectors import matrix, usable_vectors, widest
 
 
@@ -28,15 +29,16 @@ class Setting:
 
     ``spill`` is the share of a projection's spread, on each side of a split, that goes both ways. At a
     cosine of 0.9 in 64 dimensions a split parts a pair with a probability of about 0.024, so six trees of
-    ten levels miss one with a probability of about 1e-4; closer pairs are safer.
+    ten levels miss one with a probability of about 1e-4; closer pairs are safer. Leaves with their spill hold
+    several times ``leaf_rows``; those over ``block_rows`` are divided.
     """
 
     cosine: float = 0.9
     trees: int = 6
-    leaf_rows: int = 1024
+    leaf_rows: int = 256
     spill: float = 0.25
     sample: int = 20_000
-    block_rows: int = 512
+    block_rows: int = 2048
     seed: int = 3
 
 
@@ -88,12 +90,12 @@ def grow(points: np.ndarray, depth: int, width: int, setting: Setting) -> Forest
 def leaves(points: np.ndarray, forest: Forest) -> tuple[np.ndarray, np.ndarray]:
     """(row, leaf) for every leaf of every tree that a unit vector falls into, sorted by row, then leaf."""
     rows, ids = [], []
-    trees, depth, _ = forest.directions.shape
+    trees, depth, width = forest.directions.shape
+    projected = points @ forest.directions.reshape(-1, width).T
     for tree in range(trees):
         row, node = np.arange(len(points)), np.zeros(len(points), np.int64)
         for level in range(depth):
-            # Row by row, unlike a matrix product, so that a vector falls into the same leaves in any batch.
-            shown = np.einsum("ij,j->i", points, forest.directions[tree, level])[row]
+            shown = projected[row, tree * depth + level]
             cuts = forest.splits[tree][level]
             at = cuts[np.minimum(node, len(cuts) - 1)]
             margin = forest.margins[tree, level]
@@ -132,6 +134,7 @@ def linked_classes(classes: DataFrame, dtype: str, setting: Setting) -> DataFram
     def compare(table, starts):
         ends = np.append(starts[1:], table.num_rows)
         points = unit(matrix(table.column("vec"), dtype, width))
+        single = points.astype(np.float32)
         row_of, every = leaves(points, forest)
         begin = np.searchsorted(row_of, np.arange(table.num_rows + 1))
         member, copies = table.column("member").to_numpy(), table.column("copies").to_numpy()
@@ -144,20 +147,26 @@ def linked_classes(classes: DataFrame, dtype: str, setting: Setting) -> DataFram
             right = left if inside else mine[own[s:e] != block_a[s]]
             if len(left) == 0 or len(right) == 0:
                 continue
-            linked = points[left] @ points[right].T >= setting.cosine
-            if inside:
-                linked &= member[left][:, None] < member[right][None, :]
-            linked &= member[left][:, None] != member[right][None, :]
-            if not linked.any():
-                continue
-            linked &= ~earlier(every, begin, left, right, leaf[s])
-            i, j = np.nonzero(linked)
+            found = []
+            for at in range(0, len(left), 512):
+                part = left[at : at + 512]
+                linked = at_least(points, single, part, right, setting.cosine)
+                linked &= (member[part][:, None] < member[right]) if inside else (member[part][:, None] != member[right])
+                i, j = np.nonzero(linked)
+                if len(i):
+                    # Only rows with links are asked whether they met before.
+                    rows, i_at = np.unique(i, return_inverse=True)
+                    columns, j_at = np.unique(j, return_inverse=True)
+                    met = earlier(every, begin, part[rows], right[columns], leaf[s])
+                    new = ~met[i_at, j_at]
+                    found.append((part[i[new]], right[j[new]]))
+            i, j = (np.concatenate(x) for x in zip(*found)) if found else ((), ())
             if len(i) == 0:
                 continue
             links = np.zeros(e - s, np.int64)
-            np.add.at(links, left[i] - s, copies[right[j]])
-            np.add.at(links, right[j] - s, copies[left[i]])
-            label = smallest_labels(e - s, left[i] - s, right[j] - s)
+            np.add.at(links, i - s, copies[j])
+            np.add.at(links, j - s, copies[i])
+            label = smallest_labels(e - s, i - s, j - s)
             shown = np.flatnonzero(links)
             yield to_batch(LINKED, member[s + shown], links[shown], member[s + label[shown]])
 
@@ -171,22 +180,38 @@ def linked_classes(classes: DataFrame, dtype: str, setting: Setting) -> DataFram
     return map_groups(full, ["leaf", "block_a", "block_b"], compare, "member long, links long, hub long")
 
 
+def at_least(
+    points: np.ndarray, single: np.ndarray, left: np.ndarray, right: np.ndarray, cosine: float
+) -> np.ndarray:
+    """Which rows of two blocks of unit vectors have at least this cosine in double precision.
+
+    Single precision decides all pairs but those within its error bound, which are computed again.
+    """
+    rough = single[left] @ single[right].T
+    bound = 1e-6 + points.shape[1] * 1.2e-7
+    out = rough >= cosine + bound
+    i, j = np.nonzero((rough >= cosine - bound) & ~out)
+    out[i, j] = np.einsum("ij,ij->i", points[left[i]], points[right[j]]) >= cosine
+    return out
+
+
 def earlier(every: np.ndarray, begin: np.ndarray, left: np.ndarray, right: np.ndarray, leaf: int) -> np.ndarray:
     """Whether rows of two blocks share a leaf with a smaller number than ``leaf``."""
-    out = np.zeros((len(left), len(right)), np.float32)
-    used = [np.concatenate([every[begin[r] : begin[r + 1]] for r in side]) for side in (left, right)]
-    names = np.intersect1d(*[u[u < leaf] for u in used])
-    if len(names) == 0:
-        return out > 0
-    tables = []
+    held = []
     for side in (left, right):
-        held = np.zeros((len(side), len(names)), np.float32)
-        for k, r in enumerate(side):
-            own = every[begin[r] : begin[r + 1]]
-            at = np.searchsorted(names, own)
-            good = (at < len(names)) & (names[np.minimum(at, len(names) - 1)] == own)
-            held[k, at[good]] = 1
-        tables.append(held)
+        counts = begin[side + 1] - begin[side]
+        own = every[places(begin[side], counts)]
+        row = np.repeat(np.arange(len(side)), counts)
+        held.append((row[own < leaf], own[own < leaf]))
+    names = np.intersect1d(held[0][1], held[1][1])
+    tables = []
+    for side, (row, own) in zip((left, right), held):
+        table = np.zeros((len(side), len(names)), np.float32)
+        if len(names):
+            at = np.minimum(np.searchsorted(names, own), len(names) - 1)
+            good = names[at] == own
+            table[row[good], at[good]] = 1
+        tables.append(table)
     return tables[0] @ tables[1].T > 0
 
 
