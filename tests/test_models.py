@@ -171,3 +171,15 @@ def test_folds_expand(spark):
     rows = time_folds(df, folds=4).groupBy("segment").agg(F.max("timestamp").alias("e"), F.min("timestamp").alias("s")).orderBy("segment").collect()
     assert [r["segment"] for r in rows] == [0, 1, 2, 3, 4]
     assert all(a["e"] < b["s"] for a, b in zip(rows, rows[1:]))
+
+
+@pytest.mark.parametrize("kind", ["random_forest", "gradient_boosting"])
+def test_full_size_trees_fit_a_step_and_a_slope(spark, kind):
+    rng = np.random.RandomState(5)
+    frame = pd.DataFrame({"a": rng.uniform(0, 10, 400), "b": rng.uniform(0, 1, 400)})
+    frame["y"] = 3.0 * (frame["a"] > 5) + frame["a"] * 0.5 + rng.normal(0, 0.05, 400)
+    df = spark.createDataFrame(frame)
+    model = P.fit_model(kind, df, ["a", "b"], "y")
+    assert model.stages[-1].getNumTrees == 100
+    error = model.transform(df).select(F.sqrt(F.avg((F.col("prediction") - F.col("y")) ** 2)).alias("e")).first()["e"]
+    assert error < 0.1 * frame["y"].std()
