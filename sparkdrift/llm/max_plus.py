@@ -29,6 +29,8 @@ from sparkdrift.llm.unigram import (
 )
 
 LOW = -1e300
+#: Characters encoded at a time. Encoding and decoding run side by side, so there are two workers a task.
+ENCODED_CHARACTERS = 1_000_000
 
 
 def combined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -122,7 +124,7 @@ def _encode_whole(docs: DataFrame, model: str, text: str, name: str, offset: flo
     def run(batches):
         v = vocabulary(model, offset)
         for batch in batches:
-            for start, texts in text_chunks(batch.column(place)):
+            for start, texts in text_chunks(batch.column(place), ENCODED_CHARACTERS):
                 distinct, rows = numbered([normal(x) for x in texts])
                 held = Segments(distinct, v, with_ids=True)
                 every = np.concatenate(rows) if rows else np.empty(0, np.int64)
@@ -211,7 +213,7 @@ def _encode_giants(giants: DataFrame, model: str, chunk: int, offset: float) ->
 
 
 def encode(
-    docs: DataFrame, model: str, key: str = "doc_id", text: str = "text", chunk: int = 16_384, offset: float = 1000.0
+    docs: DataFrame, model: str, key: str = "doc_id", text: str = "text", chunk: int = 65_536, offset: float = 1000.0
 ) -> DataFrame:
     """``docs`` with ``ids``, the encoding of each whole text.
 
@@ -240,8 +242,8 @@ def decode(encoded: DataFrame, model: str, ids: str = "ids", name: str = "decode
     def run(batches):
         v = vocabulary(model)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, 128):
+                part = batch.slice(at, 128)
                 spelt = [plain(v.decode(x.values.to_numpy())) if x.is_valid else None for x in part.column(place)]
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns, pa.array(spelt, pa.string())], names=[*part.schema.names, name]

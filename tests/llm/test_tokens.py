@@ -153,3 +153,10 @@ def test_every_capacity_is_kept(choice):
     assert loose.max() <= bins.max() and loose.max() + 1 >= lengths.sum() / 100
     with pytest.raises(ValueError):
         packing.fill(np.array([101]), setting)
+
+
+def test_every_row_comes_back_once(spark):
+    docs = spark.range(1500).select(F.col("id").alias("doc_id"), F.concat(F.lit("row "), "id").alias("text")).coalesce(1)
+    spelt = max_plus.decode(max_plus.encode(docs, MODEL), MODEL).collect()
+    assert sorted((r.doc_id, r.decoded) for r in spelt) == [(i, f"row {i}") for i in range(1500)]
+    assert token_counts.count_tokens(docs, MODEL).count() == packing.pack_documents(docs, WORDS).count() == 1500
