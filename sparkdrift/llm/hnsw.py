@@ -1,8 +1,11 @@
 """Approximate nearest neighbours by inner product: one navigable small-world graph per shard.
 
-Vectors are dealt to shards by a hash. A task builds its shard's graph by insertion, a batch of vectors at a
-time, and stores it as rows of flat neighbour arrays. Queries visit every shard; a task loads one shard's
-rows and streams its queries past them. The shards' results are merged per query.
+Equal vectors are indexed once, under their smallest key, and asked once; their keys are joined back at the
+end. Vectors are dealt to shards by a hash, and the number of shards follows the number of vectors, so that a
+shard keeps the size at which a beam of this width finds nearly all. A task builds its shard's graph by
+insertion, a batch of vectors at a time, and stores it as rows of flat neighbour arrays. Queries visit every
+shard; a task loads one shard's rows and streams its queries past them. The shards' results are merged per
+query.
 """
 
 from __future__ import annotations
@@ -23,15 +26,17 @@ class Setting:
     """Graph and search sizes.
 
     ``links`` neighbours per vector, twice as many on the ground layer. There are at least ``least_shards``
-    shards and no shard holds more than about ``shard_rows`` vectors, which bounds a task's memory.
+    shards and no shard holds more than about ``shard_rows`` vectors. Recall falls as a shard grows under the
+    same beam: of random unit vectors in 64 dimensions, a beam of 128 finds 0.99 of a shard's best two among
+    5,000, 0.98 among 8,000 and 0.90 among 25,000; a beam of 64 finds 0.95, 0.93 and 0.77.
     """
 
     k: int = 20
     links: int = 14
     build_width: int = 48
-    search_width: int = 64
+    search_width: int = 128
     least_shards: int = 16
-    shard_rows: int = 200_000
+    shard_rows: int = 5_000
     queries_per_task: int = 50_000
     seed: int = 1
 
@@ -277,7 +282,7 @@ def search_shards(
             ids, score = np.take_along_axis(ids, best, 1), np.take_along_axis(score, best, 1)
             query = np.repeat(part.column("key").to_numpy(), ids.shape[1])
             ids, score = ids.ravel(), score.ravel()
-            good = (ids >= 0) & (keys[ids] != query)
+            good = ids >= 0
             yield to_batch(FOUND, query[good], keys[ids[good]], score[good])
 
     def run(batches):
@@ -306,6 +311,31 @@ def search_shards(
     return items.mapInArrow(run, "query_id long, vec_id long, score double")
 
 
+def even(vectors: DataFrame, dtype: str, width: int) -> DataFrame:
+    """(key, vec) where equal vectors have equal bytes: padded to ``width``, zeros without a sign."""
+    schema = pa.schema([("key", pa.int64()), ("vec", pa.binary())])
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                rows = (matrix(batch.column("vec"), dtype, width) + 0.0).astype(dtype)
+                yield to_batch(schema, batch.column("key"), [row.tobytes() for row in rows])
+
+    return vectors.select("key", "vec").mapInArrow(run, "key long, vec binary")
+
+
+def first_keys(vectors: DataFrame, most: int) -> DataFrame:
+    """(member, key, vec): the ``most`` smallest keys of each distinct vector, member being the smallest.
+
+    Keys are dealt by a hash first, so that no task sees all copies of one vector.
+    """
+    dealt = vectors.withColumn("deal", F.pmod(F.xxhash64("key", F.lit(37)), F.lit(16)))
+    for by in (("vec", "deal"), ("vec",)):
+        place = F.row_number().over(Window.partitionBy(*by).orderBy("key"))
+        dealt = dealt.withColumn("place", place).where(F.col("place") <= most)
+    return dealt.select(F.min("key").over(Window.partitionBy("vec")).alias("member"), "key", "vec")
+
+
 def nearest_neighbours(
     table: DataFrame, is_query, key: str = "vec_id", vector: str = "embedding", setting: Setting = Setting()
 ) -> DataFrame:
@@ -319,22 +349,40 @@ def nearest_neighbours(
     """
     vectors, dtype = usable_vectors(table, key, vector)
     vectors = stored(vectors)
-    width, n = widest(vectors, dtype), vectors.count()
+    width = widest(vectors, dtype)
     shape = "query_id long, rank int, vec_id long, score double"
-    if n == 0:
+    if width == 0:
         return table.sparkSession.createDataFrame([], shape)
+    vectors = stored(even(vectors, dtype, width))
+    most = setting.k + 1  # one more, as a query is left out of its own list
+    members = stored(first_keys(vectors, most))
+    classes = members.where("key = member").select("key", "vec")
+    n = classes.count()
 
     def lengths(batches):
         for batch in batches:
             if batch.num_rows:
-                most = np.linalg.norm(matrix(batch.column(0), dtype, width), axis=1).max()
-                yield pa.RecordBatch.from_arrays([pa.array([most])], names=["length"])
+                longest = np.linalg.norm(matrix(batch.column(0), dtype, width), axis=1).max()
+                yield pa.RecordBatch.from_arrays([pa.array([longest])], names=["length"])
 
-    largest = vectors.select("vec").mapInArrow(lengths, "length double").agg(F.max("length")).first()[0]
+    largest = classes.select("vec").mapInArrow(lengths, "length double").agg(F.max("length")).first()[0]
     shards = max(min(setting.least_shards, n), -(-n // setting.shard_rows))
-    index = stored(build_index(vectors, dtype, width, largest, shards, setting))
+    index = stored(build_index(classes, dtype, width, largest, shards, setting))
     queries = vectors.where(is_query)
-    found = search_shards(index, queries, dtype, width, largest, shards, setting)
+    asked = stored(queries.groupBy("vec").agg(F.min("key").alias("asker")))
+    found = search_shards(index, asked.select(F.col("asker").alias("key"), "vec"), dtype, width, largest, shards, setting)
+    # The best keys are among the best distinct vectors: of equal scores, those with the smallest keys.
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= setting.k)
-    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    best = found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
+    copied = members.groupBy("member").agg(F.collect_list("key").alias("keys")).where(F.size("keys") > 1)
+    every = F.explode(F.coalesce("keys", F.array("vec_id"))).alias("vec_id")
+    spread = best.join(copied, best["vec_id"] == copied["member"], "left")
+    spread = spread.select(F.col("query_id").alias("asker"), (-F.col("score")).alias("minus"), every)
+    near = F.array_sort(F.collect_list(F.struct("minus", "vec_id")))
+    lists = stored(spread.groupBy("asker").agg(F.slice(near, 1, most).alias("near")))
+    askers = stored(queries.join(asked, "vec").select(F.col("key").alias("query_id"), "asker"))
+    others = F.filter("near", lambda x: x["vec_id"] != F.col("query_id"))
+    rows = askers.join(lists, "asker").select("query_id", F.posexplode(F.slice(others, 1, setting.k)).alias("at", "one"))
+    return rows.select(
+        "query_id", (F.col("at") + 1).cast("int").alias("rank"), "one.vec_id", (-F.col("one.minus")).alias("score")
+    )

@@ -83,3 +83,42 @@ def test_graph_search_edges(spark):
     assert sorted(tuple(r) for r in found) == [
         (1, 1, 4, 9.0), (1, 2, 2, 1.0), (1, 3, 3, -2.0), (2, 1, 4, 9.0), (2, 2, 1, 1.0), (2, 3, 3, -2.0)
     ]
+
+
+def test_graph_search_keeps_its_recall_as_the_table_grows(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(20_000, 64))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    x[1000:2500] = x[999]  # a group of copies
+    # More than one shard of the size that is used for large tables.
+    out = hnsw.nearest_neighbours(frame(spark, x, []), F.col("key") % 500 == 0, setting=hnsw.Setting(least_shards=1))
+    by = {}
+    for r in out.orderBy("query_id", "rank").collect():
+        by.setdefault(r.query_id, []).append(r.vec_id // 5)
+    exact = x.astype(float)
+    hit = 0
+    for query, ids in by.items():
+        products = exact @ exact[query // 5]
+        order = [i for i in np.lexsort((np.arange(len(x)), -products))[:21] if i * 5 != query][:20]
+        hit += len(set(order) & set(ids))
+        assert len(ids) == len(set(ids)) == 20 and query // 5 not in ids
+        if 999 <= query // 5 < 2500:
+            assert ids == order
+    assert len(by) == 200 and hit / (20 * len(by)) >= 0.97
+
+
+def test_copies_do_not_hide_other_neighbours(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(400, 16)).astype(np.float32)
+    x = np.vstack([x, np.repeat(x[:1], 3000, 0), 0.999 * x[:1]])
+    x[0] = x[1]
+    out = hnsw.nearest_neighbours(frame(spark, x, []), F.col("key") < 2000, setting=hnsw.Setting(least_shards=1))
+    found = {}
+    for r in out.orderBy("query_id", "rank").collect():
+        found.setdefault(r.query_id // 5, []).append(r.vec_id // 5)
+    hit = 0
+    for i in range(400):
+        products = x.astype(float) @ x[i].astype(float)
+        order = [j for j in np.lexsort((np.arange(len(x)), -products)) if j != i][:20]
+        hit += len(set(order) & set(found[i]))
+    assert hit / 8000 >= 0.99
