@@ -6,7 +6,8 @@ are divided by their norms, so that length and repetition don't count.
 
 Training sees labelled texts word by word. A toxic text has harmless words too, so the machine is trained
 as for multiple instances: words of toxic texts that it finds harmless stop counting as toxic, and it is
-trained again. Landmarks are words; the Nyström map is linear in the subsequences, so the trained machine
+trained again. Then variants of the words that were found most toxic, with a letter put in or left out, join the toxic
+examples, so that disguised words reach the margin too. Landmarks are words; the Nyström map is linear in the subsequences, so the trained machine
 folds into one weight per subsequence, and scoring a text needs neither landmarks nor a shuffle.
 """
 
@@ -63,12 +64,16 @@ class Setting:
 
 @dataclass(frozen=True)
 class Model:
-    """Weights by subsequence, the bias, and what turns a text's two largest margins into a score."""
+    """Weights by subsequence, the bias, and what turns a text's two largest margins into a score.
+
+    ``insults`` are the words found most toxic and their variants, which the score is set by as well.
+    """
 
     weights: np.ndarray
     bias: float
     slopes: tuple[float, float] = (1.0, 0.0)
     shift: float = 0.0
+    insults: tuple[str, ...] = ()
 
 
 def words_of(text: str | None) -> dict[str, int]:
@@ -242,6 +247,19 @@ def evidence(words: list[str], counts: dict[str, tuple[int, int]], share: float)
     return np.array([max(known.get(x, 0.0) for x in (w, *parts_of([w]))) for w in words])
 
 
+def variants(word: str) -> list[str]:
+    """The word with one letter put in between two others, or with one inner letter left out.
+
+    The letters put in are a fixed draw by the word; words of fewer than four letters have no variants.
+    """
+    if len(word) < 4:
+        return []
+    rng = np.random.default_rng(list(word.encode("utf-8", "surrogatepass")))
+    letters = [chr(97 + x) for x in rng.integers(0, 26, 3 * len(word))]
+    added = [word[:i] + letters[3 * i + k] + word[i:] for i in range(1, len(word)) for k in range(3)]
+    return list(dict.fromkeys([*added, *(word[:i] + word[i + 1 :] for i in range(1, len(word) - 1))]))
+
+
 def fit(
     words: list[str], counts: dict[str, tuple[int, int]], texts: tuple[int, int], setting: Setting
 ) -> Model | None:
@@ -282,12 +300,31 @@ def fit(
         if not witness.any():
             break
         weight_toxic = np.where(witness, np.sqrt(toxic), 0.0)
-    return Model(marks.fold(root @ w[:-1]), float(w[-1]))
+    own = np.where(typical, surplus(toxic, clean, share), 0.0)
+    sure = np.flatnonzero((mapped @ w > 0) & typical & (own > 0) & (own >= own.max() / 4))
+    known = set(words)
+    extra = {v: np.sqrt(toxic[i]) for i in sure for v in variants(words[i]) if v not in known}
+    if extra:
+        shown = np.ones((len(extra), mapped.shape[1]), np.float32)
+        shown[:, :-1] = marks.kernel(list(extra)) @ root.astype(np.float32)
+        both = np.vstack([mapped, shown])
+        weight_toxic = np.r_[weight_toxic, np.fromiter(extra.values(), float, len(extra))]
+        w = squared_hinge(both, weight_toxic, np.r_[weight_clean, np.zeros(len(extra))], w, ridge)
+    insults = (*(words[i] for i in sure), *extra)
+    return Model(marks.fold(root @ w[:-1]), float(w[-1]), insults=insults)
 
 
 def calibrated(margin: np.ndarray, toxic: np.ndarray, model: Model) -> Model:
-    """The model with a logistic function of the two largest margins of labelled texts, by Newton steps."""
+    """The model with a logistic function of the two largest margins of labelled texts, by Newton steps.
+
+    Each clean text counts as a toxic one too, as if it held one of the model's insults.
+    """
     toxic = toxic.astype(bool)
+    if model.insults and (~toxic).any():
+        single = margin[~toxic]
+        value = np.resize(margins(list(model.insults), model), len(single))
+        margin = np.vstack([margin, np.sort(np.column_stack([single, value]), axis=1)[:, :0:-1]])
+        toxic = np.r_[toxic, np.ones(len(single), bool)]
     ends = (1 + toxic.sum()) / (2 + toxic.sum()), 1 / (2 + (~toxic).sum())
     target = np.where(toxic, ends[0], ends[1])
     x = np.column_stack([margin, np.ones(len(margin))])
@@ -302,7 +339,7 @@ def calibrated(margin: np.ndarray, toxic: np.ndarray, model: Model) -> Model:
         if np.abs(step).max() < 1e-8:
             break
     slopes = float(max(w[0], 0.0)), float(max(w[1], 0.0))
-    return Model(model.weights, model.bias, slopes, float(w[2]))
+    return Model(model.weights, model.bias, slopes, float(w[2]), model.insults)
 
 
 def held_out(key):

@@ -50,6 +50,31 @@ def test_disguised_insults_and_odd_rows(spark, model):
     assert toxicity.score_texts(docs.limit(0), model).collect() == []
 
 
+def test_single_and_misspelt_insults_in_held_out_texts(spark, model):
+    docs, labels = labelled(spark)
+    held = docs.join(labels.where("toxic = 0"), "doc_id").where(toxicity.held_out(F.col("doc_id"))).orderBy("doc_id")
+    clean, rng = [r.text for r in held.collect()], random.Random(12)
+
+    def inserted(word):
+        at = rng.randrange(1, len(word))
+        return word[:at] + rng.choice("abcdefghijklmnopqrstuvwxyz") + word[at:]
+
+    def dropped(word):
+        at = rng.randrange(1, len(word) - 1)
+        return word[:at] + word[at + 1 :]
+
+    rows = [("clean", text) for text in clean]
+    for kind, change in (("one", str), ("inserted", inserted), ("dropped", dropped)):
+        for text in clean:
+            words = text.split()
+            words.insert(rng.randrange(len(words) + 1), change(rng.choice(["grumpf", "snarkle", "blorgit"])))
+            rows.append((kind, " ".join(words)))
+    scored = toxicity.score_texts(spark.createDataFrame(rows, "kind string, text string"), model)
+    flagged = {r.kind: r.share for r in scored.groupBy("kind").agg(F.avg("predicted").alias("share")).collect()}
+    assert len(clean) > 100 and flagged["clean"] <= 0.02 and flagged["one"] == 1.0
+    assert flagged["inserted"] >= 0.9 and flagged["dropped"] >= 0.9
+
+
 def test_without_labels_nothing_is_toxic(spark):
     docs, labels = labelled(spark, 30)
     for few in (labels.limit(0), labels.where("toxic = 0"), labels.withColumn("toxic", F.lit(None).cast("int"))):
