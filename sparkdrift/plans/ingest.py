@@ -84,7 +84,7 @@ def run_incremental(
     else:
         start = (now - timedelta(hours=hours)).date()
     first, last = start.strftime(DATE_FORMAT), max(start, now.date()).strftime(DATE_FORMAT)
-    landed = read_range(spark, landing_path, first, last)
+    landed = read_range(spark, landing_path, first, last, json_column=ingest.get("json_column", "payload"))
     return ingest_payloads(spark, landed, table_path, log_path, now=clock, **ingest)
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from sparkdrift.functions.numeric import clean_double
 from sparkdrift.functions.timeparts import require_utc
 from sparkdrift.sources.files import exists
+from sparkdrift.sources.payload import reject_reason
 
 # Key, storage columns and their decimal types.
 KEY = ("latitude", "longitude", "timestamp")
@@ -204,19 +205,21 @@ def read_range(
     start: str,
     end: str,
     key: Sequence[str] = ("location_name", DATE),
+    json_column: str = "payload",
 ) -> DataFrame:
     """Landed payloads of a date range, from the archive and from the recent landing area.
 
     The landing directory is partitioned by ``source`` (archive, recent) and ``dt``; the dates prune
     directories. A range that starts long ago ends in days that landed as recent, so both areas are read,
-    and recent payloads give way where the archive has their key.
+    and recent payloads give way where the archive has a usable payload with their key.
     """
     first, last = parse_range(start, end)
     landed = spark.read.parquet(path).where(F.col(DATE).between(F.lit(first.date()), F.lit(last.date())))
     archived = landed.where(F.col("source") == "archive")
     kept = [c for c in key if c in landed.columns]
     rest = landed.where(F.col("source") != "archive")
-    return archived.unionByName(rest.join(archived.select(*kept).distinct(), kept, "left_anti"))
+    usable = archived.where(reject_reason(F.col(json_column)).isNull())
+    return archived.unionByName(rest.join(usable.select(*kept).distinct(), kept, "left_anti"))
 
 
 def append_conflicts(existing: DataFrame | None, incoming: DataFrame, key: Sequence[str]) -> DataFrame:

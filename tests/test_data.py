@@ -222,6 +222,22 @@ def test_read_range_prunes_landing_area(spark, tmp_path):
     assert spark.read.parquet(table).count() == 4
 
 
+def test_unusable_archive_payloads_do_not_hide_recent_ones(spark, tmp_path):
+    path, table, log = (str(tmp_path / x) for x in ("landing", "table", "log"))
+    rows = [("archive", "a", '{"error": true}'), ("recent", "a", payload(2, "2024-01-02"))]
+    rows += [("archive", "b", payload(3, "2024-01-02")), ("recent", "b", payload(1, "2024-01-02"))]
+    landed = spark.createDataFrame(rows, "source string, location_name string, payload string").withColumns(
+        {"dt": F.lit("2024-01-02").cast("date"), "longitude": F.lit(2.0)}
+    )
+    landed = landed.withColumn("latitude", F.when(F.col("location_name") == "a", 1.0).otherwise(3.0))
+    landed.write.partitionBy("source", "dt").parquet(path)
+    got = S.read_range(spark, path, "2024-01-02", "2024-01-02").select("location_name", "source").collect()
+    assert sorted(map(tuple, got)) == [("a", "archive"), ("a", "recent"), ("b", "archive")]
+    I.run_incremental(spark, path, table, log, datetime(2024, 1, 2, 12), hours=5, arrival=["dt"], batch_column="source")
+    counts = spark.read.parquet(table).groupBy("location_name").count().collect()
+    assert sorted(map(tuple, counts)) == [("a", 2), ("b", 3)]
+
+
 def measures(spark, rows, columns="temperature_2m double"):
     schema = f"timestamp string, {columns}, updated_at string, place int"
     df = spark.createDataFrame(rows, schema).withColumns(
