@@ -88,7 +88,8 @@ class QualityConfig:
         if "max_null_percentage" in section:
             config = replace(config, null_issue_percent=float(section["max_null_percentage"]))
         if "min_completeness" in section:
-            config = replace(config, min_completeness=float(section["min_completeness"]))
+            # The setting's name notwithstanding, it is the lowest overall score that passes.
+            config = replace(config, min_score=float(section["min_completeness"]))
         return config
 
 

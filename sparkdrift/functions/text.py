@@ -6,9 +6,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def clean_metric_name(name: Column) -> Column:
+    """Blank, dash and dot become underscores."""
+    return F.translate(name, " -.", "___")
+
+
 def sanitize_metric_name(name: Column, max_length: int = 50) -> Column:
-    """Blank, dash and dot become underscores; the result is cut at ``max_length`` characters."""
-    return F.substring(F.translate(name, " -.", "___"), 1, max_length)
+    """The cleaned name, cut at ``max_length`` characters."""
+    return F.substring(clean_metric_name(name), 1, max_length)
 
 
 def dataset_metric_name(name: Column) -> Column:

@@ -216,6 +216,25 @@ CUTS = 256
 PARTS = 256
 
 
+POSITION = "__position"
+
+
+def with_position(frame: DataFrame, points: str, size: int) -> DataFrame:
+    """Add how many of the ascending ``points``, an array of at most ``size``, are not above the value.
+
+    One projection per halving: each is worked out once, in generated code of its own. The zero added at
+    the end counts as indeterminate, which keeps the optimizer from moving conditions on the position below
+    it; there each halving would be written out again for every use of the one before.
+    """
+    placed = frame.withColumn(POSITION, F.lit(0))
+    at, step = F.col(POSITION), 1 << (size.bit_length() - 1)
+    while step:
+        further = F.get(F.col(points), at + (step - 1)) <= F.col("value")
+        placed = placed.withColumn(POSITION, at + F.when(further, step).otherwise(0))
+        step //= 2
+    return placed.withColumn(POSITION, at + F.spark_partition_id() * 0)
+
+
 def with_cells(frame: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Add ``cell``, an order-preserving bucket that spreads each group's distinct values over many tasks.
 
@@ -226,26 +245,15 @@ def with_cells(frame: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     group = group_keys(keys)
     probs = F.array(*[F.lit(i / CUTS) for i in range(CUTS + 1)])
     sketch = frame.groupBy(*group).agg(F.percentile_approx("value", probs, 10_000).alias("cuts"))
-    halvings = F.sequence(F.lit(1), F.lit(CUTS.bit_length()))
     value, cuts = F.col("value"), F.col("cuts")
-
-    def halve(at: Column, _: Column) -> Column:
-        middle = ((at["low"] + at["high"]) / 2).cast("int")
-        above = F.get(cuts, middle) <= value
-        return F.struct(
-            F.when(above, middle).otherwise(at["low"]).alias("low"),
-            F.when(above, at["high"]).otherwise(middle).alias("high"),
-        )
-
-    # The last cut that is not above the value, by halving; the first one for values below all of them.
-    ends = F.struct(F.lit(0).alias("low"), F.lit(CUTS + 1).alias("high"))
-    placed = attach_groups(frame, sketch, keys).withColumn(
-        "__cut", F.aggregate(halvings, ends, halve, lambda at: at["low"])
+    # The last cut that is not above the value; the first one for values below all of them.
+    placed = with_position(attach_groups(frame, sketch, keys), "cuts", CUTS + 1).withColumn(
+        "__cut", F.greatest(F.col(POSITION) - 1, F.lit(0))
     )
     low, high = F.get(cuts, F.col("__cut")), F.get(cuts, F.col("__cut") + 1)
     part = F.floor(F.try_divide(value - low, high - low) * PARTS)
     inside = F.least(F.greatest(F.coalesce(part, F.lit(0)), F.lit(0)), F.lit(PARTS - 1))
-    return placed.withColumn("cell", (F.col("__cut") * PARTS + inside).cast("int")).drop("cuts", "__cut")
+    return placed.withColumn("cell", (F.col("__cut") * PARTS + inside).cast("int")).drop("cuts", "__cut", POSITION)
 
 
 def running_counts(counts: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -294,15 +302,63 @@ def running_counts(counts: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     )
 
 
+# Accuracy of the sketch that places brackets, half a bracket's width in ranks (four times the sketch's own
+# bound), and the size up to which a group is one bracket.
+ACCURACY = 20_000
+HALF_WIDTH = 4 / ACCURACY
+WHOLE_ROWS = 20_000
+
+
+def with_brackets(weighted: DataFrame, probs: Sequence[float], keys: Sequence[str] = ()) -> DataFrame:
+    """Add ``cell`` and ``part``: where a value lies among brackets around the wanted ranks.
+
+    A bracket runs from a little below to a little above a wanted rank, by an approximate quantile sketch.
+    ``cell`` tells the end a value equals or the two ends it lies between, so it grows with the value.
+    ``part`` cuts the cells inside brackets evenly by value; it is -1 outside all brackets.
+    """
+    wanted = sorted({float(p) for p in probs})
+    ends = [e for p in wanted for e in (max(p - HALF_WIDTH, 0.0), min(p + HALF_WIDTH, 1.0))]
+    found = weighted.groupBy(*group_keys(keys)).agg(
+        F.percentile_approx("value", F.array(*[F.lit(e) for e in ends]), ACCURACY).alias("__found"),
+        (F.count(F.lit(1)) <= WHOLE_ROWS).alias("__whole"),
+    )
+    pairs = F.array(*[
+        F.struct(F.get("__found", F.lit(2 * i)).alias("low"), F.get("__found", F.lit(2 * i + 1)).alias("high"))
+        for i in range(len(wanted))
+    ])
+
+    def inside(end: Column) -> Column:
+        return F.exists(pairs, lambda pair: (pair["low"] <= end) & (end < pair["high"]))
+
+    sorted_ends = F.array_sort(F.array_distinct("__found"))
+    sketch = found.select(
+        *group_keys(keys), "__whole", sorted_ends.alias("__ends"), F.transform(sorted_ends, inside).alias("__inside")
+    )
+    placed = with_position(attach_groups(weighted, sketch, keys), "__ends", len(ends))
+    value, at = F.col("value"), F.col(POSITION)
+    low, high = F.get("__ends", at - 1), F.get("__ends", at)
+    between = F.coalesce(value > low, F.lit(True))
+    share = F.coalesce(F.try_divide(value - low, high - low), F.lit(0.0))
+    part = F.least(F.floor(share * PARTS), F.lit(PARTS - 1)).cast("int")
+    held = ~between | F.coalesce(F.get("__inside", at - 1), F.lit(False))
+    return (
+        placed.withColumn("cell", F.when(F.col("__whole"), 0).otherwise(2 * at + between.cast("int")))
+        .withColumn("part", F.when(F.col("__whole"), 0).when(held, part).otherwise(-1))
+        .drop("__ends", "__inside", "__whole", POSITION)
+    )
+
+
 def rank_picks(
     long: DataFrame, probs: Sequence[float], keys: Sequence[str] = (), side: str = "cur"
 ) -> DataFrame:
     """Exact linearly interpolated quantiles and how many values lie below each.
 
-    One row per group: ``size``, ``quantiles`` and ``below``, two arrays aligned with ``probs``. Raw
-    and folded frames both do. Two passes: the first counts values per cell, which tells the few cells
-    that hold the wanted ranks; the second folds and orders only the values of those cells. Neither
-    the data nor a feature's distinct values are ever sorted as a whole or kept in one place.
+    One row per group: ``size``, ``quantiles`` and ``below``, two arrays aligned with ``probs``. Raw and
+    folded frames both do. A sketch puts a bracket around each wanted rank; one pass then counts what lies
+    between brackets and folds the values inside them, and only those few are ordered, in parts. A rank
+    that the sketch missed is found among all values of its gap, which are read only in that case: results
+    never depend on the sketch. Neither the data nor a feature's distinct values are ever sorted as a whole
+    or kept in one place.
     """
     group = group_keys(keys)
     names = ", ".join(f"`{k}`" for k in group)
@@ -312,14 +368,16 @@ def rank_picks(
         f"transform({wanted}, p -> ceil(p * (size - 1)))))"
     )
     weighted = long.where(F.col(f"n_{side}") > 0).select(*group, "value", F.col(f"n_{side}").alias("n"))
-    celled = with_cells(weighted, keys)
-    earlier = f"(PARTITION BY {names} ORDER BY cell ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    placed = with_brackets(weighted, probs, keys)
+    on = [*group, "cell", "part"]
+    kept = F.when(F.col("part") >= 0, F.col("value")).alias("value")
+    folded = placed.select(*on, kept, "n").groupBy(*on, "value").agg(F.sum("n").alias("n"))
+    earlier = f"(PARTITION BY {names} ORDER BY cell, part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
     holding = (
-        celled.groupBy(*group, "cell")
+        folded.groupBy(*on)
         .agg(F.sum("n").alias("c"))
         .selectExpr(
-            *group,
-            "cell",
+            *on,
             "c",
             f"coalesce(sum(c) OVER {earlier}, 0) AS before",
             f"sum(c) OVER (PARTITION BY {names}) AS size",
@@ -327,14 +385,17 @@ def rank_picks(
         .where(F.expr(f"exists({ranks}, r -> r >= before AND r < before + c)"))
         .drop("c")
     )
-    on = [*group, "cell"]
-    # Without keys at most two cells per wanted rank and feature, a bound known beforehand.
-    near = null_safe_join(celled, holding if keys else F.broadcast(holding), on)
-    so_far = f"(PARTITION BY {names}, cell ORDER BY value ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+
+    def held(rows: DataFrame, test: str) -> DataFrame:
+        # Without keys at most two parts per wanted rank and feature, a bound known beforehand.
+        few = holding.where(test)
+        return null_safe_join(rows.where(test), few if keys else F.broadcast(few), on)
+
+    missed = held(placed, "part < 0").groupBy(*on, "before", "size", "value").agg(F.sum("n").alias("n"))
+    near = held(folded, "part >= 0").unionByName(missed)
+    so_far = f"(PARTITION BY {names}, cell, part ORDER BY value ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
     found = (
-        near.groupBy(*on, "before", "size", "value")
-        .agg(F.sum("n").alias("n"))
-        .selectExpr(*group, "size", "value", f"before + sum(n) OVER {so_far} AS end", "n")
+        near.selectExpr(*group, "size", "value", f"before + sum(n) OVER {so_far} AS end", "n")
         .selectExpr(*group, "size", "value", "end - n AS first", "end")
         .selectExpr(
             *group, "size", "value", "first", "end",

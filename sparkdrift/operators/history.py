@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparkdrift.config import DriftConfig
-from sparkdrift.functions.text import sanitize_metric_name
+from sparkdrift.functions.text import clean_metric_name, sanitize_metric_name
 from sparkdrift.functions.timeparts import epoch_s
 
 # Per-feature metrics a drift run records.
@@ -25,17 +26,22 @@ FEATURE_METRICS = (
 def feature_metrics(results: DataFrame, keys: Sequence[str] = ("run_id",)) -> DataFrame:
     """Six metrics per feature as ``(keys..., key, feature_name, metric, display_name, value)``.
 
-    ``key`` holds the whole feature name, so no two features share one; ``display_name`` is the cut and
-    cleaned spelling for showing.
+    ``key`` is the cleaned name, whole, and the metric. Where several features of a run clean to the same
+    name, each keeps its raw one, so that no two share a key. ``display_name`` is the cut spelling.
     """
     names = [m for m in FEATURE_METRICS if m in results.columns]
-    long = results.select(*keys, "feature_name", *names).unpivot(
-        [*keys, "feature_name"], names, "metric", "value"
+    cleaned = clean_metric_name(F.col("feature_name"))
+    # One run has one row per feature: the window holds the features of a run that read alike.
+    alike = W.partitionBy(*keys, cleaned)
+    shared = F.min("feature_name").over(alike) != F.max("feature_name").over(alike)
+    stem = F.when(shared, F.col("feature_name")).otherwise(cleaned)
+    long = results.select(*keys, "feature_name", stem.alias("__stem"), *names).unpivot(
+        [*keys, "feature_name", "__stem"], names, "metric", "value"
     )
     shown = F.concat(sanitize_metric_name(F.col("feature_name")), F.lit("_"), F.col("metric"))
     return long.select(
         *keys,
-        metric_key(F.col("feature_name"), F.col("metric")).alias("key"),
+        metric_key(F.col("__stem"), F.col("metric")).alias("key"),
         "feature_name",
         "metric",
         shown.alias("display_name"),
@@ -139,9 +145,15 @@ def drift_timeline(
     n_runs: int = 30,
     config: DriftConfig = DriftConfig(),
 ) -> DataFrame:
-    """PSI of one feature over the newest runs, oldest first, with its threshold band."""
-    key = metric_key(F.lit(feature), F.lit("psi"))
-    psi = run_metrics.where(F.col("key") == key).select("run_id", F.col("value").alias("psi"))
+    """PSI of one feature over the newest runs, oldest first, with its threshold band.
+
+    Rows are found by the feature's name where the table has it, else by the cleaned key.
+    """
+    if "feature_name" in run_metrics.columns:
+        wanted = (F.col("feature_name") == feature) & (F.col("metric") == "psi")
+    else:
+        wanted = F.col("key") == metric_key(clean_metric_name(F.lit(feature)), F.lit("psi"))
+    psi = run_metrics.where(wanted).select("run_id", F.col("value").alias("psi"))
     newest = recent(runs, n_runs, "timestamp", ["run_id"])
     return (
         newest.join(psi, "run_id")

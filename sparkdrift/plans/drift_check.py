@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from datetime import datetime, timedelta, timezone
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -138,9 +140,12 @@ def log_drift_run_safe(*args, **kwargs) -> bool:
 
 
 def check(store: ReferenceStore, reference_name: str, **options) -> tuple[int, DataFrame | None]:
-    """Run a check for a scheduler: (exit code, report)."""
+    """Run a check for a scheduler: (exit code, report).
+
+    What the data or the reference lacks becomes the error code; faults of the program are raised.
+    """
     try:
         report, _ = detect_drift(store, reference_name, **options)
         return exit_code(report.first()["drift_detected"]), report
-    except Exception:  # noqa: BLE001 - the scheduler reads the code
+    except (LookupError, OSError, ValueError, PySparkException, Py4JJavaError):
         return exit_code(None), None
