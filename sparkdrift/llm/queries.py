@@ -6,11 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkdrift.llm import (
+    alignment,
     hnsw,
     importance,
+    lexical,
     line_dedup,
     max_plus,
     minhash,
+    mixing,
     packing,
     pii,
     rp_forest,
@@ -97,6 +100,24 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_pretokens", "n_tokens")
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of two tokenizers lined up in all documents, with corpus-wide counts of linked pairs."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return alignment.align(docs, tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
+
+
+def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for every benchmark item."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lexical.rank(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copies of all documents that bring their sources to the targets."""
+    mixed = mixing.mix_sources(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies", "source")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -110,6 +131,9 @@ QUERIES = {
         op8_minhash,
         op9_sentencepiece,
         op10_token_counts,
+        op11_alignment,
+        op12_lexical,
+        op13_mixing,
     )
 }
-ORACLE_SQL = {"op1_line_dedup": line_dedup.removal_sql()}
+ORACLE_SQL = {"op1_line_dedup": line_dedup.removal_sql(), "op12_lexical": lexical.ranking_sql()}
