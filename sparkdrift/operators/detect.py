@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparkdrift.config import SEVERITIES, SEVERITY_SCORES, DriftConfig
@@ -14,12 +15,15 @@ from sparkdrift.functions.numeric import bin_index
 from sparkdrift.operators.distribution import (
     bounds,
     group_keys,
+    running_counts,
+    running_sum,
     to_long,
     value_counts,
 )
 from sparkdrift.operators.drift import cdf_tests, histogram_sums, histogram_tests
 from sparkdrift.operators.frames import null_safe_join, one_row
 from sparkdrift.operators.reference import profile_only_tests
+from sparkdrift.sources.files import written
 
 
 def severity(psi: Column, js: Column, config: DriftConfig = DriftConfig()) -> Column:
@@ -445,25 +449,102 @@ def sliding_cdf_tests(
 ) -> DataFrame:
     """KS and Wasserstein of every daily-stepped trailing window against one reference sample.
 
-    Rows are folded to (feature, day, value) once and windows add up daily partials. The reference's
-    distinct values are repeated per window, so its folded size times the number of days is what is
-    shuffled.
+    Rows are folded to (feature, day, value) once and windows add up daily partials. The reference becomes
+    one table of its share and of the integral of that share at every value, which each window looks up at
+    its own values only: between two of them the window's share is one level, and the reference crosses a
+    level at most once. What is shuffled doesn't depend on the number of windows times reference values.
     """
     day = F.date_trunc("day", F.col(time_column)).cast("date")
     rows = df.withColumn("__day", day).withColumn("__ref", is_ref)
-    daily = value_counts(to_long(rows, features, F.col("__ref"), ["__day"]), ["__day"])
+    daily = written(value_counts(to_long(rows, features, F.col("__ref"), ["__day"]), ["__day"]))
+    reference = written(reference_table(daily))
     later = daily.where(F.col("n_cur") > 0)
     last_day = later.agg(F.max("__day")).scalar()
     reach = F.sequence(F.col("__day"), F.date_add("__day", window_days - 1), F.expr("INTERVAL 1 DAY"))
-    none = F.lit(0).cast("long")
-    current = later.select(
-        F.explode(reach).alias("window_end"), "feature", "value", none.alias("n_ref"), "n_cur"
-    ).where(F.col("window_end") <= last_day)
-    reference = daily.where(F.col("n_ref") > 0).groupBy("feature", "value").agg(F.sum("n_ref").alias("n_ref"))
-    ends = current.select("feature", "window_end").distinct()
-    repeated = reference.join(ends, "feature").select("window_end", "feature", "value", "n_ref", none.alias("n_cur"))
-    counts = value_counts(current.unionByName(repeated), ["window_end"])
-    return cdf_tests(counts, ["window_end"], p_mode)
+    none = F.lit(0).cast("long").alias("n_ref")
+    current = later.select(F.explode(reach).alias("window_end"), "feature", "value", none, "n_cur")
+    counts = value_counts(current.where(F.col("window_end") <= last_day), ["window_end"])
+    walked = running_counts(counts, ["window_end"]).selectExpr(
+        "window_end", "feature", "value", "next_value", "n_cur", "cum_cur", "cur_n", "cur_lo = cur_hi AS one_value"
+    )
+    here = reference.selectExpr(
+        "feature", "value", "below", "upto", "integral", "ref_n", "ref_hi", "hi_integral", "ref_lo = ref_hi AS one_ref"
+    )
+    after = reference.selectExpr("feature", "value AS next_value", "integral AS next_integral")
+    steps = (
+        walked.join(here, ["feature", "value"])
+        .join(after, ["feature", "next_value"], "left")
+        .where("ref_n > 0")
+        # The last value's step ends where the reference does; levels are ranks of the reference.
+        .withColumn("end", F.coalesce("next_value", F.greatest("ref_hi", "value")))
+        .withColumn("end_integral", F.expr("coalesce(next_integral, if(ref_hi > value, hi_integral, integral))"))
+        .withColumn("level", F.expr("cum_cur / cur_n"))
+        .withColumn("rank", F.expr("least(greatest(ceil(level * ref_n), 1), ref_n)"))
+    )
+    crossed = level_crossings(steps, reference)
+    gap = "greatest(abs(upto / ref_n - level), abs(below / ref_n - (cum_cur - n_cur) / cur_n))"
+    # Up to the crossing the level lies above the reference's share, from there on below it.
+    inner = """level * (at - value) - (at_integral - integral)
+        + (end_integral - at_integral) - level * (end - at)"""
+    first = "if(cum_cur = n_cur, integral, 0D)"
+    summed = crossed.groupBy("window_end", "feature").agg(
+        F.expr(f"max({gap})").alias("ks_statistic"),
+        F.expr(f"sum(greatest({inner}, 0D) + {first})").alias("wasserstein"),
+        *[F.expr(f"first({c})").alias(c) for c in ("ref_n", "cur_n")],
+        F.expr("first(one_ref AND one_value)").alias("constant"),
+    )
+    p = ks_p_value("ks_statistic", "ref_n", "cur_n", p_mode)
+    settled = F.expr("CASE WHEN constant THEN if(ks_statistic > 0, 0D, 1D) END")
+    return summed.select(
+        "window_end", "feature", "ks_statistic", F.coalesce(settled, p).alias("ks_p_value"), "wasserstein"
+    )
+
+
+def reference_table(counts: DataFrame) -> DataFrame:
+    """Per feature and value of either side: reference values below and up to it, and the integral of the
+    reference's share up to it, with the feature's reference size, limits and the integral at its end."""
+    cdf = running_counts(value_sums(counts), keep_cell=True).where("ref_n > 0")
+    area = F.expr("cum_ref / ref_n * (coalesce(next_value, value) - value)")
+    summed = running_sum(cdf, area, "integral")
+    ends = summed.where("value = ref_hi").select("feature", F.col("integral").alias("hi_integral"))
+    # One row per feature column.
+    return summed.join(F.broadcast(ends), "feature").selectExpr(
+        "feature", "value", "n_ref", "cum_ref - n_ref AS below", "cum_ref AS upto", "integral",
+        "ref_n", "ref_lo", "ref_hi", "hi_integral",
+    )
+
+
+def value_sums(counts: DataFrame) -> DataFrame:
+    return counts.groupBy("feature", "value").agg(F.sum("n_ref").alias("n_ref"), F.sum("n_cur").alias("n_cur"))
+
+
+# Equal parts that the reference's ranks are cut into for looking up levels.
+RANK_CELLS = 4096
+
+
+def level_crossings(steps: DataFrame, reference: DataFrame) -> DataFrame:
+    """Add ``at`` and ``at_integral``: where the reference reaches each step's rank, kept inside the step.
+
+    Steps and reference values meet in cells of ranks; a reference value is in every cell that its ranks
+    touch, so the first one at or after a step's rank is always in the step's own cell.
+    """
+    cell = f"cast(floor((%s) * {RANK_CELLS}.0D / ref_n) AS int)"
+    touched = F.expr(f"explode(sequence({cell % 'below'}, {cell % '(upto - 1)'}))")
+    values = reference.where("n_ref > 0").select(
+        "feature", touched.alias("cell"), F.col("upto").alias("pos"), F.lit(1).alias("kind"),
+        F.struct("value", "integral").alias("found"),
+    )
+    asked = steps.withColumn("cell", F.expr(cell % "(rank - 1)")).withColumnRenamed("rank", "pos").withColumn("kind", F.lit(0))
+    order = W.partitionBy("feature", "cell").orderBy("pos", "kind").rowsBetween(0, W.unboundedFollowing)
+    both = asked.unionByName(values, True)
+    looked_up = both.withColumn("reached", F.first("found", ignorenulls=True).over(order)).where("kind = 0")
+    at = F.least(F.greatest("reached.value", "value"), "end")
+    integral = (
+        F.when(F.col("reached.value") <= F.col("value"), F.col("integral"))
+        .when(F.col("reached.value") >= F.col("end"), F.col("end_integral"))
+        .otherwise(F.col("reached.integral"))
+    )
+    return looked_up.withColumn("at", at).withColumn("at_integral", integral).drop("reached", "found", "cell")
 
 
 # Bands of the integration check as (upper limit, exclusive; label).

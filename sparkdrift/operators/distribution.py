@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparkdrift.functions.numeric import bin_edge, bin_index, clean_double
@@ -256,10 +257,10 @@ def with_cells(frame: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return placed.withColumn("cell", (F.col("__cut") * PARTS + inside).cast("int")).drop("cuts", "__cut", POSITION)
 
 
-def running_counts(counts: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+def running_counts(counts: DataFrame, keys: Sequence[str] = (), keep_cell: bool = False) -> DataFrame:
     """Empirical CDF counts per distinct value, the next larger value, and the group's sizes and limits.
 
-    A two-level prefix sum: windows run inside (group, cell); the much smaller table of cells is
+    ``keep_cell`` keeps the column ``cell`` for further sums along the values. A two-level prefix sum: windows run inside (group, cell); the much smaller table of cells is
     accumulated separately and added as offsets. No window spans the values of a whole feature.
     """
     group = group_keys(keys)
@@ -299,9 +300,23 @@ def running_counts(counts: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
         "coalesce(next_in_cell, next_cell_value) AS next_value",
         *SIZES,
         *LIMITS,
+        *(["cell"] if keep_cell else []),
     )
 
 
+def running_sum(celled: DataFrame, term: Column, name: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Add the sum of ``term`` over all smaller values of the group: inside cells, then over whole cells."""
+    group = group_keys(keys)
+    inside = W.partitionBy(*group, "cell").orderBy("value").rowsBetween(W.unboundedPreceding, -1)
+    earlier = W.partitionBy(*group).orderBy("cell").rowsBetween(W.unboundedPreceding, -1)
+    marked = celled.withColumn("__term", term)
+    cells = marked.groupBy(*group, "cell").agg(F.sum("__term").alias("__cell_sum"))
+    offsets = cells.select(*group, "cell", F.coalesce(F.sum("__cell_sum").over(earlier), F.lit(0.0)).alias("__before"))
+    local = marked.withColumn(name, F.coalesce(F.sum("__term").over(inside), F.lit(0.0)))
+    joined = null_safe_join(local, offsets, [*group, "cell"])
+    return joined.withColumn(name, F.col(name) + F.col("__before")).drop("__before", "__term")
+
+
 # Accuracy of the sketch that places brackets, half a bracket's width in ranks (four times the sketch's own
 # bound), and the size up to which a group is one bracket.
 ACCURACY = 20_000

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -44,3 +47,54 @@ def written(df: DataFrame) -> DataFrame:
     path = shared_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch(df: DataFrame) -> Iterator[DataFrame]:
+    """As ``written``, for readers that end inside the block: the folder is removed after it."""
+    path = shared_folder(df.sparkSession, "scratch")
+    try:
+        df.write.parquet(path)
+        yield df.sparkSession.read.schema(df.schema).parquet(path)
+    finally:
+        remove(df.sparkSession, path)
+
+
+def write_once(spark: SparkSession, path: str, text: str) -> bool:
+    """Publish a small text file by one rename; False when a file of that name is there already."""
+    fs, target = _file_system(spark, path)
+    draft = spark._jvm.org.apache.hadoop.fs.Path(target.getParent(), f".draft-{uuid.uuid4().hex}")
+    out = fs.create(draft)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration())
+    kind = getattr(spark._jvm.org.apache.hadoop.fs, "Options$Rename")
+    options = spark.sparkContext._gateway.new_array(kind, 1)
+    options[0] = kind.NONE
+    try:
+        context.rename(draft, target, options)
+        return True
+    except Py4JJavaError as error:
+        if "FileAlreadyExistsException" in error.java_exception.toString():
+            return False
+        raise
+    finally:
+        fs.delete(draft, False)
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """The content of a small text file."""
+    fs, target = _file_system(spark, path)
+    opened = fs.open(target)
+    try:
+        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(opened)).decode()
+    finally:
+        opened.close()
+
+
+def names(spark: SparkSession, path: str) -> list[str]:
+    """What a directory holds, in order; nothing when it is not there."""
+    fs, target = _file_system(spark, path)
+    return sorted(status.getPath().getName() for status in fs.listStatus(target)) if fs.exists(target) else []

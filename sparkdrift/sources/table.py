@@ -55,6 +55,7 @@ DECIMALS = {
     "surface_pressure": (7, 2),
     "cloud_cover": (5, 2),
 }
+LOCATION_KEY = ("latitude", "longitude")
 DATE = "dt"
 DATE_FORMAT = "%Y-%m-%d"
 RECENT_DAYS = 5
@@ -222,6 +223,38 @@ def read_range(
     return archived.unionByName(rest.join(usable.select(*kept).distinct(), kept, "left_anti"))
 
 
+# Which landing area's row of an hour is the last: the archive's, whatever landed when.
+SOURCE_RANK = "source_rank"
+
+
+def landed_range(
+    spark: SparkSession, path: str, start: str, end: str, location: Sequence[str] = LOCATION_KEY
+) -> DataFrame:
+    """All landed payloads of a date range from both areas, with the rank of their source.
+
+    For merging row by row: an upsert in the order of the rank takes the archive's row of a location and
+    hour where there is one and the recent one elsewhere. That needs to know the location, so a landing
+    area without the ``location`` columns is refused.
+    """
+    first, last = parse_range(start, end)
+    landed = spark.read.parquet(path)
+    missing = [c for c in location if c not in landed.columns]
+    if missing:
+        raise ValueError(f"payloads can't be told apart by location, missing columns: {missing}")
+    rank = F.when(F.col("source") == "archive", 1).otherwise(0)
+    return landed.where(F.col(DATE).between(F.lit(first.date()), F.lit(last.date()))).withColumn(SOURCE_RANK, rank)
+
+
+def unfit_columns(rows: DataFrame) -> Column:
+    """Names of the measures whose value does not fit the table's type."""
+    found = [
+        F.when(F.col(c).isNotNull() & F.col(c).try_cast(T.DecimalType(*ps)).isNull(), c)
+        for c, ps in DECIMALS.items()
+        if c in rows.columns
+    ]
+    return F.array_compact(F.array(*found)) if found else F.array().cast("array<string>")
+
+
 def append_conflicts(existing: DataFrame | None, incoming: DataFrame, key: Sequence[str]) -> DataFrame:
     """Keys that an append would duplicate, within the batch or against the table."""
     counted = incoming.groupBy(*key).agg(F.count(F.lit(1)).alias("incoming_rows"))

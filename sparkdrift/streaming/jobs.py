@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from sparkdrift.functions.numeric import clean_double
 from sparkdrift.operators.drift import psi_term
 from sparkdrift.operators.reference import profile_bins
+from sparkdrift.sources.snapshots import SnapshotTable
 from sparkdrift.sources.table import KEY, UPDATED_COLUMNS, upsert
 
 
@@ -29,17 +30,23 @@ def upsert_stream(
     order: Sequence[str] = ("updated_at",),
     continuous: str | None = None,
     arrival: Sequence[str] = (),
+    atomic: bool = False,
 ) -> StreamingQuery:
     """Upsert every micro-batch; replaying a batch after a failure gives the same table.
 
     ``order`` and the unstored ``arrival`` columns must put the rows of a key in one order.
 
     By default all available files are processed and the query stops, which suits a schedule;
-    ``continuous`` gives a trigger interval instead.
+    ``continuous`` gives a trigger interval instead. ``atomic`` keeps the table as snapshots, each
+    micro-batch being one commit that readers see whole or not at all.
     """
 
     def merge(batch: DataFrame, _batch_id: int) -> None:
-        if not batch.isEmpty():
+        if batch.isEmpty():
+            return
+        if atomic:
+            SnapshotTable(batch.sparkSession, table_path).upsert(batch, key, updated, order, arrival)
+        else:
             upsert(batch.sparkSession, table_path, batch, key, updated, order, arrival)
 
     writer = rows.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
