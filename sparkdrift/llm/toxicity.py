@@ -31,6 +31,8 @@ CLASSES = 64
 OFFSETS = [(a, b) for b in range(2, 5) for a in range(1, b)]
 DECAY = 0.8
 EMPTY_MARGIN = -2.0
+#: How far a word may be inside its margin without joining the working set: the size of rounding errors.
+SETTLED = 1e-4
 NEAR = -0.6
 #: Stands before runs of letters where they are counted beside words; no word has it.
 PART = "\x00"
@@ -46,8 +48,9 @@ class Setting:
     """Bounds of the training sample, and the machine's size.
 
     The machine is fitted on at most ``toxic_rows`` and ``clean_rows`` labelled texts, taken by a hash of
-    their id, and on ``words`` words of these: half the most frequent ones, half those with the largest
-    excess in toxic texts. Words with a likelihood ratio statistic above ``hint``, or half the largest
+    their id, and on all words of these. It starts from ``words`` of them, half the most frequent ones, half
+    those with the largest excess in toxic texts, and takes in the others until none is on the wrong side of
+    its margin: the rest would not change it. Words with a likelihood ratio statistic above ``hint``, or half the largest
     one if that is less, start as toxic examples.
     Scoring reads everything.
     """
@@ -217,6 +220,60 @@ def squared_hinge(
     return w
 
 
+class Machine:
+    """The machine while it is fitted: its weights, and the features of the words it works on.
+
+    ``solve`` minimises the loss over all words. Words that are on the right side of their margin add nothing
+    to it, so the weights are found for the working set, all words are looked at, those on the wrong side
+    join the set, and this goes on until none does. Only the working set's features are held.
+    """
+
+    def __init__(self, words: list[str], marks: Landmarks, root: np.ndarray, ridge: float):
+        self.words, self.marks, self.root = words, marks, root
+        self.norms = np.concatenate([norms(words[at : at + 20_000]) for at in range(0, len(words), 20_000)])
+        self.place = np.full(len(words), -1, np.int64)
+        self.members = np.zeros(0, np.int64)
+        self.mapped = np.zeros((0, root.shape[1] + 1), np.float32)
+        self.w = np.zeros(root.shape[1] + 1)
+        self.ridge = ridge * np.eye(len(self.w))
+        self.ridge[-1, -1] = 1e-6
+
+    def features(self, words: list[str]) -> np.ndarray:
+        out = np.ones((len(words), len(self.w)), np.float32)
+        out[:, :-1] = self.marks.kernel(words) @ self.root.astype(np.float32)
+        return out
+
+    def take(self, rows: np.ndarray) -> int:
+        """Add words to the working set; how many are new."""
+        fresh = rows[self.place[rows] < 0]
+        self.place[fresh] = np.arange(len(self.members), len(self.members) + len(fresh))
+        self.members = np.concatenate([self.members, fresh])
+        self.mapped = np.vstack([self.mapped, self.features([self.words[i] for i in fresh])])
+        return len(fresh)
+
+    def values(self) -> np.ndarray:
+        """The margin of every word, by one weight per subsequence."""
+        weights, out = self.marks.fold(self.root @ self.w[:-1]), np.zeros(len(self.words))
+        for at in range(0, len(self.words), 20_000):
+            part = self.words[at : at + 20_000]
+            for ids, owner, weight in subsequences(part):
+                out[at : at + 20_000] += weight * np.bincount(owner, weights[ids], len(part))
+        return out / self.norms + self.w[-1]
+
+    def solve(self, toxic: np.ndarray, clean: np.ndarray, extra: list[str] = (), extra_toxic: np.ndarray | None = None) -> np.ndarray:
+        """Fit to words that count so much on each side, and to extra toxic ones; all words' margins."""
+        more = self.features(list(extra))
+        more_toxic = np.zeros(0) if extra_toxic is None else extra_toxic
+        while True:
+            up, down = np.r_[toxic[self.members], more_toxic], np.r_[clean[self.members], np.zeros(len(more))]
+            rows = np.vstack([self.mapped, more]) if len(more) else self.mapped
+            self.w = squared_hinge(rows, up, down, self.w, self.ridge)
+            value = self.values()
+            wrong = ((toxic > 0) & (value < 1 - SETTLED)) | ((clean > 0) & (value > -1 + SETTLED))
+            if not self.take(np.flatnonzero(wrong)):
+                return value
+
+
 def surplus(toxic: np.ndarray, clean: np.ndarray, share: float) -> np.ndarray:
     """Likelihood ratio statistic of occurring in toxic texts more often than their ``share`` of texts.
 
@@ -285,31 +342,26 @@ def fit(
     values, vectors = np.linalg.eigh((among + among.T) / 2)
     good = values > 1e-3 * values.max()
     root = vectors[:, good] / np.sqrt(values[good])
-    mapped = np.ones((len(words), root.shape[1] + 1), np.float32)
-    mapped[:, :-1] = marks.kernel(words) @ root.astype(np.float32)
+    machine = Machine(words, marks, root, setting.ridge)
+    machine.take(np.argsort(-(toxic + clean), kind="stable")[: setting.words // 2])
+    machine.take(np.argsort(clean * texts[0] - toxic * texts[1], kind="stable")[: setting.words // 2])
     first = typical & (hint > min(setting.hint, hint.max() / 2))
     weight_toxic, weight_clean = np.where(first, np.sqrt(toxic), 0.0), np.sqrt(clean)
     if not weight_toxic.any():
         weight_toxic = np.sqrt(toxic)
-    ridge = setting.ridge * np.eye(mapped.shape[1])
-    ridge[-1, -1] = 1e-6
-    w = np.zeros(mapped.shape[1])
     for _ in range(setting.rounds):
-        w = squared_hinge(mapped, weight_toxic, weight_clean, w, ridge)
-        witness = (mapped @ w > 0) & typical
+        value = machine.solve(weight_toxic, weight_clean)
+        witness = (value > 0) & typical
         if not witness.any():
             break
         weight_toxic = np.where(witness, np.sqrt(toxic), 0.0)
     own = np.where(typical, surplus(toxic, clean, share), 0.0)
-    sure = np.flatnonzero((mapped @ w > 0) & typical & (own > 0) & (own >= own.max() / 4))
+    sure = np.flatnonzero((value > 0) & typical & (own > 0) & (own >= own.max() / 4))
     known = set(words)
     extra = {v: np.sqrt(toxic[i]) for i in sure for v in variants(words[i]) if v not in known}
     if extra:
-        shown = np.ones((len(extra), mapped.shape[1]), np.float32)
-        shown[:, :-1] = marks.kernel(list(extra)) @ root.astype(np.float32)
-        both = np.vstack([mapped, shown])
-        weight_toxic = np.r_[weight_toxic, np.fromiter(extra.values(), float, len(extra))]
-        w = squared_hinge(both, weight_toxic, np.r_[weight_clean, np.zeros(len(extra))], w, ridge)
+        machine.solve(weight_toxic, weight_clean, list(extra), np.fromiter(extra.values(), float, len(extra)))
+    w = machine.w
     insults = (*(words[i] for i in sure), *extra)
     return Model(marks.fold(root @ w[:-1]), float(w[-1]), insults=insults)
 
@@ -421,13 +473,8 @@ def train(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, s
         .groupBy("word")
         .agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     )
-    is_part = F.col("word").startswith(PART)
-    excess = F.col("toxic") * texts[1] - F.col("clean") * texts[0]
-    chosen = [
-        counted.where(narrow).orderBy(F.desc(order), "word").limit(setting.words // 2)
-        for narrow, order in ((~is_part, F.col("toxic") + F.col("clean")), (~is_part, excess), (is_part, excess))
-    ]
-    rows = chosen[0].union(chosen[1]).union(chosen[2]).distinct().orderBy("word").toPandas()
+    # All words and runs of letters of the sample, whose rows are bounded.
+    rows = counted.orderBy("word").toPandas()
     pairs = zip(rows["toxic"].tolist(), rows["clean"].tolist())
     counts = {name.removeprefix(PART): pair for name, pair in zip(rows["word"].tolist(), pairs)}
     words = [w for w in rows["word"].tolist() if not w.startswith(PART)]
