@@ -36,14 +36,16 @@ class Setting:
     memory; ``radixes`` runs are written for it. A heap merges ``fan_in`` chunks' runs of a radix. A task
     that gives counts back reads about ``group_bytes`` of runs, one run at a time."""
 
-    chunk_chars: int = 8_000_000
+    chunk_chars: int = 4_000_000
     radixes: int = 16
     fan_in: int = 64
     group_bytes: int = 256_000_000
 
 
-#: Units whose tokens are kept by a task, and the longest of them in characters.
-CACHED_UNITS, CACHED_CHARS = 150_000, 40
+#: Units whose tokens a task keeps, and their characters together, before its table starts anew.
+CACHED_UNITS, CACHED_CHARS = 250_000, 8_000_000
+#: Characters encoded by one call.
+CALL_CHARS = 4_000
 #: White space for either tokenizer, then a space: no place to cut a text.
 NO_CUT = re.compile(r"\s ")
 CUT = re.compile(r"(?<=\S)(?= )")
@@ -94,6 +96,9 @@ class Units:
             raise ValueError("a piece of the B side goes on with a space; units would not be independent")
         self.a_size = np.array([len(x) for x in self.a_bytes], np.int64)
         self.b_size = np.array([len(x) for x in self.b_bytes], np.int64)
+        # Ids as text with what follows them: inside a group, at its end, at the end of a unit.
+        self.a_shown = [shown_ids(len(self.a_bytes), end) for end in ",|"]
+        self.b_shown = [shown_ids(len(self.b_bytes), end) for end in ",;\n"]
         self.clear()
 
     @classmethod
@@ -104,41 +109,62 @@ class Units:
 
     def clear(self) -> None:
         self.number: dict[str, int] = {}
-        self.shown: list[bytes] = []  # groups as text
+        self.chars = 0
+        self.shown: list[str] = []  # groups as text
         self.counts = np.zeros((0, 4), np.int64)  # A tokens, B tokens, groups, whether both sides spell the unit
         self.pairs = np.zeros(0, np.uint64)  # links, A id above, B id below
         self.starts = np.zeros(1, np.int64)
 
-    def aligned(self, units: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    def coded(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(A ids, B ids, whether both sides spell each unit) of units one after another.
+
+        Units are encoded many to a call: put together they are cut in the same places again. If a side does
+        not spell the bytes, its units are looked at one by one, and those that it does not spell have no ids.
+        """
+        joined = "".join(units)
+        a = self.a.encode(joined, add_special_tokens=False).ids
+        b = self.b.encode(joined[1:])
+        raw = joined.encode()
+        if b"".join([self.a_bytes[x] for x in a]) == raw and b"".join([self.b_bytes[x] for x in b]) == raw:
+            return np.array(a, np.int64), np.array(b, np.int64), np.ones(len(units), bool)
+        if len(units) == 1:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1, bool)
+        parts = [self.coded([u]) for u in units]
+        return tuple(np.concatenate([p[k] for p in parts]) for k in range(3))
+
+    def aligned(self, units: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
         """(groups as text, counts, links, number of links) of units."""
-        coded_a = [x.ids for x in self.a.encode_batch(units, add_special_tokens=False)]
-        coded_b = self.b.encode([u[1:] for u in units], num_threads=1)
-        a_bytes, b_bytes = self.a_bytes, self.b_bytes
-        spelt = np.ones(len(units), bool)
-        for i, (unit, a, b) in enumerate(zip(units, coded_a, coded_b)):
-            raw = unit.encode("utf-8", "surrogatepass")
-            if b"".join([a_bytes[x] for x in a]) != raw or b"".join([b_bytes[x] for x in b]) != raw:
-                spelt[i] = False
-                coded_a[i] = coded_b[i] = []
-        n_a = np.fromiter(map(len, coded_a), np.int64, len(units))
-        n_b = np.fromiter(map(len, coded_b), np.int64, len(units))
-        a = np.fromiter((x for ids in coded_a for x in ids), np.int64, int(n_a.sum()))
-        b = np.fromiter((x for ids in coded_b for x in ids), np.int64, int(n_b.sum()))
+        parts = [self.coded(call) for call in calls(units)]
+        a, b, spelt = (np.concatenate([p[k] for p in parts]) for k in range(3))
+        sizes = np.fromiter((len(u.encode()) for u in units), np.int64, len(units)) * spelt
+        unit_end = np.cumsum(sizes)
         a_end, b_end = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
         # Links: the B tokens that start before an A token ends and end after it starts.
         first = np.searchsorted(b_end, a_end - self.a_size[a], "right")
         links = np.searchsorted(b_end - self.b_size[b], a_end, "left") - first
         pairs = (np.repeat(a, links).astype(np.uint64) << np.uint64(32)) | b[places(first, links)].astype(np.uint64)
-        unit_a, unit_b = np.repeat(np.arange(len(units)), n_a), np.repeat(np.arange(len(units)), n_b)
-        n_links = np.bincount(np.repeat(unit_a, links), minlength=len(units))
+        unit_a, unit_b = np.searchsorted(unit_end, a_end), np.searchsorted(unit_end, b_end)
+        n_links = np.bincount(unit_a, links, len(units)).astype(np.int64)
         a_cuts, b_cuts = np.isin(a_end, b_end), np.isin(b_end, a_end)
         n_groups = np.bincount(unit_a[a_cuts], minlength=len(units))
-        shown = grouped_text(a, a_cuts, b, b_cuts, n_groups)
-        return shown, np.stack([n_a, n_b, n_groups, spelt], axis=1), pairs, n_links
+        n_a, n_b = (np.bincount(unit, minlength=len(units)) for unit in (unit_a, unit_b))
+        shown = iter(self.grouped_text(a, a_cuts, b, b_cuts, np.isin(b_end, unit_end)))
+        return [next(shown) if ok else "" for ok in spelt], np.stack([n_a, n_b, n_groups, spelt], axis=1), pairs, n_links
+
+    def grouped_text(self, a: np.ndarray, a_cuts: np.ndarray, b: np.ndarray, b_cuts: np.ndarray, last: np.ndarray) -> list[str]:
+        """Per unit its groups as ``a1,a2|b1;a3|b2``; a token belongs to the group of the next common end."""
+        group_a, group_b = np.cumsum(a_cuts) - a_cuts, np.cumsum(b_cuts) - b_cuts
+        out = np.empty(len(a) + len(b), object)
+        # A's tokens come after B's of earlier groups, B's after A's of the same and earlier groups.
+        out[np.arange(len(a)) + np.searchsorted(group_b, group_a, "left")] = np.where(a_cuts, self.a_shown[1][a], self.a_shown[0][a])
+        ends = np.where(last, self.b_shown[2][b], np.where(b_cuts, self.b_shown[1][b], self.b_shown[0][b]))
+        out[np.arange(len(b)) + np.searchsorted(group_a, group_b, "right")] = ends
+        return "".join(out.tolist()).split("\n")[:-1]
 
     def learn(self, units: list[str]) -> None:
         shown, counts, pairs, n_links = self.aligned(units)
         self.number.update(zip(units, range(len(self.shown), len(self.shown) + len(units))))
+        self.chars += sum(map(len, units))
         self.shown += shown
         self.counts = np.concatenate([self.counts, counts])
         self.pairs = np.concatenate([self.pairs, pairs])
@@ -146,37 +172,43 @@ class Units:
 
     def documents(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, bytes, np.ndarray]]:
         """(counts, groups as text, links) of each text; nothing where a side doesn't spell it."""
-        rows = [units_of(text) for text in texts]
-        if len(self.number) > CACHED_UNITS:
+        if len(self.number) > CACHED_UNITS or self.chars > CACHED_CHARS:
             self.clear()
-        fresh = list({u for row in rows for u in row if u not in self.number and len(u) <= CACHED_CHARS})
+        rows = [units_of(text) for text in texts]
+        fresh = set().union(*rows) - self.number.keys()
         if fresh:
-            self.learn(fresh)
+            self.learn(list(fresh))
         nothing = np.zeros(3, np.int64), b"", np.zeros(0, np.uint64)
         for row in rows:
             if not row:
                 yield nothing
                 continue
-            if any(len(u) > CACHED_CHARS for u in row):
-                shown, counts, pairs, _ = self.once(row)
-            else:
-                at = np.fromiter(map(self.number.__getitem__, row), np.int64, len(row))
-                shown, counts = [self.shown[i] for i in at], self.counts[at]
-                pairs = self.pairs[places(self.starts[at], self.starts[at + 1] - self.starts[at])]
-            yield (counts[:, :3].sum(axis=0), b";".join(shown), pairs) if counts[:, 3].all() else nothing
-
-    def once(self, row: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
-        """As ``aligned``, for a text with long units: short ones from the table."""
-        parts = []
-        for long, run in groupby(row, lambda u: len(u) > CACHED_CHARS):
-            units = list(run)
-            if long:
-                parts.append(self.aligned(units))
+            numbers = list(map(self.number.__getitem__, row))
+            at = np.array(numbers, np.int64)
+            counts = self.counts[at].sum(axis=0)
+            if counts[3] < len(row):
+                yield nothing
                 continue
-            at = np.fromiter(map(self.number.__getitem__, units), np.int64, len(units))
-            sizes = self.starts[at + 1] - self.starts[at]
-            parts.append(([self.shown[i] for i in at], self.counts[at], self.pairs[places(self.starts[at], sizes)], sizes))
-        return [s for p in parts for s in p[0]], *(np.concatenate([p[k] for p in parts]) for k in (1, 2, 3))
+            shown = self.shown
+            pairs = self.pairs[places(self.starts[at], self.starts[at + 1] - self.starts[at])]
+            yield counts[:3], ";".join([shown[i] for i in numbers]).encode(), pairs
+
+
+def shown_ids(size: int, end: str) -> np.ndarray:
+    return np.array([f"{i}{end}" for i in range(size)], object)
+
+
+def calls(units: list[str]) -> Iterator[list[str]]:
+    """Units to encode together; one that ends with white space is last in its call."""
+    call, size = [], 0
+    for unit in units:
+        call.append(unit)
+        size += len(unit)
+        if size > CALL_CHARS or unit[-1].isspace():
+            yield call
+            call, size = [], 0
+    if call:
+        yield call
 
 
 def units_of(text: str | None) -> list[str]:
@@ -192,19 +224,6 @@ def units_of(text: str | None) -> list[str]:
     return units
 
 
-def grouped_text(a: np.ndarray, a_cuts: np.ndarray, b: np.ndarray, b_cuts: np.ndarray, n_groups: np.ndarray) -> list[bytes]:
-    """Per unit its groups as ``a1,a2|b1;a3|b2``; every token belongs to the group of the next common end."""
-
-    def sides(ids: np.ndarray, cuts: np.ndarray) -> list[str]:
-        ends = np.flatnonzero(cuts) + 1
-        texts = ids.astype(str).tolist()
-        return [",".join(texts[s:e]) for s, e in zip([0, *ends[:-1].tolist()], ends.tolist())]
-
-    groups = [f"{x}|{y}" for x, y in zip(sides(a, a_cuts), sides(b, b_cuts))]
-    ends = np.cumsum(n_groups).tolist()
-    return [";".join(groups[s:e]).encode() for s, e in zip([0, *ends[:-1]], ends)]
-
-
 def encoded(docs: DataFrame, key: str, text: str, a_path: str, b_path: str, setting: Setting) -> DataFrame:
     """Document rows, and the runs of each chunk: rows with a radix.
 
