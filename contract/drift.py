@@ -151,6 +151,27 @@ def _(spark, sf):
     return T.chi_square_test(li_sample(spark, sf), bins=9)
 
 
+_TAIL_SQL = """CASE WHEN (n_cells - 1) % 2 = 0 THEN
+    (SELECT sum(exp(i * ln(h) - lgamma(i + 1.0) - h)) FROM (SELECT unnest(range(0, 200)) AS i) WHERE i < (n_cells - 1) // 2)
+  ELSE 1 - (SELECT sum(exp((i + 0.5) * ln(h) - lgamma(i + 1.5) - h)) FROM (SELECT unnest(range(0, 400)) AS i))
+    + (SELECT sum(exp((i - 0.5) * ln(h) - lgamma(i + 0.5) - h)) FROM (SELECT unnest(range(1, 200)) AS i)
+       WHERE i <= (n_cells - 2) // 2) END"""
+_DEFAULT_CELLS_SQL = f"""SELECT feature, CASE WHEN feature IN ('l_discount', 'l_tax') THEN value ELSE {bin_sql(10)} END AS cell,
+          count(*) FILTER (WHERE is_ref) AS o_r, count(*) FILTER (WHERE NOT is_ref) AS o_c
+   FROM long JOIN lim USING (feature) GROUP BY ALL"""
+
+
+# Ten bins have an odd number of degrees, whose tail needs the error function: a series here.
+@query(
+    "chi_square_default",
+    "feature:s n_cells:i chi2_statistic:f6 chi2_p_value:f6 categorical:b",
+    f"""SELECT feature, n_cells, chi2_statistic, {_TAIL_SQL} AS chi2_p_value, feature IN ('l_discount', 'l_tax') AS categorical
+FROM (SELECT feature, n_cells, chi2_statistic, chi2_statistic / 2 AS h FROM ({_chi2_sql(_DEFAULT_CELLS_SQL)}))""",
+)
+def _(spark, sf):
+    return T.chi_square_test(li_sample(spark, sf))
+
+
 @query(
     "detect_method",
     "feature:s method:s statistic:f6 threshold:f6 drift_detected:b interpretation:s",
@@ -339,6 +360,27 @@ def _(spark, sf):
     return newest_first(metadata)
 
 
+@query(
+    "list_references_all",
+    "reference_name:s total_samples:i n_features:i features:s status:s",
+    f"""SELECT 'ref_' || l_linestatus AS reference_name, count({FEATURES[0]}) AS total_samples,
+  {len(FEATURES)} AS n_features, '{",".join(FEATURES)}' AS features, l_linestatus AS status
+FROM lineitem GROUP BY l_linestatus""",
+)
+def _(spark, sf):
+    store, frame = ReferenceStore(spark, shared_dir(spark)), lineitem(spark, sf)
+    # Each status becomes a reference of its own; there are as many as references are wanted.
+    for (status,) in frame.select("l_linestatus").distinct().toLocalIterator():
+        rows = frame.where(F.col("l_linestatus") == status)
+        store.save(f"ref_{status}", create_profile(rows, FEATURES), FEATURES, metadata={"status": status})
+    store.save("obsolete", create_profile(frame, FEATURES[:1]), FEATURES[:1])
+    store.delete("obsolete")
+    return store.list().select(
+        "reference_name", "total_samples", "n_features", F.array_join("features", ",").alias("features"),
+        F.col("info")["status"].alias("status"),
+    )
+
+
 @query(
     "reference_metadata",
     "reference_name:s total_samples:i n_features:i origin:s",

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from contract.registry import query
 from contract.series import TRAINING
 from contract.series import _ALL as ALL_FEATURES
-from contract.views import OBS_FEATURES, SERIES, lineitem, obs_dense
+from contract.views import OBS_FEATURES, SERIES, events, lineitem, obs_dense
 from sparkdrift.config import TrainingConfig
 from sparkdrift.operators import metrics as M
 from sparkdrift.operators import registry as R
@@ -62,6 +62,18 @@ def _(spark, sf):
     return parts[0].unionByName(parts[1])
 
 
+@query(
+    "metrics_by_hour",
+    "period:t n_samples:i mean_residual:f4 std_residual:f4 rmse:f4 mae:f4 r2:f6 mape:f6",
+    f"""WITH pred AS (SELECT ts, floor(value) + 1 AS y, event_id % 50 AS p, floor(value) + 1 - event_id % 50 AS r FROM events)
+SELECT date_trunc('hour', ts) AS period, avg(r) AS mean_residual, stddev_samp(r) AS std_residual, {_METRICS_SQL}
+FROM pred GROUP BY period HAVING count(*) >= 2""",
+)
+def _(spark, sf):
+    pred = events(spark, sf).select("ts", (F.floor("value") + 1).alias("y"), (F.col("event_id") % 50).alias("p"))
+    return M.metrics_by_period(pred, "y", "p", "ts", "H")
+
+
 @query(
     "residual_report",
     "n_samples:i rmse:f4 mae:f4 r2:f6 mape:f6 residual_mean:f4 residual_std:f4 residual_min:f4 "

@@ -13,6 +13,7 @@ from sparkdrift.config import SEVERITIES, SEVERITY_SCORES, DriftConfig
 from sparkdrift.functions.ks_exact import ks_p_value
 from sparkdrift.functions.numeric import bin_index
 from sparkdrift.operators.distribution import (
+    attach_groups,
     bounds,
     group_keys,
     running_counts,
@@ -71,6 +72,21 @@ def current_stats(current_long: DataFrame, keys: Sequence[str] = ()) -> DataFram
     )
 
 
+def folded_stats(counts: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """The same from folded rows: deviations are taken from the mean, which a first pass finds."""
+    group = group_keys(keys)
+    present = counts.where(F.col("n_cur") > 0)
+    sums = present.groupBy(*group).agg(
+        F.sum("n_cur").alias("__n"), (F.sum(F.col("value") * F.col("n_cur")) / F.sum("n_cur")).alias("current_mean")
+    )
+    off = F.col("value") - F.col("current_mean")
+    squares = attach_groups(present, sums, keys).groupBy(*group, "__n", "current_mean").agg(
+        F.sum(off * off * F.col("n_cur")).alias("__squares")
+    )
+    spread = F.when(F.col("__n") > 1, F.sqrt(F.col("__squares") / (F.col("__n") - 1))).otherwise(0.0)
+    return squares.select(*group, "current_mean", spread.alias("current_std"))
+
+
 def combined_counts(values: DataFrame, current_long: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Folded long frame of stored reference values and current rows."""
     stored = values.select(
@@ -101,14 +117,17 @@ def feature_drift(
         tests = profile_only_tests(profile, current_long, keys=keys)
         p = ks_p_value("ks_statistic", "cur_n", "cur_n", p_mode)
         tests = tests.withColumn("ks_p_value", p).drop("cur_n")
+        stats = current_stats(current_long, keys)
     else:
-        counts = combined_counts(values.where(F.col("feature").isin(*features)), current_long, keys)
+        # Everything about the current rows follows from one fold of both sides, which is written once.
+        counts = written(combined_counts(values.where(F.col("feature").isin(*features)), current_long, keys))
+        stats = folded_stats(counts, keys)
         limits = bounds(counts, keys).where((F.col("ref_n") > 0) & (F.col("cur_n") > 0))
         tests = null_safe_join(
             histogram_tests(counts, limits, keys=keys), cdf_tests(counts, keys, p_mode), group
         )
     joined = null_safe_join(
-        null_safe_join(tests, current_stats(current_long, keys), group),
+        null_safe_join(tests, stats, group),
         profile.select(
             *group,
             "n_samples",

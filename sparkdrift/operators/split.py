@@ -13,11 +13,9 @@ from sparkdrift.functions.timeparts import epoch_us
 from sparkdrift.operators.frames import require_columns
 from sparkdrift.operators.transform import DEFAULT_ZONE, add_calendar
 from sparkdrift.operators.windows import (
-    ROW,
     Series,
-    add_lags_and_rolling,
-    fill_features,
-    future_max,
+    Target,
+    filled_features,
 )
 
 
@@ -40,18 +38,28 @@ def build_features(
     keep_position: bool = False,
 ) -> DataFrame:
     """Calendar, lag and rolling features of the unfilled measures, then forward fill."""
-    calendar = add_calendar(df, series.time, tz)
-    lagged = [c for c in config.lag_columns if c in df.columns]
-    rolled = [c for c in config.rolling_columns if c in df.columns]
-    widened = add_lags_and_rolling(
-        calendar, series, lagged, config.lags, rolled, config.windows, keep_position=True
+    return _features(df, series, config, tz, None, keep_position)
+
+
+def _features(
+    df: DataFrame, series: Series, config: FeatureConfig, tz: str | None, target: Target | None, keep_position: bool = False
+) -> DataFrame:
+    """All features, and the target if one is asked for, from one cut of the rows into chunks."""
+
+    def fillable(widened: DataFrame) -> list[str]:
+        return [c for c in numeric_columns(widened, config) if c not in series.keys and c not in series.tie]
+
+    return filled_features(
+        add_calendar(df, series.time, tz),
+        series,
+        [c for c in config.lag_columns if c in df.columns],
+        config.lags,
+        [c for c in config.rolling_columns if c in df.columns],
+        config.windows,
+        fillable,
+        target,
+        keep_position,
     )
-    numeric = [
-        c
-        for c in numeric_columns(widened, config)
-        if c != ROW and c not in series.keys and c not in series.tie
-    ]
-    return fill_features(widened, numeric, series, keep_position)
 
 
 def build_training_frame(
@@ -62,8 +70,7 @@ def build_training_frame(
 ) -> DataFrame:
     """Features plus the look-ahead target on the filled measure; incomplete rows are dropped."""
     require_columns(df, [config.target_source])
-    features = build_features(df, series, config, tz, keep_position=True)
-    return future_max(features, config.target_source, series, config.horizon, config.target)
+    return _features(df, series, config, tz, Target(config.target_source, config.target, config.horizon))
 
 
 def numeric_columns(df: DataFrame, config: FeatureConfig = FeatureConfig()) -> list[str]:

@@ -220,43 +220,134 @@ def future_max_lenient(
     return future_max(df, column, series, horizon, target, min_rows=1, drop_incomplete=False)
 
 
-def forward_fill(
-    df: DataFrame, columns: Sequence[str], series: Series, keep_position: bool = False
-) -> DataFrame:
-    """Replace NULL by the last earlier value of the series.
+def carried_values(known: DataFrame, keys: Sequence[str], cell: str, columns: Sequence[str]) -> DataFrame:
+    """``__carry_<column>`` per cell: the last value known in earlier cells of the series.
 
-    Chunks are filled on their own; the last value of every chunk travels to later chunks through a
-    small table with one row per chunk.
+    ``known`` has ``__last_<column>`` per cell. Two levels, cells inside a span and then the spans of a
+    series, so that no task walks all cells.
     """
-    rows = in_chunks(df, series, 0, 0)
-    w = chunk_window(series).rowsBetween(W.unboundedPreceding, 0)
-    cell = [*series.keys, CHUNK]
-    span = F.floor(F.col(CHUNK) / SPAN).alias("__span")
-    last_known = rows.groupBy(*cell).agg(
-        *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(ROW))).alias(f"__last_{c}") for c in columns]
-    ).select("*", span)
-    # Two levels: chunks inside a span, then spans of a series, so that no task walks all chunks.
-    before = W.partitionBy(*series.keys, "__span").orderBy(CHUNK).rowsBetween(W.unboundedPreceding, -1)
-    in_span = last_known.select(
-        *cell,
+    spanned = known.withColumn("__span", F.floor(F.col(cell) / SPAN))
+    before = W.partitionBy(*keys, "__span").orderBy(cell).rowsBetween(W.unboundedPreceding, -1)
+    in_span = spanned.select(
+        *keys,
+        cell,
         "__span",
         *[F.last(f"__last_{c}", ignorenulls=True).over(before).alias(f"__near_{c}") for c in columns],
     )
-    per_span = last_known.groupBy(*series.keys, "__span").agg(
+    per_span = spanned.groupBy(*keys, "__span").agg(
         *[
-            F.max_by(f"__last_{c}", F.when(F.col(f"__last_{c}").isNotNull(), F.col(CHUNK))).alias(f"__last_{c}")
+            F.max_by(f"__last_{c}", F.when(F.col(f"__last_{c}").isNotNull(), F.col(cell))).alias(f"__last_{c}")
             for c in columns
         ]
     )
-    spans = W.partitionBy(*series.keys).orderBy("__span").rowsBetween(W.unboundedPreceding, -1)
+    spans = W.partitionBy(*keys).orderBy("__span").rowsBetween(W.unboundedPreceding, -1)
     far = per_span.select(
-        *series.keys,
+        *keys,
         "__span",
         *[F.last(f"__last_{c}", ignorenulls=True).over(spans).alias(f"__far_{c}") for c in columns],
     )
-    carried = null_safe_join(in_span, far, [*series.keys, "__span"]).select(
-        *cell, *[F.coalesce(f"__near_{c}", f"__far_{c}").alias(f"__carry_{c}") for c in columns]
+    return null_safe_join(in_span, far, [*keys, "__span"]).select(
+        *keys, cell, *[F.coalesce(f"__near_{c}", f"__far_{c}").alias(f"__carry_{c}") for c in columns]
     )
+
+
+def last_known(rows: DataFrame, keys: Sequence[str], cell: str, columns: Sequence[str]) -> DataFrame:
+    """``__last_<column>`` per cell: the value of the last row that has one."""
+    return rows.groupBy(*keys, cell).agg(
+        *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(ROW))).alias(f"__last_{c}") for c in columns]
+    )
+
+
+@dataclass(frozen=True)
+class Target:
+    """Maximum of ``source`` over the next ``horizon`` rows, of which ``min_rows`` must exist (half of them)."""
+
+    source: str
+    name: str
+    horizon: int = 24
+    min_rows: int | None = None
+
+
+def filled_features(
+    df: DataFrame,
+    series: Series,
+    columns: Sequence[str],
+    lags: Sequence[int],
+    rolling: Sequence[str],
+    windows: Sequence[int],
+    fillable: Callable[[DataFrame], Sequence[str]],
+    target: Target | None = None,
+    keep_position: bool = False,
+) -> DataFrame:
+    """Lags and rolling statistics of the unfilled columns, forward fill, and a target on the filled column,
+    from one cut of the rows into chunks.
+
+    The same as adding lags, filling and looking ahead one after another, but a chunk borrows its neighbours'
+    rows once, for all of it. Each chunk starts with one more row that holds the last values known before
+    the rows it borrows; filling is local then. A filled lag is the lag of the filled column. Where a whole
+    rolling frame is missing, the last mean, minimum and maximum were those of the last value alone, so the
+    filled column stands in; missing deviations are 0. ``fillable`` names the columns of the widened frame
+    that are filled; rows without a target are dropped.
+    """
+    reach = max([*lags, *[size - 1 for size in windows], 0])
+    after = target.horizon if target else 0
+    size = _chunk_size(series, max(reach, after))
+    numbered = number_rows(df, series)
+    rows = in_chunks(numbered, series, reach, after)
+    w = chunk_window(series)
+    raw = lag_columns(w, columns, lags) | rolling_columns(w, rolling, windows)
+    base = [c for c in df.columns if c not in raw and c != ROW]
+    filled = set(fillable(rows.select(*base, *[c.alias(n) for n, c in raw.items()])))
+    sources = list(dict.fromkeys([*[c for c in base if c in filled], *columns, *rolling]))
+    cell = "__cell"
+    shifted = numbered.withColumn(cell, F.floor((F.col(ROW) + reach) / size).cast("long"))
+    carried = carried_values(last_known(shifted, series.keys, cell, sources), series.keys, cell, sources)
+    starts = carried.where(F.col(cell) > 0).select(
+        *series.keys,
+        F.col(cell).alias(CHUNK),
+        F.lit(-1).cast("long").alias(ROW),
+        F.lit(False).alias(HOME),
+        *[F.col(f"__carry_{c}").alias(c) for c in sources if c not in series.keys],
+    )
+    so_far = w.rowsBetween(W.unboundedPreceding, 0)
+    known = [F.last(c, ignorenulls=True).over(so_far).alias(f"__fill_{c}") for c in sources]
+    # Both steps use the same window: one exchange and one sort for all of them.
+    first = rows.unionByName(starts, True).select("*", *known, *[c.alias(f"__raw_{n}") for n, c in raw.items()])
+    out: dict[str, Column] = {c: F.col(f"__fill_{c}") if c in filled else F.col(c) for c in base}
+    source_of = {f"{c}_lag_{n}h": F.lag(f"__fill_{c}", n).over(w) for c in columns for n in lags}
+    for name in raw:
+        value = F.col(f"__raw_{name}")
+        if name not in filled:
+            out[name] = value
+        elif name in source_of:
+            out[name] = source_of[name]
+        elif "_rolling_std_" in name:
+            out[name] = F.coalesce(value, F.lit(0.0))
+        else:
+            out[name] = F.coalesce(value, F.col(f"__fill_{name[: name.rindex('_rolling_')]}"))
+    if target:
+        ahead = w.rowsBetween(1, target.horizon)
+        needed = target.horizon // 2 if target.min_rows is None else target.min_rows
+        looked = f"__fill_{target.source}" if target.source in filled else target.source
+        out[target.name] = F.when(F.count(F.lit(1)).over(ahead) >= needed, F.max(looked).over(ahead))
+    position = [F.col(ROW)] if keep_position else []
+    done = first.select(HOME, *[c.alias(n) for n, c in out.items()], *position).where(HOME).drop(HOME)
+    return done.where(F.col(target.name).isNotNull()) if target else done
+
+
+def forward_fill(
+    df: DataFrame, columns: Sequence[str], series: Series, keep_position: bool = False
+) -> DataFrame:
+    """Replace NULL by the last earlier value of the series.
+
+    Chunks are filled on their own; the last value of every chunk travels to later chunks through a
+    small table with one row per chunk.
+    """
+    rows = in_chunks(df, series, 0, 0)
+    w = chunk_window(series).rowsBetween(W.unboundedPreceding, 0)
+    cell = [*series.keys, CHUNK]
+    span = F.floor(F.col(CHUNK) / SPAN).alias("__span")
+    carried = carried_values(last_known(rows, series.keys, CHUNK, columns), series.keys, CHUNK, columns)
     local = rows.select(
         *[c for c in rows.columns if c not in columns],
         *[F.last(c, ignorenulls=True).over(w).alias(c) for c in columns],

@@ -23,7 +23,7 @@ from sparkdrift.operators.split import (
 from sparkdrift.operators.transform import DEFAULT_ZONE
 from sparkdrift.operators.windows import Series
 from sparkdrift.plans.models import fit_model, save_version
-from sparkdrift.sources.files import exists
+from sparkdrift.sources.files import exists, write_once
 from sparkdrift.sources.runs import append_table
 from sparkdrift.sources.table import in_period
 
@@ -161,7 +161,7 @@ def run_training(
     run_metrics = spark.read.parquet(f"{root}/run_metrics")
     better = compare_production(candidate, known, run_metrics).first()["is_better"]
     newest = known.where(F.col("model_name") == model_name).agg(F.max("version")).first()[0] or 0
-    version = int(newest) + 1
+    version = claim_version(spark, root, model_name, int(newest))
     save_version(trained.model, f"{root}/models", model_name, version)
     row = spark.createDataFrame(
         [(model_name, version, "None", run_id)],
@@ -176,6 +176,18 @@ def run_training(
     return result
 
 
+def claim_version(spark: SparkSession, root: str, model_name: str, newest: int) -> int:
+    """The first version number after ``newest`` that no other run has claimed.
+
+    A claim is a small file that only one run can create; whoever comes second takes the next number. The
+    number of a run that died stays unused.
+    """
+    version = newest + 1
+    while not write_once(spark, f"{root}/model_claims/{model_name}/{version}", str(version)):
+        version += 1
+    return version
+
+
 def score_period(
     model: PipelineModel,
     observations: DataFrame,

@@ -13,7 +13,7 @@ from sparkdrift.operators import registry as R
 from sparkdrift.operators.history import drift_history, drift_timeline
 from sparkdrift.operators.windows import Series
 from sparkdrift.plans import models as P
-from sparkdrift.plans.training import run_training, score_period, time_folds
+from sparkdrift.plans.training import claim_version, run_training, score_period, time_folds
 from tests.test_windows import weather
 
 
@@ -183,3 +183,9 @@ def test_full_size_trees_fit_a_step_and_a_slope(spark, kind):
     assert model.stages[-1].getNumTrees == 100
     error = model.transform(df).select(F.sqrt(F.avg((F.col("prediction") - F.col("y")) ** 2)).alias("e")).first()["e"]
     assert error < 0.1 * frame["y"].std()
+
+
+def test_two_runs_from_one_state_get_two_versions(spark, tmp_path):
+    root = str(tmp_path)
+    assert [claim_version(spark, root, "m", 4) for _ in range(3)] == [5, 6, 7]
+    assert claim_version(spark, root, "other", 0) == 1 and claim_version(spark, root, "m", 9) == 10
