@@ -584,7 +584,25 @@ def _(spark, sf):
     return report_json(*_report(spark, sf, li_shift(spark, sf)))
 
 
-@query("drift_summary_text", "report_id:s summary:s")
+@query(
+    "drift_summary_text",
+    "report_id:s summary:s",
+    f"""WITH rep AS ({_report_sql(SHIFT_RESULTS_SQL, SHIFT_SQL)}),
+lines AS (WITH {SHIFT_RESULTS_SQL}
+  SELECT string_agg(printf('[%-5s] %s: PSI=%.4f (%s)', CASE WHEN is_drifted THEN 'DRIFT' ELSE 'OK' END, feature, psi, severity),
+    chr(10) ORDER BY CASE severity WHEN 'none' THEN 4 WHEN 'low' THEN 3 WHEN 'moderate' THEN 2 WHEN 'significant' THEN 1 ELSE 0 END,
+    position) AS features FROM res),
+advice AS (SELECT string_agg(i || '. ' || r, chr(10) ORDER BY i) AS listed FROM (
+  SELECT unnest(string_split(recommendations, ' | ')) AS r,
+         generate_subscripts(string_split(recommendations, ' | '), 1) AS i FROM rep))
+SELECT report_id, concat_ws(chr(10), repeat('=', 50), 'DRIFT DETECTION REPORT',
+  'ID: ' || report_id || ' | Reference: ' || reference_name,
+  format('Samples: {{:,}} current vs {{:,}} reference', current_samples, reference_samples), repeat('-', 50),
+  printf('Score: %.3f | Severity: %s', overall_drift_score, upper(overall_severity)),
+  printf('Drifted: %d/%d | Action: %s', n_features_drifted, n_features_total, CASE WHEN drift_detected THEN 'YES' ELSE 'NO' END),
+  CASE WHEN warnings <> '' THEN 'Warnings: ' || warnings END, repeat('-', 50), features, repeat('-', 50), listed,
+  repeat('=', 50)) AS summary FROM rep, lines, advice""",
+)
 def _(spark, sf):
     return D.summary_lines(*_report(spark, sf, li_shift(spark, sf)))
 

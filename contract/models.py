@@ -166,6 +166,36 @@ def _(spark, sf):
     )
 
 
+# Two features and a penalty that isn't negligible: the normal equations of centred columns.
+_TWO_SQL = """sums AS (SELECT regr_sxx(l_extendedprice, l_quantity) + 1000.0 AS a, regr_sxx(l_extendedprice, l_tax) + 1000.0 AS d,
+    regr_sxy(l_tax, l_quantity) AS b, regr_sxy(l_extendedprice, l_quantity) AS u, regr_sxy(l_extendedprice, l_tax) AS v,
+    avg(l_quantity) AS mq, avg(l_tax) AS mt, avg(l_extendedprice) AS my FROM lineitem),
+fitted AS (SELECT (d * u - b * v) / (a * d - b * b) AS q, (a * v - b * u) / (a * d - b * b) AS t, mq, mt, my FROM sums)"""
+
+
+def _two_feature_model(spark, sf):
+    return fit_model("ridge", lineitem(spark, sf), ["l_quantity", "l_tax"], _Y, alpha=1000.0)
+
+
+@query(
+    "ridge_predict_two",
+    "l_orderkey:i l_linenumber:i prediction:f2",
+    f"""WITH {_TWO_SQL}
+SELECT l_orderkey, l_linenumber, my + q * (l_quantity - mq) + t * (l_tax - mt) AS prediction FROM lineitem, fitted""",
+)
+def _(spark, sf):
+    return _two_feature_model(spark, sf).transform(lineitem(spark, sf))
+
+
+@query(
+    "importance_of_model",
+    "feature:s importance:f4",
+    f"WITH {_TWO_SQL} SELECT 'l_quantity' AS feature, abs(q) AS importance FROM fitted UNION ALL SELECT 'l_tax', abs(t) FROM fitted",
+)
+def _(spark, sf):
+    return M.top_importance(feature_importance(spark, _two_feature_model(spark, sf)), 20)
+
+
 @query("ridge_predict", "event_type:s hour:t split:s target:f6 prediction:f6")
 def _(spark, sf):
     return _predictions(spark, sf, "ridge")

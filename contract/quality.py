@@ -162,14 +162,15 @@ _LI_GAPS = (
 _LI_OUTLIERS = " + ".join(
     f"(SELECT outliers FROM ({_FENCES.format(c=s.name, table='lineitem')}))" for s in LI_QUALITY.specs
 )
-_LI_ISSUES = ", ".join(
+_LI_ISSUE_LIST = [
     f"""CASE WHEN (SELECT count(*) FROM lineitem WHERE {s.name} < {s.lower} OR {s.name} > {s.upper}) > 0
    THEN printf('{s.name}: %d values (%.1f%%) out of range [{s.lower}, {s.upper}]',
      (SELECT count(*) FROM lineitem WHERE {s.name} < {s.lower} OR {s.name} > {s.upper}),
      (SELECT count(*) FROM lineitem WHERE {s.name} < {s.lower} OR {s.name} > {s.upper}) * 100.0
        / total_records) END"""
     for s in LI_QUALITY.specs
-)
+]
+_LI_ISSUES = ", ".join(_LI_ISSUE_LIST)
 
 
 @query(
@@ -189,7 +190,23 @@ def _(spark, sf):
     ).drop("issues").withColumnRenamed("issue_text", "issues")
 
 
-@query("validation_report", "report:s")
+@query(
+    "validation_report",
+    "report:s",
+    f"""WITH {_score_sql("lineitem", LI_QUALITY, "1", _LI_GAPS)},
+v AS (SELECT *, {_LI_OUTLIERS} AS anomaly_count,
+  nullif(concat_ws(chr(10), {", ".join(f"'  • ' || {issue}" for issue in _LI_ISSUE_LIST)},
+    CASE WHEN gaps_found > 0 THEN
+    printf('  • Found %d time gaps > 2.0 hours (max gap: %.1f hours)', gaps_found, max_gap_hours) END), '') AS issues
+FROM graded)
+SELECT concat_ws(chr(10), repeat('=', 60), 'DATA VALIDATION REPORT', repeat('=', 60), '',
+  'Status: ' || CASE WHEN quality_score >= 0.8 THEN '✓ VALID' ELSE '✗ INVALID' END,
+  printf('Quality Score: %.2f%%', quality_score * 100), format('Total Records: {{:,}}', total_records),
+  format('Valid Records: {{:,}}', valid_records), format('Anomalies Detected: {{:,}}', anomaly_count), '',
+  'Issues Found:' || chr(10) || issues || chr(10), 'Quality Score Breakdown:',
+  printf('  • Completeness: %.2f%%', completeness * 100), printf('  • Validity: %.2f%%', validity * 100),
+  printf('  • Consistency: %.2f%%', consistency * 100), '', repeat('=', 60)) AS report FROM v""",
+)
 def _(spark, sf):
     return Q.validation_report(Q.validate(lineitem(spark, sf), LI_QUALITY))
 
