@@ -23,7 +23,7 @@ from sparkdrift.operators.split import (
 from sparkdrift.operators.transform import DEFAULT_ZONE
 from sparkdrift.operators.windows import Series
 from sparkdrift.plans.models import fit_model, save_version
-from sparkdrift.sources.files import exists, write_once
+from sparkdrift.sources.files import exists, temporary_tables, write_once
 from sparkdrift.sources.runs import append_table
 from sparkdrift.sources.table import in_period
 
@@ -123,17 +123,19 @@ def run_training(
     Production model is recommended for promotion; the comparison always runs.
     """
     keys = [*series.keys, *series.tie]
-    probe = build_training_frame(observations, series, config, tz)
+    # An empty frame has all columns; which of the raw ones hold values is asked of the raw rows.
+    probe = build_training_frame(observations.limit(0), series, config, tz)
     features = [c for c in numeric_columns(probe, config) if c not in keys]
     filled = set(model_features(observations, config, keys))
     raw = set(observations.columns)
     features = [f for f in features if f not in raw or f in filled]
-    prepared = prepare_data(observations, series, config, training, tz, features).persist()
-    try:
-        trained = train_model(prepared, kind, config.target, features, **params)
-        rows = prefixed_metrics(trained.metrics, run_id).collect()
-    finally:
-        prepared.unpersist()
+    with temporary_tables(spark):
+        prepared = prepare_data(observations, series, config, training, tz, features).persist()
+        try:
+            trained = train_model(prepared, kind, config.target, features, **params)
+            rows = prefixed_metrics(trained.metrics, run_id).collect()
+        finally:
+            prepared.unpersist()
     metrics = {r["key"]: r["value"] for r in rows}
     scored = spark.createDataFrame(rows, "run_id string, key string, value double")
     append_table(scored, f"{root}/run_metrics")

@@ -42,9 +42,35 @@ def shared_folder(spark: SparkSession, purpose: str = "data") -> str:
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+#: Folders written inside open ``temporary_tables`` blocks, innermost last.
+_open_blocks: list[list[str]] = []
+
+
+@contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[None]:
+    """Remove what ``written`` leaves in the shared folder inside the block when the block ends.
+
+    For callers whose results are collected, written or no longer needed by then: frames built inside can't
+    be read afterwards.
+    """
+    mine: list[str] = []
+    _open_blocks.append(mine)
+    try:
+        yield
+    finally:
+        _open_blocks.remove(mine)
+        for path in mine:
+            remove(spark, path)
+
+
 def written(df: DataFrame) -> DataFrame:
-    """The frame written to the shared folder and read again: its rows are fixed and its lineage ends."""
+    """The frame written to the shared folder and read again: its rows are fixed and its lineage ends.
+
+    The folder stays, unless an enclosing ``temporary_tables`` block removes it.
+    """
     path = shared_folder(df.sparkSession)
+    if _open_blocks:
+        _open_blocks[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

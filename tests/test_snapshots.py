@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sparkdrift.plans import ingest as I
 from sparkdrift.sources import snapshots, table as S
-from sparkdrift.sources.files import names, scratch, write_once
+from sparkdrift.sources.files import names, scratch, temporary_tables, write_once, written
 from sparkdrift.sources.snapshots import CommitConflictError, SnapshotTable
 from sparkdrift.streaming import jobs as J
 
@@ -158,3 +158,16 @@ def test_areas_are_merged_by_hour(spark, tmp_path):
     I.run_incremental(spark, landing, table, log, datetime(2024, 1, 2, 12), by_hour=True)
     got = S.from_table_types(spark.read.parquet(table)).orderBy("timestamp").collect()
     assert [r["temperature_2m"] for r in got] == [100.0, 101.0, 2.0, 3.0]
+
+
+def test_temporary_tables_go_with_their_block(spark):
+    with temporary_tables(spark):
+        outer = written(spark.range(3))
+        with temporary_tables(spark):
+            inner = written(spark.range(4))
+            paths = [f.inputFiles()[0].removeprefix("file://") for f in (outer, inner)]
+            assert inner.count() == 4 and all(map(os.path.exists, paths))
+        assert [os.path.exists(p) for p in paths] == [True, False]
+    assert not os.path.exists(paths[0])
+    kept = written(spark.range(2))
+    assert kept.count() == 2
