@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -117,6 +118,7 @@ def resample(
     key: str = "doc_id",
     text: str = "text",
     setting: Setting = Setting(),
+    keep: Sequence[str] | None = None,
 ) -> DataFrame:
     """``docs`` with ``log_weight``, ``sample_key`` and ``kept``.
 
@@ -124,7 +126,8 @@ def resample(
     ``targets`` and of all texts. sample_key adds Gumbel noise made from the row's key, and the ``share`` of
     rows with the largest sample keys is kept: a sample without replacement, weighted by the ratio. Rows
     that tie with the last one kept are kept too, so repeated rows stay or go together. Null and empty texts
-    have the weight 0. Without targets all weights are 0 and the sample is uniform. Columns whose names are
+    have the weight 0. ``keep`` names the columns of ``docs`` that are returned, all by default; the rows are
+    written on the way, so leaving out the text saves writing it. Without targets all weights are 0 and the sample is uniform. Columns whose names are
     taken make the new ones end in underscores.
     """
     weight, noisy, kept = (free_name(docs, n) for n in ("log_weight", "sample_key", "kept"))
@@ -139,8 +142,11 @@ def resample(
         ratio = np.log((target + 1) / (target.sum() + setting.buckets))
         ratio -= np.log((raw + 1) / (raw.sum() + setting.buckets))
     weighed = log_weights(docs, ratio, text, weight)
+    own = docs.columns if keep is None else [key, *[c for c in keep if c != key]]
+    weighed = weighed.select(*[col(c) for c in own], col(weight))
     uniform = (F.pmod(F.xxhash64(col(key), F.lit(setting.seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     weighed = stored(weighed.withColumn(noisy, col(weight) - F.log(-F.log(uniform))))
     k = round(setting.share * weighed.count())
     last = kth_largest(weighed.select(noisy), noisy, k, setting.narrow_rows)
-    return weighed.withColumn(kept, F.lit(False) if last is None else col(noisy) >= last)
+    drawn = weighed.withColumn(kept, F.lit(False) if last is None else col(noisy) >= last)
+    return drawn if keep is None else drawn.select(*[col(c) for c in (*keep, weight, noisy, kept)])

@@ -52,7 +52,7 @@ def op4_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     # As many rows are sampled as the labels lead to expect on target.
     share = labels.agg(F.avg(F.col("quality").cast("double"))).first()[0]
     setting = importance.Setting() if share is None else importance.Setting(share=share)
-    return importance.resample(docs, labels.where("quality = 1"), setting=setting).select("doc_id", "log_weight", "sample_key", "kept")
+    return importance.resample(docs, labels.where("quality = 1"), setting=setting, keep=["doc_id"])
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

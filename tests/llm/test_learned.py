@@ -138,3 +138,15 @@ def test_kth_largest_narrows_to_the_value(spark):
     for k in (1, 17, 2600, 5500):
         assert importance.kth_largest(df, "v", k, 10) == sorted(values, reverse=True)[k - 1]
     assert importance.kth_largest(df, "v", 0, 10) is None and importance.kth_largest(df, "v", 5501, 10) is None
+
+
+def test_columns_kept_do_not_change_the_sample(spark):
+    rows = [(i, f"w{i % 7} w{i % 3} common", i % 2) for i in range(60)] + [(None, None, 1), (5, "", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, other int")
+    targets = spark.createDataFrame([(i,) for i in range(0, 60, 7)], "doc_id long")
+    setting = importance.Setting(buckets=64, share=0.3)
+    whole = importance.resample(docs, targets, setting=setting)
+    for names in (["doc_id"], ["other"], ["other", "doc_id"]):
+        part = importance.resample(docs, targets, setting=setting, keep=names)
+        assert part.columns == [*names, "log_weight", "sample_key", "kept"]
+        assert part.exceptAll(whole.select(*part.columns)).count() == 0 and part.count() == 62
