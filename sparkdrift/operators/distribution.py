@@ -223,9 +223,9 @@ POSITION = "__position"
 def with_position(frame: DataFrame, points: str, size: int) -> DataFrame:
     """Add how many of the ascending ``points``, an array of at most ``size``, are not above the value.
 
-    One projection per halving: each is worked out once, in generated code of its own. The zero added at
-    the end counts as indeterminate, which keeps the optimizer from moving conditions on the position below
-    it; there each halving would be written out again for every use of the one before.
+    One projection per halving: each is worked out once, in generated code of its own. Conditions on what
+    follows from the position must not be moved below these projections, where each halving would be written
+    out again for every use of the one before: filter on aggregates of it, and join on it.
     """
     placed = frame.withColumn(POSITION, F.lit(0))
     at, step = F.col(POSITION), 1 << (size.bit_length() - 1)
@@ -233,7 +233,7 @@ def with_position(frame: DataFrame, points: str, size: int) -> DataFrame:
         further = F.get(F.col(points), at + (step - 1)) <= F.col("value")
         placed = placed.withColumn(POSITION, at + F.when(further, step).otherwise(0))
         step //= 2
-    return placed.withColumn(POSITION, at + F.spark_partition_id() * 0)
+    return placed
 
 
 def with_cells(frame: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -390,10 +390,11 @@ def rank_picks(
     earlier = f"(PARTITION BY {names} ORDER BY cell, part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
     holding = (
         folded.groupBy(*on)
-        .agg(F.sum("n").alias("c"))
+        .agg(F.sum("n").alias("c"), (F.max("part") >= 0).alias("bracketed"))
         .selectExpr(
             *on,
             "c",
+            "bracketed",
             f"coalesce(sum(c) OVER {earlier}, 0) AS before",
             f"sum(c) OVER (PARTITION BY {names}) AS size",
         )
@@ -403,11 +404,11 @@ def rank_picks(
 
     def held(rows: DataFrame, test: str) -> DataFrame:
         # Without keys at most two parts per wanted rank and feature, a bound known beforehand.
-        few = holding.where(test)
-        return null_safe_join(rows.where(test), few if keys else F.broadcast(few), on)
+        few = holding.where(test).drop("bracketed")
+        return null_safe_join(rows, few if keys else F.broadcast(few), on)
 
-    missed = held(placed, "part < 0").groupBy(*on, "before", "size", "value").agg(F.sum("n").alias("n"))
-    near = held(folded, "part >= 0").unionByName(missed)
+    missed = held(placed, "NOT bracketed").groupBy(*on, "before", "size", "value").agg(F.sum("n").alias("n"))
+    near = held(folded, "bracketed").unionByName(missed)
     so_far = f"(PARTITION BY {names}, cell, part ORDER BY value ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
     found = (
         near.selectExpr(*group, "size", "value", f"before + sum(n) OVER {so_far} AS end", "n")
