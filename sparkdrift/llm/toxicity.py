@@ -31,6 +31,8 @@ CLASSES = 64
 OFFSETS = [(a, b) for b in range(2, 5) for a in range(1, b)]
 DECAY = 0.8
 EMPTY_MARGIN = -2.0
+#: Words whose features are worked out and held together.
+BLOCK = 2048
 #: How far a word may be inside its margin without joining the working set: the size of rounding errors.
 SETTLED = 1e-4
 NEAR = -0.6
@@ -197,21 +199,23 @@ class Landmarks:
 
 
 def squared_hinge(
-    x: np.ndarray, toxic: np.ndarray, clean: np.ndarray, w: np.ndarray, ridge: np.ndarray
+    blocks: list[np.ndarray], toxic: np.ndarray, clean: np.ndarray, w: np.ndarray, ridge: np.ndarray
 ) -> np.ndarray:
-    """Weights after Newton steps on the squared hinge loss; each row of x may count for both sides.
+    """Weights after Newton steps on the squared hinge loss; each row of the blocks may count for both sides.
 
-    Rows are taken in blocks, so memory stays near that of ``x``.
+    Blocks have at most BLOCK rows, so memory stays near theirs.
     """
     for _ in range(12):
         curve, pull = ridge.copy(), np.zeros(len(w))
-        for at in range(0, len(x), 4096):
-            part = x[at : at + 4096].astype(np.float64)
+        at = 0
+        for block in blocks:
+            part = block.astype(np.float64)
             value = part @ w
-            up = np.where(value < 1, toxic[at : at + 4096], 0.0)
-            down = np.where(value > -1, clean[at : at + 4096], 0.0)
+            up = np.where(value < 1, toxic[at : at + len(block)], 0.0)
+            down = np.where(value > -1, clean[at : at + len(block)], 0.0)
             curve += part.T @ (part * (up + down)[:, None])
             pull += part.T @ (up - down)
+            at += len(block)
         new = np.linalg.solve(curve, pull)
         done = np.abs(new - w).max() < 1e-6
         w = new
@@ -230,17 +234,21 @@ class Machine:
 
     def __init__(self, words: list[str], marks: Landmarks, root: np.ndarray, ridge: float):
         self.words, self.marks, self.root = words, marks, root
-        self.norms = np.concatenate([norms(words[at : at + 20_000]) for at in range(0, len(words), 20_000)])
+        self.norms = np.concatenate([norms(words[at : at + BLOCK]) for at in range(0, len(words), BLOCK)])
         self.place = np.full(len(words), -1, np.int64)
         self.members = np.zeros(0, np.int64)
-        self.mapped = np.zeros((0, root.shape[1] + 1), np.float32)
+        self.blocks: list[np.ndarray] = []
         self.w = np.zeros(root.shape[1] + 1)
         self.ridge = ridge * np.eye(len(self.w))
         self.ridge[-1, -1] = 1e-6
 
-    def features(self, words: list[str]) -> np.ndarray:
-        out = np.ones((len(words), len(self.w)), np.float32)
-        out[:, :-1] = self.marks.kernel(words) @ self.root.astype(np.float32)
+    def features(self, words: list[str]) -> list[np.ndarray]:
+        """The features of words, in blocks."""
+        out, root = [], self.root.astype(np.float32)
+        for at in range(0, len(words), BLOCK):
+            part = words[at : at + BLOCK]
+            out.append(np.ones((len(part), len(self.w)), np.float32))
+            out[-1][:, :-1] = self.marks.kernel(part) @ root
         return out
 
     def take(self, rows: np.ndarray) -> int:
@@ -248,16 +256,16 @@ class Machine:
         fresh = rows[self.place[rows] < 0]
         self.place[fresh] = np.arange(len(self.members), len(self.members) + len(fresh))
         self.members = np.concatenate([self.members, fresh])
-        self.mapped = np.vstack([self.mapped, self.features([self.words[i] for i in fresh])])
+        self.blocks += self.features([self.words[i] for i in fresh])
         return len(fresh)
 
     def values(self) -> np.ndarray:
         """The margin of every word, by one weight per subsequence."""
         weights, out = self.marks.fold(self.root @ self.w[:-1]), np.zeros(len(self.words))
-        for at in range(0, len(self.words), 20_000):
-            part = self.words[at : at + 20_000]
+        for at in range(0, len(self.words), BLOCK):
+            part = self.words[at : at + BLOCK]
             for ids, owner, weight in subsequences(part):
-                out[at : at + 20_000] += weight * np.bincount(owner, weights[ids], len(part))
+                out[at : at + BLOCK] += weight * np.bincount(owner, weights[ids], len(part))
         return out / self.norms + self.w[-1]
 
     def solve(self, toxic: np.ndarray, clean: np.ndarray, extra: list[str] = (), extra_toxic: np.ndarray | None = None) -> np.ndarray:
@@ -265,9 +273,8 @@ class Machine:
         more = self.features(list(extra))
         more_toxic = np.zeros(0) if extra_toxic is None else extra_toxic
         while True:
-            up, down = np.r_[toxic[self.members], more_toxic], np.r_[clean[self.members], np.zeros(len(more))]
-            rows = np.vstack([self.mapped, more]) if len(more) else self.mapped
-            self.w = squared_hinge(rows, up, down, self.w, self.ridge)
+            up, down = np.r_[toxic[self.members], more_toxic], np.r_[clean[self.members], np.zeros(len(more_toxic))]
+            self.w = squared_hinge([*self.blocks, *more], up, down, self.w, self.ridge)
             value = self.values()
             wrong = ((toxic > 0) & (value < 1 - SETTLED)) | ((clean > 0) & (value > -1 + SETTLED))
             if not self.take(np.flatnonzero(wrong)):
@@ -475,9 +482,10 @@ def train(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, s
     )
     # All words and runs of letters of the sample, whose rows are bounded.
     rows = counted.orderBy("word").toPandas()
-    pairs = zip(rows["toxic"].tolist(), rows["clean"].tolist())
+    pairs = list(zip(rows["toxic"].tolist(), rows["clean"].tolist()))
     counts = {name.removeprefix(PART): pair for name, pair in zip(rows["word"].tolist(), pairs)}
     words = [w for w in rows["word"].tolist() if not w.startswith(PART)]
+    del rows, pairs
     model = fit(words, counts, texts, setting)
     if model is None:
         return None
