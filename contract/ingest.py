@@ -219,13 +219,14 @@ def _(spark, sf):
 
 
 def _storage_frame(spark, sf, *counted):
+    """Observations as stored; their humidity stays a percentage, however many events an hour holds."""
     rows = obs(spark, sf).select(
         *[F.col("n_events").cast("double").alias(c) for c in counted],
         F.lit(40.5).alias("latitude"),
         (F.ascii("event_type") * 1.0).alias("longitude"),
         F.col("hour").alias("timestamp"),
         (F.col("max_value") / 10).alias("temperature"),
-        F.col("n_events").cast("double").alias("humidity"),
+        (F.col("n_events") % 100).cast("double").alias("humidity"),
         F.col("event_type").alias("unknown_column"),
     )
     return to_storage(rows, "events", "b7", tz="UTC", now=F.lit("2024-02-01").cast("timestamp"))
