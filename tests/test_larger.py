@@ -35,3 +35,7 @@ def same_as_sql(spark, folder, name):
 
 def test_table_roundtrip_of_busy_hours(spark, busy):
     assert same_as_sql(spark, busy, "table_roundtrip") is None
+
+
+def test_partial_columns_of_busy_hours(spark, busy):
+    assert same_as_sql(spark, busy, "upsert_partial_columns") is None
