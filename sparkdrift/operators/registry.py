@@ -111,7 +111,8 @@ def compare_production(
     """Is each candidate (model_name, run_id) better than its model's Production version?
 
     RMSE must be strictly lower. Without a Production model or its metrics the candidate wins, and
-    ``reason`` says so.
+    ``reason`` says so. A candidate that is the Production run itself is equal to it, also where metrics
+    are computed when read and a second reading adds in another order.
     """
     rmse_keys = ("test_rmse", "rmse")
     newest = latest_by_stage(versions).where(F.col("stage") == "Production")
@@ -129,16 +130,18 @@ def compare_production(
     )
     joined = null_safe_join(mine, prod, ["model_name"], "left")
     new = F.coalesce("new_rmse", F.lit(float("inf")))
+    itself = F.col("run_id") == F.col("prod_run_id")
+    production = F.when(itself, F.col("new_rmse")).otherwise(F.col("production_rmse"))
     reason = (
         F.when(F.col("prod_run_id").isNull(), "no production model")
-        .when(F.col("production_rmse").isNull(), "no production metrics")
+        .when(production.isNull(), "no production metrics")
         .otherwise("compared")
     )
     return joined.select(
         *candidates.columns,
         "new_rmse",
-        "production_rmse",
-        F.when(reason == "compared", new < F.col("production_rmse")).otherwise(True).alias("is_better"),
+        production.alias("production_rmse"),
+        F.when(reason == "compared", new < production).otherwise(True).alias("is_better"),
         reason.alias("reason"),
     )
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import random
+
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
 from check_contract import compare
+from sparkdrift.operators import registry as R
 
 # Events of an hour: more than a percentage column holds, and halves that only exact products keep.
 BUSY = {"click": 1600, "view": 65, "error": 105, "signup": 5}
@@ -39,3 +43,15 @@ def test_table_roundtrip_of_busy_hours(spark, busy):
 
 def test_partial_columns_of_busy_hours(spark, busy):
     assert same_as_sql(spark, busy, "upsert_partial_columns") is None
+
+
+def test_a_production_run_is_not_better_than_itself(spark):
+    # Every reading of these metrics differs in the last digits, as sums over a cluster do.
+    unsteady = F.udf(lambda v: v + random.random() * 1e-9, "double").asNondeterministic()
+    runs = spark.range(40).select(F.format_string("r%s", "id").alias("run_id"), F.lit(3.0).alias("test_rmse"), F.lit(2.0).alias("test_mae"))
+    metrics = runs.withColumn("test_rmse", unsteady("test_rmse")).unpivot(["run_id"], ["test_rmse", "test_mae"], "key", "value")
+    model, stage = F.concat(F.lit("m"), "run_id"), F.lit("Production")
+    versions = runs.select(model.alias("model_name"), F.lit(7).cast("long").alias("version"), stage.alias("stage"), "run_id")
+    rows = R.compare_production(versions.select("model_name", "run_id"), versions, metrics).collect()
+    assert [(r["is_better"], r["reason"]) for r in rows] == [(False, "compared")] * 40
+    assert all(r["new_rmse"] == r["production_rmse"] for r in rows)
