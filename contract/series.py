@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import functions as F
 
 from contract.registry import query
@@ -192,7 +194,7 @@ def _(spark, sf):
         F.col("event_type").alias("location_name"),
         F.col("hour").alias("timestamp"),
         (F.col("max_value") * 0.1).alias("temperature"),
-        (F.col("n_events") * 1.37).alias("humidity"),
+        (F.col("n_events") * F.lit(Decimal("1.37"))).alias("humidity"),
         F.when(F.col("n_events") > 1, F.col("max_value") * 3.3).alias("pressure"),
     )
     return to_storage(rows, "events", "b1", tz="UTC")

@@ -87,11 +87,16 @@ def utc_with_flag(df: DataFrame, time_column: str, tz: str = DEFAULT_ZONE, dst:
 
 
 def round_measures(df: DataFrame, digits: Mapping[str, int] = STORAGE_DIGITS) -> DataFrame:
-    """Half-even rounding of the scaled double, the convention of array libraries."""
-    scaled = {c: float(10**n) for c, n in digits.items() if c in df.columns}
-    return df.withColumns(
-        {c: F.rint(F.col(c).cast("double") * scale) / scale for c, scale in scaled.items()}
-    )
+    """Half-even rounding of the scaled double, the convention of array libraries; decimals are rounded
+    as they are, so their halves stay halves."""
+
+    def rounded(c: str, n: int) -> Column:
+        if isinstance(df.schema[c].dataType, T.DecimalType):
+            return F.bround(c, n).cast("double")
+        scale = float(10**n)
+        return F.rint(F.col(c).cast("double") * scale) / scale
+
+    return df.withColumns({c: rounded(c, n) for c, n in digits.items() if c in df.columns})
 
 
 def to_storage(

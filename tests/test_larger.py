@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as contract
 from check_contract import compare
 from sparkdrift.operators import registry as R
+from sparkdrift.operators.transform import to_storage
 
 # Events of an hour: more than a percentage column holds, and halves that only exact products keep.
 BUSY = {"click": 1600, "view": 65, "error": 105, "signup": 5}
@@ -45,6 +46,18 @@ def test_partial_columns_of_busy_hours(spark, busy):
     assert same_as_sql(spark, busy, "upsert_partial_columns") is None
 
 
+def test_storage_of_busy_hours(spark, busy):
+    assert same_as_sql(spark, busy, "to_storage") is None
+
+
+def test_decimals_round_half_even_as_they_are(spark):
+    # As doubles 8.345 * 100 is 834.5000000000001 and 65 * 1.37 * 10 is 890.5000000000001.
+    df = spark.sql("SELECT 8.345BD AS temperature, 65 * 1.37BD AS humidity, CAST(NULL AS DECIMAL(5, 2)) AS pressure")
+    row = to_storage(df, "api", "b1").first()
+    assert (row["temperature_2m"], row["relative_humidity_2m"], row["surface_pressure"]) == (8.34, 89.0, None)
+    assert row["raw_data"] == '{"temperature_2m":8.34,"relative_humidity_2m":89.0,"surface_pressure":null}'
+
+
 def test_a_production_run_is_not_better_than_itself(spark):
     # Every reading of these metrics differs in the last digits, as sums over a cluster do.
     unsteady = F.udf(lambda v: v + random.random() * 1e-9, "double").asNondeterministic()
