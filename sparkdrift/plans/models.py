@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 from typing import Any
 
@@ -73,16 +74,37 @@ def create_model(kind: str, train: DataFrame, label: str, **params: Any) -> Esti
     return MODELS[kind](label, **params)
 
 
+# Kinds that pass over their rows hundreds of times, and the rows that are worth a task in such a pass.
+MANY_PASSES = ("random_forest", "gradient_boosting")
+ROWS_PER_TASK = 20_000
+
+
+def deal_evenly(rows: DataFrame, order: Sequence[str], rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """All rows in equal parts, their number by the rows alone, each part in the given order.
+
+    A pass starts a task for every part, also for empty ones, and waits for the fullest. Windows leave
+    as many parts as the session shuffles into and fill one for each series. Counting reads the rows.
+    """
+    parts = max(1, math.ceil(rows.count() / rows_per_task))
+    return rows.repartition(parts).sortWithinPartitions(*order)
+
+
 def fit_model(
     kind: str, train: DataFrame, features: Sequence[str], label: str, **params: Any
 ) -> PipelineModel:
     """Assemble the feature vector and fit. The vectors are kept while the solver iterates."""
     assembler = VectorAssembler(inputCols=list(features), outputCol=FEATURES)
-    vectors = assembler.transform(train).select(FEATURES, label).persist()
+    rows = train.select(*features, label)
+    dealt = rows
+    if kind in MANY_PASSES:
+        rows.persist()
+        dealt = deal_evenly(rows, [label, *features])
+    vectors = assembler.transform(dealt).select(FEATURES, label).persist()
     try:
         fitted = create_model(kind, vectors, label, **params).fit(vectors)
     finally:
         vectors.unpersist()
+        rows.unpersist()
     return PipelineModel(stages=[assembler, fitted])
 
 

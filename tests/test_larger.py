@@ -12,6 +12,7 @@ import __spark_entry__ as contract
 from check_contract import compare
 from sparkdrift.operators import registry as R
 from sparkdrift.operators.transform import to_storage
+from sparkdrift.plans import models as P
 
 # Events of an hour: more than a percentage column holds, and halves that only exact products keep.
 BUSY = {"click": 1600, "view": 65, "error": 105, "signup": 5}
@@ -68,3 +69,24 @@ def test_a_production_run_is_not_better_than_itself(spark):
     rows = R.compare_production(versions.select("model_name", "run_id"), versions, metrics).collect()
     assert [(r["is_better"], r["reason"]) for r in rows] == [(False, "compared")] * 40
     assert all(r["new_rmse"] == r["production_rmse"] for r in rows)
+
+
+def test_trees_fit_on_even_parts(spark, monkeypatch):
+    # As windows leave them: many parts, nearly all rows in three of them.
+    rows = spark.range(3000).select((F.col("id") % 3).alias("s"), F.col("id").cast("double").alias("a"), (F.col("id") % 7 * 1.0).alias("y"))
+    uneven = rows.repartition(64, "s")
+    seen, create = [], P.create_model
+
+    def spy(kind, vectors, label, **params):
+        seen.append(sorted(vectors.rdd.mapPartitions(lambda part: [sum(1 for _ in part)]).collect()))
+        return create(kind, vectors, label, **params)
+
+    monkeypatch.setattr(P, "create_model", spy)
+    P.fit_model("gradient_boosting", uneven, ["a"], "y", rounds=1)
+    P.fit_model("random_forest", uneven, ["a"], "y", trees=1)
+    assert seen == [[3000], [3000]]
+    dealt = P.deal_evenly(uneven, ["y", "a"], rows_per_task=500)
+    sizes = dealt.rdd.mapPartitions(lambda part: [sum(1 for _ in part)]).collect()
+    assert len(sizes) == 6 and sum(sizes) == 3000 and max(sizes) <= 1.1 * min(sizes)
+    assert dealt.exceptAll(rows).count() == 0
+    assert P.deal_evenly(rows.where("a < 0"), ["y"]).count() == 0
