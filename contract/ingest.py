@@ -218,6 +218,10 @@ def _(spark, sf):
     return S.new_rows(reference_side(li), current_side(li), LI_KEY)
 
 
+# The stand-in measures are counts and maxima of events; neither is bounded as weather is.
+STAND_IN_TYPES = S.DECIMALS | {"temperature_2m": (18, 2), "precipitation": (18, 2)}
+
+
 def _storage_frame(spark, sf, *counted):
     """Observations as stored; their humidity stays a percentage, however many events an hour holds."""
     rows = obs(spark, sf).select(
@@ -259,14 +263,14 @@ def _(spark, sf):
     # Store everything, then deliver the second half again with corrected values.
     path = shared_dir(spark)
     rows = S.prepare_rows(_storage_frame(spark, sf), "b7")
-    S.upsert(spark, path, rows)
+    S.upsert(spark, path, rows, decimals=STAND_IN_TYPES)
     later = rows.where(F.col("timestamp") >= "2024-01-16").withColumns(
         {
             "temperature_2m": F.rint((F.col("temperature_2m") + 1) * 100) / 100,
             "updated_at": F.col("updated_at") + F.expr("INTERVAL 1 DAY"),
         }
     )
-    S.upsert(spark, path, later)
+    S.upsert(spark, path, later, decimals=STAND_IN_TYPES)
     return (
         S.from_table_types(spark.read.parquet(path))
         .groupBy(F.col("dt").cast("string").alias("dt"))
@@ -293,7 +297,7 @@ def _(spark, sf):
     # The second delivery lacks one measure and reaches only some rows of the dates that it touches.
     path = shared_dir(spark)
     rows = S.prepare_rows(_storage_frame(spark, sf, "precipitation"), "b7")
-    S.upsert(spark, path, rows)
+    S.upsert(spark, path, rows, decimals=STAND_IN_TYPES)
     chosen = (F.col("timestamp") >= EVENT_CUT) & (F.col("longitude") == ord("c"))
     later = rows.where(chosen).drop("precipitation")
     later = later.withColumns(
@@ -302,7 +306,7 @@ def _(spark, sf):
             "updated_at": F.col("updated_at") + F.expr("INTERVAL 1 DAY"),
         }
     )
-    S.upsert(spark, path, later)
+    S.upsert(spark, path, later, decimals=STAND_IN_TYPES)
     return S.from_table_types(spark.read.parquet(path))
 
 
@@ -323,7 +327,8 @@ def _(spark, sf):
         "event_id",
     )
     stored = to_storage(rows, "events", "b7", tz="UTC", now=F.lit("2024-02-01").cast("timestamp"))
-    S.upsert(spark, path, S.prepare_rows(stored, "b7", arrival=["event_id"]), arrival=["event_id"])
+    rows = S.prepare_rows(stored, "b7", arrival=["event_id"])
+    S.upsert(spark, path, rows, arrival=["event_id"], decimals=STAND_IN_TYPES)
     return S.from_table_types(spark.read.parquet(path))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -69,14 +69,18 @@ class AmbiguousOrderError(ValueError):
     """Rows of one key arrive at the same place with different values, so none of them is the last."""
 
 
+class TableTypeError(ValueError):
+    """A batch has other fixed-point types than the table it goes to."""
+
+
 def with_date(df: DataFrame, time_column: str = "timestamp") -> DataFrame:
     return df.withColumn(DATE, F.to_date(time_column))
 
 
-def to_table_types(df: DataFrame) -> DataFrame:
+def to_table_types(df: DataFrame, decimals: Mapping[str, tuple[int, int]] = DECIMALS) -> DataFrame:
     """Measures to fixed-point types; a value that does not fit fails."""
     return df.withColumns(
-        {c: F.col(c).cast(T.DecimalType(*ps)) for c, ps in DECIMALS.items() if c in df.columns}
+        {c: F.col(c).cast(T.DecimalType(*ps)) for c, ps in decimals.items() if c in df.columns}
     )
 
 
@@ -329,6 +333,12 @@ def new_rows(existing: DataFrame, incoming: DataFrame, key: Sequence[str]) -> Da
     return incoming.join(existing.select(*key).distinct(), list(key), "left_anti")
 
 
+def retyped_columns(existing: DataFrame, incoming: DataFrame) -> list[str]:
+    """Fixed-point columns that both sides have with different precision or scale."""
+    stored = {f.name: f.dataType for f in existing.schema if isinstance(f.dataType, T.DecimalType)}
+    return [f.name for f in incoming.schema if isinstance(f.dataType, T.DecimalType) and stored.get(f.name, f.dataType) != f.dataType]
+
+
 def _write(df: DataFrame, path: str, mode: str) -> None:
     # Rebalancing by date gives few, evenly sized files and splits a date that dominates the batch.
     balanced = df.hint("rebalance", DATE)
@@ -359,6 +369,7 @@ def upsert(
     updated: Sequence[str] = UPDATED_COLUMNS,
     order: Sequence[str] = ("updated_at",),
     arrival: Sequence[str] = (),
+    decimals: Mapping[str, tuple[int, int]] = DECIMALS,
 ) -> None:
     """Merge rows into the table, rewriting only the dates they touch.
 
@@ -366,20 +377,25 @@ def upsert(
     that leaves rows with different values in the same place, nothing is written and the call fails: no
     partitioning decides which one is last. New partitions replace old ones when the job commits, so a
     lost executor costs a retry, not data.
+
+    ``decimals`` are the table's fixed-point types, for tables whose measures need more digits than weather.
+    Untouched dates keep their files, so every call for one table has to name the same types.
     """
     require_utc(spark)
-    incoming = with_date(to_table_types(rows))
+    incoming = with_date(to_table_types(rows, decimals))
+    stored = spark.read.parquet(path) if exists(spark, path) else None
+    retyped = [] if stored is None else retyped_columns(stored, incoming)
+    if retyped:
+        raise TableTypeError(f"the table has other types for {', '.join(retyped)}")
     places = [*order, *arrival]
     present = [c for c in updated if c in incoming.columns]
     tied = ambiguous_rows(incoming, [*key, DATE], present, places).limit(1).collect()
     if tied:
         raise AmbiguousOrderError(f"no last row for key {[tied[0][k] for k in key]} by {', '.join(places)}")
     existing = None
-    if exists(spark, path):
+    if stored is not None:
         # The distinct dates of the batch prune the table's partitions at run time.
-        existing = spark.read.parquet(path).join(
-            incoming.select(DATE).distinct(), DATE, "left_semi"
-        )
+        existing = stored.join(incoming.select(DATE).distinct(), DATE, "left_semi")
     merged = merge_rows(existing, incoming, [*key, DATE], updated, places, arrival)
     _write(merged, path, "overwrite")
 

@@ -6,6 +6,7 @@ import random
 
 import duckdb
 import pytest
+from pyspark.errors import ArithmeticException
 from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
@@ -13,6 +14,7 @@ from check_contract import compare
 from sparkdrift.operators import registry as R
 from sparkdrift.operators.transform import to_storage
 from sparkdrift.plans import models as P
+from sparkdrift.sources import table as S
 
 # Events of an hour: more than a percentage column holds, and halves that only exact products keep.
 BUSY = {"click": 1600, "view": 65, "error": 105, "signup": 5}
@@ -47,6 +49,43 @@ def test_partial_columns_of_busy_hours(spark, busy):
     assert same_as_sql(spark, busy, "upsert_partial_columns") is None
 
 
+def hour_of_events(folder, n, value):
+    """Events table of ``n`` clicks in one hour before the later deliveries' start and ``n`` views after it."""
+    duckdb.sql(f"""COPY (
+      SELECT day * {n} + i AS event_id,
+        TIMESTAMP '2024-01-15 07:00:00' + to_days(CAST(day AS INTEGER)) + to_microseconds(i) AS ts,
+        i AS user_id, CASE day WHEN 0 THEN 'click' ELSE 'view' END AS event_type, {value} AS value, '{{}}' AS props
+      FROM (SELECT unnest(range({n})) AS i), (SELECT unnest([0, 5]) AS day)
+    ) TO '{folder}/events.parquet' (FORMAT parquet)""")
+    return str(folder)
+
+
+def test_partial_columns_of_a_million_events_an_hour(spark, tmp_path):
+    folder = hour_of_events(tmp_path, 1000003, "round(i % 97 + 0.37, 2)")
+    assert same_as_sql(spark, folder, "upsert_partial_columns") is None
+
+
+@pytest.mark.parametrize("name", ["upsert_partial_columns", "table_roundtrip", "upsert_batch_order"])
+def test_values_beyond_weather(spark, tmp_path, name):
+    folder = hour_of_events(tmp_path, 3, "i + 123456.78::DOUBLE")
+    assert same_as_sql(spark, folder, name) is None
+
+
+def test_a_table_keeps_its_types(spark, tmp_path):
+    path = str(tmp_path / "table")
+    row = spark.sql(
+        "SELECT 40.5D AS latitude, 7D AS longitude, TIMESTAMP '2024-01-15 07:00:00' AS timestamp, "
+        "1000000D AS precipitation, TIMESTAMP '2024-02-01' AS updated_at"
+    )
+    rows = S.prepare_rows(row, "b1")
+    with pytest.raises(ArithmeticException):  # the default types are the reference's
+        S.upsert(spark, path, rows)
+    S.upsert(spark, path, rows, decimals=S.DECIMALS | {"precipitation": (18, 2)})
+    with pytest.raises(S.TableTypeError, match="precipitation"):
+        S.upsert(spark, path, rows.withColumn("precipitation", F.lit(1.0)))
+    assert [r["precipitation"] for r in S.from_table_types(spark.read.parquet(path)).collect()] == [1e6]
+
+
 def test_storage_of_busy_hours(spark, busy):
     assert same_as_sql(spark, busy, "to_storage") is None
 
